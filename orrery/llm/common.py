@@ -124,3 +124,35 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     a = rows.join(F.broadcast(heavy), key)
     b = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
     return a.unionByName(b)
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """32 bytes that stand for a row's id and text; nulls differ from empty values."""
+
+    def part(c: str) -> Column:
+        return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+
+    return F.unhex(F.sha2(F.concat(part(id_col), F.lit("\x1f"), part(text_col)), 256))
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame, keep: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that a decision table (row_key, keep) drops, all columns kept.
+
+    Rows that miss a bounded filter of the dropped keys pass straight through; only the others
+    shuffle. Of rows equal in id and text, of which some go, one stays if any does.
+    """
+    key, flag, verdict, whole = fresh(docs, "row_key", "flag", "verdict", "whole")
+    verdicts = cut(
+        decisions.groupBy("row_key")
+        .agg(F.bool_or(keep).alias(verdict), F.bool_and(keep).alias("whole"))
+        .filter("NOT whole")
+        .select(F.col("row_key").alias(key), verdict)
+    )
+    blocks = filter_blocks(verdicts.count())
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    seen = probe(keyed, key, member_filter(verdicts, key, blocks), blocks, flag)
+    straight = seen.filter(~F.col(flag)).select(*docs.columns)
+    judged = seen.filter(flag).join(verdicts, key, "left")
+    wrong = judged.filter(F.col(verdict).isNull()).select(*docs.columns)
+    one = judged.filter(verdict).groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(whole)).select(f"{whole}.*")
+    return straight.unionByName(wrong).unionByName(one)
