@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, exact_dedup, near_dedup
+from orrery.llm import bpe, exact_dedup, lm_score, near_dedup
+from orrery.llm import common as C
 from orrery.llm.sql import SQL
 
 
@@ -30,6 +31,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(counted, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"), held_out=C.crc_mod("doc_id", 7) == 2)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_dedup.near_groups(_table(spark, sf_dir, "documents"), width=2, percent=80)
     return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -38,6 +43,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
