@@ -7,9 +7,10 @@ probability close to the Jaccard similarity. BANDS bands of 8 registers give buc
 similarity 0.8 shares no bucket with a probability of 4e-6. Candidates pass a joint likelihood
 estimate (five standard errors below the threshold) and are then confirmed on the full sets.
 
-Equal sets are one node. In a bucket every node is first held against the least one; only members
-that are still in different components after that are held against each other, so a group of near
-copies costs links in proportion to its size, and no link between components is missed.
+Equal sets are one node. In a bucket every node is first held against the bucket's head, the one that
+meets the most others; only members that are still in different components after that, and that the
+triangle inequality allows to be linked, are held against each other. A group of near copies costs
+links in proportion to its size, and no link between components is missed.
 
 Defined results: null and empty texts have no set and are linked with nothing; a text of fewer words
 than the shingle is one shingle; rows with null ids take part, a component's id is its least
@@ -107,31 +108,31 @@ def _with_set(width: int):
     return f
 
 
-def _confirm(percent: int):
-    """Pairs with both sketches and sets -> the linked pairs: 100 * common >= percent * union."""
-    floor = percent / 100 - 5 * np.sqrt(0.25 / REGISTERS)
+def _common(floor: float | None):
+    """Pairs with both sketches and sets -> a, b, common, all: the sizes of intersection and union.
+
+    With a floor, pairs are left out whose likeliest similarity is five standard errors below it.
+    """
 
     def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            if not len(pdf):
-                continue
-            a, b = (np.array(pdf[c].tolist(), dtype=np.int64).view(np.uint8) for c in ("regs_a", "regs_b"))
-            j = estimate((a > b).sum(axis=1), (a < b).sum(axis=1), pdf["n_a"].to_numpy(float), pdf["n_b"].to_numpy(float))
-            keep = []
-            for likely, x, y in zip(j >= floor, pdf["items_a"], pdf["items_b"], strict=True):
-                if likely:
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    likely = 100 * common >= percent * (len(x) + len(y) - common)
-                keep.append(bool(likely))
-            yield pdf.loc[keep, ["a", "b"]]
+            if floor is not None and len(pdf):
+                a, b = (np.array(pdf[c].tolist(), dtype=np.int64).view(np.uint8) for c in ("regs_a", "regs_b"))
+                j = estimate((a > b).sum(axis=1), (a < b).sum(axis=1), pdf["n_a"].to_numpy(float), pdf["n_b"].to_numpy(float))
+                pdf = pdf[j >= floor - 5 * np.sqrt(0.25 / REGISTERS)]
+            common = [
+                len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                for x, y in zip(pdf["items_a"], pdf["items_b"], strict=True)
+            ]
+            pdf = pdf.assign(common=np.array(common, dtype=np.int64))
+            yield pdf.assign(**{"all": pdf["n_a"] + pdf["n_b"] - pdf["common"]})[["a", "b", "common", "all"]]
 
     return f
 
 
-def _links(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _compare(pairs: DataFrame, full: DataFrame, floor: float | None) -> DataFrame:
     sides = [full.select(F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "regs", "items"))) for s in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").mapInPandas(_confirm(percent), "a binary, b binary")
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInPandas(_common(floor), "a binary, b binary, common long, all long")
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,27 +149,37 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
         .groupBy("cls")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     )
-    bands = C.cut(classes.select("cls", "n", F.posexplode("regs").alias("band", "part")).select("cls", "n", F.xxhash64("band", "part").alias("key")))
-    shared = bands.groupBy("key").agg(F.min("cls").alias("head"), F.count("*").alias("k")).filter("k > 1")
-    bands = C.cut(bands.join(shared, "key").select("key", "cls", "n", "head"))
+    keys = classes.select("cls", "n", F.posexplode("regs").alias("band", "part")).select("cls", "n", F.xxhash64("band", "part").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1")
+    bands = C.cut(keys.join(shared, "key").select("key", "cls", "n", "k"))
+    # a bucket's head is the member that meets the most others in all its buckets: near the middle of its group
+    meets = bands.groupBy("cls").agg(F.sum("k").alias("meets"))
+    heads = bands.join(meets, "cls").groupBy("key").agg(F.max(F.struct("meets", "cls")).alias("head"))
+    bands = C.cut(bands.join(heads, "key").select("key", "cls", "n", F.col("head.cls").alias("head")))
     # the sets of the classes that share a bucket: a bounded filter drops most other rows before the shuffle
     wanted = bands.select("cls").distinct()
     blocks = C.filter_blocks(total)
     sets = slim.select("text").mapInArrow(_with_set(width), "cls binary, items binary").filter("cls IS NOT NULL")
     sets = C.probe(sets, "cls", C.member_filter(wanted, "cls", blocks), blocks, "wanted").filter("wanted")
     full = C.cut(sets.groupBy("cls").agg(F.first("items").alias("items")).join(classes.select("cls", "n", "regs"), "cls").join(wanted, "cls", "left_semi"))
-    near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    heads = bands.join(full.select(F.col("cls").alias("head"), F.col("n").alias("m")), "head")
-    star = heads.filter(f"cls <> head AND {near}").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    links = C.cut(_links(star, full, percent))
+    linked = f"100 * common >= {percent} * all"
+    star = C.cut(_compare(bands.filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), full, None))
+    links = star.filter(linked).select("a", "b")
     label = graph.components(links)
-    # what shares a bucket but is not connected yet
-    placed = C.cut(bands.join(label, bands.cls == label.node, "left").select("key", "cls", "n", F.coalesce("label", "cls").alias("label")))
+    # What shares a bucket and is not connected yet. Both were held against the head, and Jaccard distance
+    # is a metric: two whose distances to the head differ by more than the limit cannot be linked.
+    far = star.select(F.col("a").alias("head"), F.col("b").alias("cls"), (1 - F.col("common") / F.col("all")).alias("far"))
+    placed = C.cut(
+        bands.join(label, bands.cls == label.node, "left")
+        .join(far, ["head", "cls"], "left")
+        .select("key", "cls", "n", F.coalesce("label", "cls").alias("label"), F.coalesce("far", F.lit(0.0)).alias("far"))
+    )
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    left = placed.join(mixed, "key", "left_semi")
-    right = left.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    rest = left.withColumnRenamed("cls", "a").join(right, "key").filter(f"label < other AND {near}").select("a", "b").distinct()
-    links = links.unionByName(_links(rest, full, percent))
+    left = placed.filter("far > 0").join(mixed, "key", "left_semi")
+    right = left.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("far").alias("away"))
+    maybe = f"label < other AND 100 * least(n, m) >= {percent} * greatest(n, m) AND abs(far - away) <= {1 - percent / 100 + 1e-9}"
+    rest = left.withColumnRenamed("cls", "a").join(right, "key").filter(maybe).select("a", "b").distinct()
+    links = links.unionByName(_compare(rest, full, percent / 100).filter(linked).select("a", "b"))
     label = graph.components(links)
     # back to documents
     placed = C.cut(classes.join(label, classes.cls == label.node, "left").select("cls", "least", "members", F.coalesce("label", "cls").alias("label")))
