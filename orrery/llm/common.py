@@ -29,6 +29,12 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the cluster names, or the session's own."""
+    prepare(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the cluster's checkpoint folder and go on from there; the lineage ends here."""
     prepare(df.sparkSession)
@@ -112,8 +118,8 @@ def probe(df: DataFrame, key: str, bitmaps: DataFrame, blocks: int, flag: str) -
     return joined.withColumn(flag, F.coalesce(found, F.lit(False))).drop(at, bits)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Inner join of rows with one row a key, where single keys may hold a large part of all rows.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner or left join of rows with one row a key, where single keys may hold a large part of all rows.
 
     Keys with at least total / HEAVY rows (at most HEAVY of them) are broadcast; their rows never
     meet in one task. The other keys are joined by shuffle, none of them larger than total / HEAVY.
@@ -122,7 +128,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     heavy = groups.filter(F.col(size) >= least)
     light = groups.filter(F.col(size) < least)
     a = rows.join(F.broadcast(heavy), key)
-    b = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    b = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
     return a.unionByName(b)
 
 

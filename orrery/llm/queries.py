@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, exact_dedup, lm_score, near_dedup
+from orrery.llm import bpe, exact_dedup, lm_score, near_dedup, warc
 from orrery.llm import common as C
 from orrery.llm.sql import SQL
 
@@ -31,6 +32,24 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(counted, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{C.shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    headers = C.cut(warc.headers(warc.read(spark, path)))
+    # lengths of the stored payloads by digest; a digest that many records name is joined by broadcast
+    stored = headers.filter("valid AND length IS NOT NULL").groupBy("sha256").agg(F.first("length").alias("payload_bytes"))
+    named = headers.groupBy("sha256").agg(F.count("*").alias("records"))
+    store = C.cut(stored.join(named, "sha256"))
+    full = C.join_groups(headers.drop("length"), store, "sha256", "records", headers.count())
+    return full.select(
+        "page_id",
+        "payload_bytes",
+        F.col("sha1").alias("payload_digest"),
+        "record_type",
+        F.split("refers_to", ":")[2].cast("long").alias("refers_to"),
+    )
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(_table(spark, sf_dir, "documents"), held_out=C.crc_mod("doc_id", 7) == 2)
 
@@ -43,6 +62,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_warc": op8_warc,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }

@@ -17,4 +17,18 @@ FROM d
 WINDOW g AS (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST, rn)
 """
 
-SQL: dict[str, str] = {"op5_exact_dedup": OP5}
+OP8 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+), g AS (
+  SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+         CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS holder
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN holder = page_id THEN NULL ELSE holder END AS refers_to
+FROM g
+"""
+
+SQL: dict[str, str] = {"op5_exact_dedup": OP5, "op8_warc": OP8}
