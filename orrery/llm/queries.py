@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, exact_dedup, lm_score, near_dedup, warc
+from orrery.llm import bpe, exact_dedup, lm_score, mixing, near_dedup, warc
 from orrery.llm import common as C
 from orrery.llm.sql import SQL
 
@@ -21,6 +21,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(_table(spark, sf_dir, "documents")).documents()
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,6 +65,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_mixing": op6_mixing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_warc": op8_warc,
     "op9_lm_scoring": op9_lm_scoring,
