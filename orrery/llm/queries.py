@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, exact_dedup, lm_score, mixing, near_dedup, warc
+from orrery.llm import bpe, exact_dedup, fingerprints, lm_score, mixing, near_dedup, warc
 from orrery.llm import common as C
 from orrery.llm.sql import SQL
 
@@ -17,6 +17,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also near_docs: for every document whose id is divisible by 20, how many others have a fingerprint within 3 bits."""
+    found = C.cut(fingerprints.compare_with_edits(_table(spark, sf_dir, "documents")))
+    queries = found.filter("doc_id % 20 = 0")
+    sizes = found.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    near = fingerprints.search(queries, found).join(sizes.withColumnRenamed("fingerprint", "match"), "match")
+    counts = C.cut(near.groupBy(F.col("query").alias("fingerprint")).agg((F.sum("n") - 1).alias("near_docs")).join(sizes, "fingerprint"))
+    asked = C.join_groups(queries, counts, "fingerprint", "n", found.count()).drop("n")
+    return asked.unionByName(found.filter("doc_id IS NULL OR doc_id % 20 <> 0").withColumn("near_docs", F.lit(None).cast("long")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +75,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_fingerprints": op4_fingerprints,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_byte_bpe": op7_byte_bpe,
