@@ -5,14 +5,11 @@ from __future__ import annotations
 import numpy as np
 import zstandard
 
-#: Bytes of a code at most (7 bits a byte), so codes stay under 2**28.
-_MOST = 4
 
-
-def squeeze(*parts: bytes) -> bytes:
+def squeeze(*parts: bytes, level: int = 3) -> bytes:
     """Several byte strings as one compressed one."""
     heads = np.array([len(parts), *map(len, parts)], dtype=np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(heads + b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(heads + b"".join(parts))
 
 
 def unsqueeze(data: bytes) -> list[bytes]:
@@ -24,27 +21,26 @@ def unsqueeze(data: bytes) -> list[bytes]:
 
 
 def pack_codes(codes: np.ndarray) -> bytes:
-    """Non-negative integers, small ones in fewer bytes."""
-    codes = codes.astype(np.uint32)
-    out = np.empty((len(codes), _MOST), dtype=np.uint8)
-    keep = np.empty((len(codes), _MOST), dtype=bool)
-    for k in range(_MOST):
-        rest = codes >> np.uint32(7 * (k + 1))
-        out[:, k] = (codes >> np.uint32(7 * k)) & np.uint32(127) | ((rest > 0).astype(np.uint32) << np.uint32(7))
-        keep[:, k] = True if k == 0 else (codes >> np.uint32(7 * k)) > 0
-    return out[keep].tobytes()
+    """Non-negative integers, small ones in fewer bytes of seven bits.
+
+    All first bytes come first, then all second ones: each kind compresses by its own statistics.
+    """
+    planes, rest = [np.array([len(codes)], dtype=np.int64).tobytes()], codes.astype(np.uint64)
+    while len(rest):
+        more = rest >= 128
+        planes.append(((rest & np.uint64(127)) | (more.astype(np.uint64) << np.uint64(7))).astype(np.uint8).tobytes())
+        rest = rest[more] >> np.uint64(7)
+    return b"".join(planes)
 
 
 def unpack_codes(data: bytes) -> np.ndarray:
-    a = np.frombuffer(data, np.uint8)
-    last = a < 128
-    ends = np.flatnonzero(last)
-    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    total = np.zeros(len(ends), dtype=np.int64)
-    for k in range(_MOST):
-        at = starts + k
-        has = at <= ends
-        total[has] |= (a[at[has]] & 127).astype(np.int64) << (7 * k)
+    n, at, shift = int(np.frombuffer(data, np.int64, 1)[0]), 8, 0
+    total, where = np.zeros(n, dtype=np.int64), np.arange(n)
+    while len(where):
+        plane = np.frombuffer(data, np.uint8, len(where), at)
+        total[where] |= (plane & 127).astype(np.int64) << shift
+        at, shift = at + len(where), shift + 7
+        where = where[plane >= 128]
     return total
 
 
