@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, exact_dedup, fingerprints, lm_score, mixing, near_dedup, warc
+from orrery.llm import bpe, exact_dedup, fingerprints, lm_score, mixing, near_dedup, quality, substring_dedup, warc
 from orrery.llm import common as C
 from orrery.llm.sql import SQL
 
@@ -17,6 +17,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"), "kept_in")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scores = quality.classify(docs, labels, train=C.crc_mod("doc_id", 3) != 1)
+    held_out = F.coalesce(C.crc_mod("doc_id", 3) == 1, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also near_docs: for every document whose id is divisible by 20, how many others have a fingerprint within 3 bits."""
     found = C.cut(fingerprints.compare_with_edits(_table(spark, sf_dir, "documents")))
@@ -75,6 +87,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op3_quality": op3_quality,
     "op4_fingerprints": op4_fingerprints,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mixing": op6_mixing,
