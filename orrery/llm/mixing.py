@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -179,10 +180,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = texts.join(plan, key).drop(key)
     word, names = re.compile(WORD), docs.columns
 
-    def cut_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for row in pdf.to_dict("records"):
+            for row in batch.to_pylist():
                 text = row[text_col]
                 words = [m.span() for m in word.finditer(text)]
                 taken = row.pop(spans)
@@ -195,8 +196,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                             else:
                                 runs.append([s["lo"], s["hi"]])
                     part = text if runs == [[0, len(words)]] else "\n".join(text[words[a][0] : words[b - 1][1]] for a, b in runs)
-                    rows.append(row | {text_col: part, length_col: len(part)})
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
+                    rows.append(row | {text_col: part} | ({length_col: len(part)} if length_col in row else {}))
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([batch.schema.field(n) for n in names]))
 
-    return joined.select(*names, spans).mapInPandas(cut_out, docs.schema)
+    return joined.select(*names, spans).mapInArrow(cut_out, docs.schema)

@@ -177,12 +177,15 @@ def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 def scored(rows: DataFrame, model: Model | None) -> DataFrame:
     """rows (doc_id, row_key, x) with ``score`` instead of x."""
 
-    def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            score = model.score(_matrix(pdf)) if model is not None and len(pdf) else np.full(len(pdf), 0.5)
-            yield pdf[["doc_id", "row_key"]].assign(score=score)
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if model is None or not len(b):
+                score = np.full(len(b), 0.5)
+            else:
+                score = model.score(b.column("x").flatten().to_numpy().reshape(len(b), len(NAMES)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(score)], names=["doc_id", "row_key", "score"])
 
-    return rows.mapInPandas(f, "doc_id long, row_key binary, score double")
+    return rows.mapInArrow(f, "doc_id long, row_key binary, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, train: Column | None = None, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 200_000) -> DataFrame:

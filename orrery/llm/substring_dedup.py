@@ -23,7 +23,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,16 +111,16 @@ def cover(removed: list[tuple[int, int, object]], kept: list[tuple[int, int]]) -
     return out
 
 
-def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("serial", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("kept_in", pa.list_(pa.int64()))])
+    for batch in batches:
         rows = []
-        for doc_id, serial, spans in pdf[["doc_id", "serial", "spans"]].itertuples(index=False):
-            removed = [(s["start"], s["end"], s["source"]) for s in spans if not s["stays"]]
-            kept = [(s["start"], s["end"]) for s in spans if s["stays"]]
+        for row in batch.to_pylist():
+            removed = [(s["start"], s["end"], s["source"]) for s in row["spans"] if not s["stays"]]
+            kept = [(s["start"], s["end"]) for s in row["spans"] if s["stays"]]
             for start, end, sources in cover(removed, kept):
-                rows.append((doc_id, serial, start, end, sorted({int(x) for x in sources if x is not None and x == x})))
-        out = pd.DataFrame(rows, columns=["doc_id", "serial", "start", "end", "kept_in"])
-        yield out.astype({"doc_id": "Int64", "serial": "int64", "start": "int64", "end": "int64"})
+                rows.append({"doc_id": row["doc_id"], "serial": row["serial"], "start": start, "end": end, "kept_in": sorted({x for x in sources if x is not None})})
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def _found(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -137,7 +136,7 @@ def _repeats(found: DataFrame) -> DataFrame:
     stays = (F.col("serial") == F.col("first.serial")) & (F.col("start") == F.col("first.start"))
     spans = joined.select("doc_id", "serial", F.struct("start", "end", F.col("first.doc_id").alias("source"), stays.alias("stays")).alias("span"))
     per_doc = spans.groupBy("serial", "doc_id").agg(F.collect_list("span").alias("spans"), F.bool_and("span.stays").alias("whole")).filter("NOT whole")
-    return per_doc.select("doc_id", "serial", "spans").mapInPandas(_merge, "doc_id long, serial long, start long, end long, kept_in array<long>")
+    return per_doc.select("doc_id", "serial", "spans").mapInArrow(_merge, "doc_id long, serial long, start long, end long, kept_in array<long>")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,18 +156,19 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     names = docs.columns
     texts = docs.withColumn(key, C.row_key(id_col, text_col)).dropDuplicates([key])
 
-    def cut_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             new = []
-            for text, gone in zip(pdf[text_col], pdf[removed], strict=True):
-                if gone is not None and len(gone):
+            for text, gone in zip(batch.column(text_col).to_pylist(), batch.column(removed).to_pylist(), strict=True):
+                if gone:
                     at, parts = 0, []
                     for span in gone:
                         parts.append(text[at : span["start"]])
                         at = span["end"]
                     text = "".join([*parts, text[at:]])
                 new.append(text)
-            yield pdf.assign(**{text_col: new})
+            k = batch.schema.get_field_index(text_col)
+            yield batch.set_column(k, batch.schema.field(k), pa.array(new, batch.schema.field(k).type))
 
     joined = texts.join(plan, key).select(*names, removed)
-    return joined.mapInPandas(cut_out, joined.schema)
+    return joined.mapInArrow(cut_out, joined.schema)
