@@ -1,19 +1,56 @@
-"""A corpus from documents in stages, each one operator; each stage reads what its predecessor kept."""
+"""A training corpus from documents, in stages of one operator each.
+
+Each stage gets the rows that its predecessor kept, and what it decides takes effect: rejected documents
+and copies go, the mix repeats or thins what is left, and the last stage gives token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.llm import bpe, common, exact_dedup, mixing, near_dedup, quality
+
 
-from orrery.llm import common, exact_dedup
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that it rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Exact dedup: of equal texts the smallest doc_id stays."""
     return exact_dedup.exact_dedup(docs)
 
 
-STAGES = [("exact dedup", dedup_exact)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup on shingles of five words, similarity 0.8 or more; one of each group stays."""
+    return near_dedup.near_dedup(docs, width=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights; documents return as often as the mix takes them, whole or in part."""
+    return mixing.mixed_documents(docs, block=256)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE: token ids, and a digest of what they decode to."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    both = encoded.withColumn("copy", F.col("ids"))
+    return bpe.decode(both, ranks, "copy").select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", drop_copies),
+    ("minhash near-dedup", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("byte-level bpe", tokenize),
+]
 
-#: SQL cannot express the classifier, the sketches or the tokenizer.
+#: SQL cannot express the classifier, the sketches, the permutations or the tokenizer.
 ORACLE_SQL: str | None = None
 
 
@@ -21,7 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; between two stages the rows are written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        if k:
+            docs = common.stored(docs)
         docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.cut(docs)
     return docs
