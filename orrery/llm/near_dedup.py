@@ -5,7 +5,7 @@ registers: each is the minimum over the set of exponential variables, on an expo
 scale of base BASE, truncated to 0..255. Registers merge by maximum and two of them agree with a
 probability close to the Jaccard similarity. BANDS bands of 8 registers give bucket keys: a pair of
 similarity 0.8 shares no bucket with a probability of 4e-6. Candidates pass a joint likelihood
-estimate (five standard errors below the threshold) and are then confirmed on the full sets.
+estimate (4.5 standard errors below the threshold) and are then confirmed on the full sets.
 
 Equal sets are one node. In a bucket every node is first held against the bucket's head, the one that
 meets the most others; only members that are still in different components after that, and that the
@@ -33,6 +33,10 @@ from orrery.llm import common as C
 from orrery.llm import graph, hashing
 
 REGISTERS, WIDTH, BASE, RATE = 512, 8, 1.1, 1 / 32
+#: Members of a bucket that are held against each other at once.
+PIECE = 2048
+#: An estimate may be so much below the threshold: 4.5 standard errors at 0.8.
+MARGIN = 4.5 * (0.8 * 0.2 / REGISTERS) ** 0.5
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)
 _MUL = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -111,7 +115,7 @@ def _with_set(width: int):
 def _common(floor: float | None):
     """Pairs with both sketches and sets -> a, b, common, all: the sizes of intersection and union.
 
-    With a floor, pairs are left out whose likeliest similarity is five standard errors below it.
+    With a floor, pairs are left out whose likeliest similarity is more than MARGIN below it.
     """
 
     def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,7 +123,7 @@ def _common(floor: float | None):
             if floor is not None and len(pdf):
                 a, b = (np.array(pdf[c].tolist(), dtype=np.int64).view(np.uint8) for c in ("regs_a", "regs_b"))
                 j = estimate((a > b).sum(axis=1), (a < b).sum(axis=1), pdf["n_a"].to_numpy(float), pdf["n_b"].to_numpy(float))
-                pdf = pdf[j >= floor - 5 * np.sqrt(0.25 / REGISTERS)]
+                pdf = pdf[j >= floor - MARGIN]
             common = [
                 len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
                 for x, y in zip(pdf["items_a"], pdf["items_b"], strict=True)
@@ -130,6 +134,66 @@ def _common(floor: float | None):
     return f
 
 
+def _cross(percent: int):
+    """Bucket members, sorted by bucket -> pairs of different components that are likely enough."""
+    floor = percent / 100 - MARGIN
+
+    def pairs(label, n, far, piece, mixed, regs) -> tuple[np.ndarray, np.ndarray]:
+        out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(n), 256):
+            me = slice(lo, lo + 256)
+            ok = (label[me, None] != label[None, :]) & (np.arange(lo, lo + len(n[me]))[:, None] < np.arange(len(n))[None, :])
+            ok &= 100 * np.minimum(n[me, None], n[None, :]) >= percent * np.maximum(n[me, None], n[None, :])
+            ok &= np.abs(far[me, None] - far[None, :]) <= 1 - percent / 100 + 1e-9
+            if mixed:
+                ok &= piece[me, None] != piece[None, :]
+            i, j = np.nonzero(ok)
+            i += lo
+            for at in range(0, len(i), 10_000):
+                x, y = i[at : at + 10_000], j[at : at + 10_000]
+                a, b = regs[x], regs[y]
+                above, below = (a > b).sum(axis=1), (a < b).sum(axis=1)
+                near = np.flatnonzero(above + below <= REGISTERS * (1 - floor))
+                near = near[estimate(above[near], below[near], n[x[near]], n[y[near]]) >= floor] if len(near) else near
+                out_i.append(x[near])
+                out_j.append(y[near])
+        return np.concatenate(out_i), np.concatenate(out_j)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def work(t: pa.Table) -> pa.RecordBatch:
+            key, p, q = (t.column(c).to_numpy() for c in ("key", "p", "q"))
+            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]), [True]]))
+            cls, label = np.array(t.column("cls").to_pylist(), dtype=object), np.unique(np.array(t.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
+            n, far, piece = (t.column(c).to_numpy() for c in ("n", "far", "piece"))
+            regs = t.column("regs").combine_chunks().flatten().to_numpy().view(np.uint8).reshape(len(t), REGISTERS)
+            a, b = [], []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                s = slice(lo, hi)
+                i, j = pairs(label[s], n[s].astype(float), far[s], piece[s], p[lo] != q[lo], regs[s]) if hi - lo > 1 else ((), ())
+                for x, y in zip(i, j, strict=True):
+                    x, y = sorted((cls[lo + x], cls[lo + y]))
+                    a.append(x)
+                    b.append(y)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            key, p, q = (t.column(c).to_numpy() for c in ("key", "p", "q"))
+            inner = np.flatnonzero((key != key[-1]) | (p != p[-1]) | (q != q[-1]))
+            end = int(inner[-1]) + 1 if len(inner) else 0
+            if end:
+                yield work(t.slice(0, end))
+            held = t.slice(end)
+        if held is not None and len(held):
+            yield work(held)
+
+    return f
+
+
 def _compare(pairs: DataFrame, full: DataFrame, floor: float | None) -> DataFrame:
     sides = [full.select(F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "regs", "items"))) for s in "ab"]
     return pairs.join(sides[0], "a").join(sides[1], "b").mapInPandas(_common(floor), "a binary, b binary, common long, all long")
@@ -174,11 +238,15 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
         .join(far, ["head", "cls"], "left")
         .select("key", "cls", "n", F.coalesce("label", "cls").alias("label"), F.coalesce("far", F.lit(0.0)).alias("far"))
     )
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    left = placed.filter("far > 0").join(mixed, "key", "left_semi")
-    right = left.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("far").alias("away"))
-    maybe = f"label < other AND 100 * least(n, m) >= {percent} * greatest(n, m) AND abs(far - away) <= {1 - percent / 100 + 1e-9}"
-    rest = left.withColumnRenamed("cls", "a").join(right, "key").filter(maybe).select("a", "b").distinct()
+    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k"))
+    mixed = mixed.filter("lo <> hi").select("key", F.ceil(F.col("k") / PIECE).alias("pieces"))
+    parts = placed.filter("far > 0").join(mixed, "key").join(full.select("cls", "regs"), "cls")
+    # buckets in pieces of PIECE members; every pair of pieces meets once
+    piece, other = F.pmod(F.xxhash64("cls"), F.col("pieces")), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    parts = parts.withColumns({"piece": piece}).withColumn("other", other)
+    parts = parts.select("key", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "piece", "cls", "label", "n", "far", "regs")
+    parts = parts.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    rest = parts.mapInArrow(_cross(percent), "a binary, b binary").distinct()
     links = links.unionByName(_compare(rest, full, percent / 100).filter(linked).select("a", "b"))
     label = graph.components(links)
     # back to documents
