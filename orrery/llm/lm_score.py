@@ -51,7 +51,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
         shift += np.log(x + k)
     z = x + 8
     i = 1 / (z * z)
-    series = (1 / 12 - i * (1 / 360 - i * (1 / 1260 - i * (1 / 1680)))) / z
+    series = (1 / 12 - i * (1 / 360 - i * (1 / 1260 - i * (1 / 1680 - i / 1188)))) / z
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series - shift
 
 
