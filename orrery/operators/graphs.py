@@ -30,16 +30,17 @@ def walk_profiles(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame
     Walk counts go along the edges by a join and a sum for each length.
     """
     nodes = vertices(edges) if nodes is None else nodes
-    sizes = nodes.groupBy("graph").agg(F.count("*").cast("double").alias("size"))
-    walks = nodes.select("graph", "v", F.lit(1.0).alias("n"))
-    out = None
-    for t in range(1, LENGTHS + 1):
-        step = edges.join(walks.withColumnRenamed("v", "src"), ["graph", "src"]).select("graph", F.col("dst").alias("v"), "n")
-        walks = step.groupBy("graph", "v").agg(F.sum("n").alias("n"))
-        total = walks.groupBy("graph").agg(F.sum("n").alias("n"))
-        row = sizes.join(total, "graph", "left").select("graph", F.lit(t).alias("t"), (F.coalesce("n", F.lit(0.0)) / (F.col("size") * F.col("size"))).alias("memo"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    # a marked edge from each vertex to itself brings its own history along, so a step reads the last one once
+    marked = edges.select("graph", "src", "dst", F.lit(False).alias("own")).unionByName(nodes.select("graph", F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(True).alias("own")))
+    walks = nodes.select("graph", F.col("v").alias("src"), F.array(F.lit(1.0)).alias("h"))
+    for _ in range(LENGTHS):
+        here = F.max(F.when(F.col("own"), F.col("h")))
+        new = F.coalesce(F.sum(F.when(~F.col("own"), F.element_at("h", -1))), F.lit(0.0))
+        walks = marked.join(walks, ["graph", "src"]).groupBy("graph", F.col("dst").alias("src")).agg(F.concat(here, F.array(new)).alias("h"))
+    size = F.count("*").cast("double")
+    totals = walks.groupBy("graph").agg(*((F.sum(F.col("h")[t]) / (size * size)).alias(f"m{t}") for t in range(1, LENGTHS + 1)))
+    cells = F.array(*(F.struct(F.lit(t).alias("t"), F.col(f"m{t}").alias("memo")) for t in range(1, LENGTHS + 1)))
+    return totals.select("graph", F.explode(cells).alias("c")).select("graph", "c.*")
 
 
 def points(profiles: DataFrame) -> DataFrame:

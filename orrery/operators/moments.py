@@ -92,14 +92,12 @@ def covariance(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def by_dimension(df: DataFrame, vec_col: str, dim: int) -> DataFrame:
-    """(dim, n, mean, var): statistics of each component of a vector column, in one pass without a shuffle of rows."""
-    v = F.col(vec_col).cast("array<double>")
-    cells = []
-    aggs = []
-    for k in range(dim):
-        aggs += [F.count(v[k]).alias(f"n{k}"), F.avg(v[k]).alias(f"a{k}"), F.var_pop(v[k]).alias(f"v{k}")]
-        cells.append(F.struct(F.lit(k).alias("dim"), F.col(f"n{k}").alias("n"), F.col(f"a{k}").alias("mean"), F.col(f"v{k}").alias("var")))
-    return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    """(dim, n, mean, var): statistics of each of the first ``dim`` components of a vector column.
+
+    Components are summed within a task; one row a component leaves it.
+    """
+    cells = df.select(F.posexplode(F.slice(F.col(vec_col).cast("array<double>"), 1, dim)).alias("dim", "x"))
+    return cells.groupBy("dim").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
 
 
 def variance_order(df: DataFrame, vec_col: str, dim: int) -> DataFrame:
