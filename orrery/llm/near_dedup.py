@@ -5,12 +5,13 @@ registers: each is the minimum over the set of exponential variables, on an expo
 scale of base BASE, truncated to 0..255. Registers merge by maximum and two of them agree with a
 probability close to the Jaccard similarity. BANDS bands of 8 registers give bucket keys: a pair of
 similarity 0.8 shares no bucket with a probability of 4e-6. Candidates pass a joint likelihood
-estimate (4.5 standard errors below the threshold) and are then confirmed on the full sets.
+estimate (4.5 standard errors below the threshold); every link is confirmed on the full sets.
 
 Equal sets are one node. In a bucket every node is first held against the bucket's head, the one that
-meets the most others; only members that are still in different components after that, and that the
-triangle inequality allows to be linked, are held against each other. A group of near copies costs
-links in proportion to its size, and no link between components is missed.
+meets the most others. Nodes held against the same head that are still in different components, and that
+the triangle inequality and the sketches allow to be linked, are then held against each other in blocks of
+bounded size, the likeliest first and none that are connected by then. A group of near copies gives links in
+proportion to its size, and no link between components is missed.
 
 Defined results: null and empty texts have no set and are linked with nothing; a text of fewer words
 than the shingle is one shingle; rows with null ids take part, a component's id is its least
@@ -33,8 +34,8 @@ from orrery.llm import common as C
 from orrery.llm import graph, hashing
 
 REGISTERS, WIDTH, BASE, RATE = 512, 8, 1.1, 1 / 32
-#: Members of a bucket that are held against each other at once.
-PIECE = 2048
+#: Members of a head's group that are held against each other at once, and shingles of theirs.
+PIECE, PIECE_ITEMS = 512, 4_000_000
 #: An estimate may be so much below the threshold: 4.5 standard errors at 0.8.
 MARGIN = 4.5 * (0.8 * 0.2 / REGISTERS) ** 0.5
 _rng = np.random.default_rng(7)
@@ -112,37 +113,41 @@ def _with_set(width: int):
     return f
 
 
-def _common(floor: float | None):
-    """Pairs with both sketches and sets -> a, b, common, all: the sizes of intersection and union.
+def _shared(a: bytes, b: bytes) -> int:
+    return len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
 
-    With a floor, pairs are left out whose likeliest similarity is more than MARGIN below it.
-    """
 
-    def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if floor is not None and len(pdf):
-                a, b = (np.array(pdf[c].tolist(), dtype=np.int64).view(np.uint8) for c in ("regs_a", "regs_b"))
-                j = estimate((a > b).sum(axis=1), (a < b).sum(axis=1), pdf["n_a"].to_numpy(float), pdf["n_b"].to_numpy(float))
-                pdf = pdf[j >= floor - MARGIN]
-            common = [
-                len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                for x, y in zip(pdf["items_a"], pdf["items_b"], strict=True)
-            ]
-            pdf = pdf.assign(common=np.array(common, dtype=np.int64))
-            yield pdf.assign(**{"all": pdf["n_a"] + pdf["n_b"] - pdf["common"]})[["a", "b", "common", "all"]]
+def _common(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs with both sets -> a, b, common, all: the sizes of intersection and union."""
+    for pdf in frames:
+        pdf = pdf.assign(common=np.array(list(map(_shared, pdf["items_a"], pdf["items_b"])), dtype=np.int64))
+        yield pdf.assign(**{"all": pdf["n_a"] + pdf["n_b"] - pdf["common"]})[["a", "b", "common", "all"]]
 
-    return f
+
+class _Forest:
+    """Components of a block's members: those known before, and what links found in the block add."""
+
+    def __init__(self, labels: np.ndarray):
+        self.of = labels.copy()
+
+    def join(self, i: int, j: int) -> None:
+        self.of[self.of == self.of[j]] = self.of[i]
 
 
 def _cross(percent: int):
-    """Bucket members, sorted by bucket -> pairs of different components that are likely enough."""
-    floor = percent / 100 - MARGIN
+    """Members of a head's group, sorted by piece pair -> confirmed links between different components.
 
-    def pairs(label, n, far, piece, mixed, regs) -> tuple[np.ndarray, np.ndarray]:
-        out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    Size, distance to the head and the sketches say which pairs can be linked; the likeliest are confirmed
+    first on the full sets, and pairs that a found link has connected are left out. So a block of members
+    gives fewer links than it has members.
+    """
+    least = percent / 100 - MARGIN
+
+    def links(label, n, far, piece, mixed, regs, items) -> Iterator[tuple[int, int]]:
+        forest = _Forest(label)
         for lo in range(0, len(n), 256):
             me = slice(lo, lo + 256)
-            ok = (label[me, None] != label[None, :]) & (np.arange(lo, lo + len(n[me]))[:, None] < np.arange(len(n))[None, :])
+            ok = (forest.of[me, None] != forest.of[None, :]) & (np.arange(lo, lo + len(n[me]))[:, None] < np.arange(len(n))[None, :])
             ok &= 100 * np.minimum(n[me, None], n[None, :]) >= percent * np.maximum(n[me, None], n[None, :])
             ok &= np.abs(far[me, None] - far[None, :]) <= 1 - percent / 100 + 1e-9
             if mixed:
@@ -151,52 +156,61 @@ def _cross(percent: int):
             i += lo
             for at in range(0, len(i), 10_000):
                 x, y = i[at : at + 10_000], j[at : at + 10_000]
+                apart = forest.of[x] != forest.of[y]
+                x, y = x[apart], y[apart]
                 a, b = regs[x], regs[y]
                 above, below = (a > b).sum(axis=1), (a < b).sum(axis=1)
-                near = np.flatnonzero(above + below <= REGISTERS * (1 - floor))
-                near = near[estimate(above[near], below[near], n[x[near]], n[y[near]]) >= floor] if len(near) else near
-                out_i.append(x[near])
-                out_j.append(y[near])
-        return np.concatenate(out_i), np.concatenate(out_j)
+                near = np.flatnonzero(above + below <= REGISTERS * (1 - least))
+                if not len(near):
+                    continue
+                like = estimate(above[near], below[near], n[x[near]], n[y[near]])
+                for k in near[np.argsort(-like, kind="stable")[: int((like >= least).sum())]]:
+                    p, q = int(x[k]), int(y[k])
+                    if forest.of[p] != forest.of[q]:
+                        common = _shared(items[p], items[q])
+                        if 100 * common >= percent * (n[p] + n[q] - common):
+                            forest.join(p, q)
+                            yield p, q
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def work(t: pa.Table) -> pa.RecordBatch:
-            key, p, q = (t.column(c).to_numpy() for c in ("key", "p", "q"))
-            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]), [True]]))
-            cls, label = np.array(t.column("cls").to_pylist(), dtype=object), np.unique(np.array(t.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
-            n, far, piece = (t.column(c).to_numpy() for c in ("n", "far", "piece"))
+        def ends(t: pa.Table) -> np.ndarray:
+            """Where a new group starts."""
+            head, p, q = np.array(t.column("head").to_pylist(), dtype=object), t.column("p").to_numpy(), t.column("q").to_numpy()
+            return np.flatnonzero((head[1:] != head[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+
+        def work(t: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+            cls, items = t.column("cls").to_pylist(), t.column("items").to_pylist()
+            label = np.unique(np.array(t.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
+            n, far, piece, p, q = (t.column(c).to_numpy() for c in ("n", "far", "piece", "p", "q"))
             regs = t.column("regs").combine_chunks().flatten().to_numpy().view(np.uint8).reshape(len(t), REGISTERS)
-            a, b = [], []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                s = slice(lo, hi)
-                i, j = pairs(label[s], n[s].astype(float), far[s], piece[s], p[lo] != q[lo], regs[s]) if hi - lo > 1 else ((), ())
-                for x, y in zip(i, j, strict=True):
-                    x, y = sorted((cls[lo + x], cls[lo + y]))
-                    a.append(x)
-                    b.append(y)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            out = []
+            for lo, hi in zip([0, *cuts], [*cuts, len(t)], strict=True):
+                if hi - lo > 1:
+                    s = slice(lo, hi)
+                    for i, j in links(label[s], n[s].astype(np.int64), far[s], piece[s], p[lo] != q[lo], regs[s], items[s]):
+                        out.append(sorted((cls[lo + i], cls[lo + j])))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             if not len(batch):
                 continue
             t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            key, p, q = (t.column(c).to_numpy() for c in ("key", "p", "q"))
-            inner = np.flatnonzero((key != key[-1]) | (p != p[-1]) | (q != q[-1]))
-            end = int(inner[-1]) + 1 if len(inner) else 0
-            if end:
-                yield work(t.slice(0, end))
-            held = t.slice(end)
+            cuts = ends(t)
+            if len(cuts):
+                yield work(t.slice(0, int(cuts[-1])), cuts[:-1])
+                t = t.slice(int(cuts[-1]))
+            held = t
         if held is not None and len(held):
-            yield work(held)
+            yield work(held, np.zeros(0, np.int64))
 
     return f
 
 
-def _compare(pairs: DataFrame, full: DataFrame, floor: float | None) -> DataFrame:
-    sides = [full.select(F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "regs", "items"))) for s in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").mapInPandas(_common(floor), "a binary, b binary, common long, all long")
+def _compare(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    sides = [full.select(F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "items"))) for s in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInPandas(_common, "a binary, b binary, common long, all long")
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,27 +241,25 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     sets = C.probe(sets, "cls", C.member_filter(wanted, "cls", blocks), blocks, "wanted").filter("wanted")
     full = C.cut(sets.groupBy("cls").agg(F.first("items").alias("items")).join(classes.select("cls", "n", "regs"), "cls").join(wanted, "cls", "left_semi"))
     linked = f"100 * common >= {percent} * all"
-    star = C.cut(_compare(bands.filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), full, None))
+    star = C.cut(_compare(bands.filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), full))
     links = star.filter(linked).select("a", "b")
     label = graph.components(links)
-    # What shares a bucket and is not connected yet. Both were held against the head, and Jaccard distance
-    # is a metric: two whose distances to the head differ by more than the limit cannot be linked.
-    far = star.select(F.col("a").alias("head"), F.col("b").alias("cls"), (1 - F.col("common") / F.col("all")).alias("far"))
-    placed = C.cut(
-        bands.join(label, bands.cls == label.node, "left")
-        .join(far, ["head", "cls"], "left")
-        .select("key", "cls", "n", F.coalesce("label", "cls").alias("label"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    )
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k"))
-    mixed = mixed.filter("lo <> hi").select("key", F.ceil(F.col("k") / PIECE).alias("pieces"))
-    parts = placed.filter("far > 0").join(mixed, "key").join(full.select("cls", "regs"), "cls")
-    # buckets in pieces of PIECE members; every pair of pieces meets once
+    # What was held against the same head and is not connected yet. Jaccard distance is a metric: two whose
+    # distances to the head differ by more than the limit cannot be linked.
+    placed = star.select(F.col("a").alias("head"), F.col("b").alias("cls"), (1 - F.col("common") / F.col("all")).alias("far"))
+    placed = C.cut(placed.join(label, placed.cls == label.node, "left").select("head", "cls", "far", F.coalesce("label", "cls").alias("label")))
+    sizes = full.select("cls", "n")
+    mixed = placed.join(sizes, "cls").groupBy("head").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k"), F.sum("n").alias("sum"))
+    pieces = F.greatest(F.ceil(F.col("k") / PIECE), F.ceil(F.col("sum") / PIECE_ITEMS))
+    mixed = mixed.filter("lo <> hi").select("head", pieces.alias("pieces"))
+    parts = placed.join(mixed, "head").join(full, "cls")
+    # groups in pieces; every pair of pieces meets once
     piece, other = F.pmod(F.xxhash64("cls"), F.col("pieces")), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
     parts = parts.withColumns({"piece": piece}).withColumn("other", other)
-    parts = parts.select("key", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "piece", "cls", "label", "n", "far", "regs")
-    parts = parts.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    rest = parts.mapInArrow(_cross(percent), "a binary, b binary").distinct()
-    links = links.unionByName(_compare(rest, full, percent / 100).filter(linked).select("a", "b"))
+    parts = parts.select("head", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "piece", "cls", "label", "n", "far", "regs", "items")
+    parts = parts.repartition("head", "p", "q").sortWithinPartitions("head", "p", "q")
+    rest = parts.mapInArrow(_cross(percent), "a binary, b binary")
+    links = links.unionByName(rest)
     label = graph.components(links)
     # back to documents
     placed = C.cut(classes.join(label, classes.cls == label.node, "left").select("cls", "least", "members", F.coalesce("label", "cls").alias("label")))
