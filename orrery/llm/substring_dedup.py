@@ -1,12 +1,13 @@
 """Substring dedup by hashing units of text.
 
-Units: every sentence of a line starts one. A sentence ends at ``.``, ``!`` or ``?`` before white space, or
-with its line; one of fewer than ``min_words`` words is joined with the sentences after it in its line until
-it has as many, and is left out if the line ends before. So a passage gives the same units whatever stands
-around it, also in the middle of a line. Units are normalised (lower case, white space as one space),
-hashed to 128 bits and grouped over all documents. The occurrence that ranks first (by doc_id, then
-position) stays; all others are removed, with their offsets in the original text kept. What belongs to a
-kept first occurrence of a repeated unit is never removed.
+Units: every line that is not empty, whatever its length, and in it every sentence. A sentence ends at ``.``,
+``!`` or ``?`` before white space, or with its line; one of fewer than ``min_words`` words is joined with the
+sentences after it in its line until it has as many, and gives no unit of its own if the line ends before. So a
+passage gives the same units whatever stands around it, also in the middle of a line, and a repeated line goes
+as a whole. Units are normalised (lower case, white space as one space), hashed to 128 bits and grouped over
+all documents. The occurrence that ranks first (by doc_id, then position) stays; all others are removed, with
+their offsets in the original text kept. What belongs to a kept first occurrence of a repeated sentence unit is
+never removed, nor the part of a line's first occurrence that no sentence unit covers.
 
 Digests are summed in each task before they shuffle, and units of very frequent digests meet their first
 occurrence by a broadcast of at most 1000 rows, so no unit's occurrences gather in one task.
@@ -33,18 +34,32 @@ MIN_WORDS = 8
 _END = re.compile(r"(?<=[.!?])[ \t\x0b\x0c\r]+|\n+")
 
 
-def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of every unit of a text, offsets in code points."""
+def spans(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes, int]]:
+    """(start, end, digest, own) of every unit of a text, whole lines among them, offsets in code points.
+
+    ``own`` is where the part begins that no other unit of the line covers: the start, but for lines that hold
+    sentence units the end of the last of these.
+    """
     out, line = [], []  # line: (start, end, words) of its sentences
 
+    def unit(start: int, end: int, words: list[str], own: int) -> None:
+        out.append((start, end, hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest(), own))
+
     def close() -> None:
+        if not line:
+            return
+        first, last = line[0][0], line[-1][1]
+        own, whole = first, False
         for k, (start, _, _) in enumerate(line):
             words: list[str] = []
             for _, end, more in line[k:]:
                 words = words + more
                 if len(words) >= min_words:
-                    out.append((start, end, hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()))
+                    unit(start, end, words, start)
+                    own, whole = end, whole or (start, end) == (first, last)
                     break
+        if not whole:
+            unit(first, last, [w for _, _, words in line for w in words], own)
         line.clear()
 
     at = 0
@@ -59,6 +74,11 @@ def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]
     return out
 
 
+def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
+    """(start, end, digest) of the units that lie in no other's line: sentences, and lines that hold no sentence unit."""
+    return [(start, end, digest) for start, end, digest, own in spans(text, min_words) if own == start]
+
+
 def _units(min_words: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -67,9 +87,9 @@ def _units(min_words: int):
         for b in batches:
             rows = []
             for doc_id, key, text in zip(b.column("doc_id").to_pylist(), b.column("row_key").to_pylist(), b.column("text"), strict=True):
-                found = units(text.as_py() or "", min_words)
-                rows.append((doc_id, serial, -1, -1, key))  # the row itself
-                rows += [(doc_id, serial, s, e, d) for s, e, d in found]
+                found = spans(text.as_py() or "", min_words)
+                rows.append((doc_id, serial, -1, -1, key, -1))  # the row itself
+                rows += [(doc_id, serial, *x) for x in found]
                 serial += 1
                 if len(rows) > 50_000:
                     yield _batch(rows)
@@ -79,7 +99,7 @@ def _units(min_words: int):
     return f
 
 
-_FIELDS = [("doc_id", pa.int64()), ("serial", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.binary())]
+_FIELDS = [("doc_id", pa.int64()), ("serial", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.binary()), ("own", pa.int64())]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -117,7 +137,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for row in batch.to_pylist():
             removed = [(s["start"], s["end"], s["source"]) for s in row["spans"] if not s["stays"]]
-            kept = [(s["start"], s["end"]) for s in row["spans"] if s["stays"]]
+            kept = [(s["own"], s["end"]) for s in row["spans"] if s["stays"]]
             for start, end, sources in cover(removed, kept):
                 rows.append({"doc_id": row["doc_id"], "serial": row["serial"], "start": start, "end": end, "kept_in": sorted({x for x in sources if x is not None})})
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -125,7 +145,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _found(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), C.row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    return C.cut(slim.mapInArrow(_units(min_words), "doc_id long, serial long, start long, end long, digest binary"))
+    return C.cut(slim.mapInArrow(_units(min_words), "doc_id long, serial long, start long, end long, digest binary, own long"))
 
 
 def _repeats(found: DataFrame) -> DataFrame:
@@ -134,7 +154,7 @@ def _repeats(found: DataFrame) -> DataFrame:
     groups = C.cut(hashed.groupBy("digest").agg(first, F.count("*").alias("n")).filter("n > 1"))
     joined = C.join_groups(hashed, groups, "digest", "n", hashed.count())
     stays = (F.col("serial") == F.col("first.serial")) & (F.col("start") == F.col("first.start"))
-    spans = joined.select("doc_id", "serial", F.struct("start", "end", F.col("first.doc_id").alias("source"), stays.alias("stays")).alias("span"))
+    spans = joined.select("doc_id", "serial", F.struct("start", "end", "own", F.col("first.doc_id").alias("source"), stays.alias("stays")).alias("span"))
     per_doc = spans.groupBy("serial", "doc_id").agg(F.collect_list("span").alias("spans"), F.bool_and("span.stays").alias("whole")).filter("NOT whole")
     return per_doc.select("doc_id", "serial", "spans").mapInArrow(_merge, "doc_id long, serial long, start long, end long, kept_in array<long>")
 

@@ -372,6 +372,36 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.repeats(empty).count() == 0 and substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substring_dedup_removes_whole_lines(spark):
+    """Of each line, counted by str.split alone, only the first occurrence keeps any text, whatever its length."""
+    from tests.llm.conftest import sentence
+
+    tail, long = sentence(1) + " " + sentence(2) + " The end.", sentence(3)
+    texts = [
+        "Licensed under the MIT license.\n" + tail + "\n\nOne.\nown line of text 1",
+        "own line of text 2\nlicensed  under the mit LICENSE.\n" + tail,
+        tail + "\n}\n" + long + " Short.\n}",
+        "One.\none two.\n" + long + " Short.\n" + long + " Other.",
+        "One.\n" + "\n".join(f"short line {k}" for k in range(30)),
+        "\n".join(f"short line {k}" for k in range(30)) + "\nThe end.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(df).collect()}
+    seen = set()
+    for k, text in enumerate(texts):
+        gone = {p for s in got[k]["removed"] or [] for p in range(s["start"], s["end"])}
+        at = 0
+        for line in text.split("\n"):
+            here, words = set(range(at, at + len(line))), " ".join(line.lower().split())
+            if words in seen:
+                assert here <= gone, (k, line)
+            elif words not in ("", (long + " Other.").lower()):
+                assert not here & gone, (k, line)
+            seen.add(words)
+            at += len(line) + 1
+    assert got[3]["text"].split("\n") == ["", "one two.", "", " Other."]
+
+
 def test_units_and_cover():
     a = "one two three. four five six seven eight nine. ten"
     assert [(s, e) for s, e, _ in substring_dedup.units(a, 5)] == [(0, 46), (15, 46)]
