@@ -4,7 +4,7 @@ Rules are strings of a host and a path (``net/es/``). A rule fits its host and a
 url's path starts with the rule's path; the longest fitting rule wins. The urls that a rule decides are the
 labelled ones: from ``max_rows`` of them at most, drawn by a hash of the url, boosted trees learn to
 decide the urls that no rule fits. Everything is a DataFrame or SQL expression; the suffix statistics come
-from the drawn rows, so the table that is broadcast has ``max_rows`` rows at most.
+from all rows, and only suffixes that hold a thousandth of all rows are broadcast.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is judged by its
 features (a null one as the empty string); with no labelled url, or labels of one kind only, every url
@@ -99,7 +99,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     for rule, kind in kinds.items():
         ruled = F.when(F.col("rule") == rule, F.lit(kind)).otherwise(ruled)
     urls = urls.withColumn("ruled", ruled).withColumn("suffix", F.substring_index("host", ".", -1))
-    drawn = urls.filter("ruled IS NOT NULL").select("url", "host", "path", "suffix", (F.col("ruled") == BLOCK).cast("double").alias("label"))
+    label = (F.col("ruled") == BLOCK).cast("double")
+    drawn = urls.filter("ruled IS NOT NULL").select("url", "host", "path", "suffix", label.alias("label"))
     drawn = C.cut(drawn.orderBy(F.xxhash64("url"), "url").limit(max_rows))
     counts = {r["label"]: r["n"] for r in drawn.groupBy("label").agg(F.count("*").alias("n")).collect()}
     out = ("page_id", "host", "path", "rule")
@@ -107,13 +108,21 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
         verdict = BLOCK if 1.0 in counts else ALLOW
         return urls.select(*out, F.coalesce("ruled", F.lit(verdict)).alias("verdict"), F.lit(float(verdict == BLOCK)).alias("score"))
     prior = counts[1.0] / (counts[0.0] + counts[1.0])
-    # at most max_rows suffixes: how common a suffix is among the drawn urls, and its smoothed share of blocked ones
-    stats = drawn.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_count"), ((F.sum("label") + 10 * prior) / (F.count("*") + 10)).alias("suffix_blocked"))
-    stats = F.broadcast(C.cut(stats))
+    # how common a suffix is among all urls, and its smoothed share of blocked ones among all that a rule decides
+    stats = C.cut(
+        urls.groupBy("suffix")
+        .agg(F.count("*").alias("n"), F.count("ruled").alias("ruled"), F.sum(label).alias("blocked"))
+        .select(
+            "suffix",
+            "n",
+            F.log1p("n").alias("suffix_count"),
+            ((F.coalesce("blocked", F.lit(0.0)) + 10 * prior) / (F.col("ruled") + 10)).alias("suffix_blocked"),
+        )
+    )
+    total = stats.agg(F.sum("n")).first()[0]
 
     def features(df: DataFrame) -> DataFrame:
-        df = with_features(df, "url", "host", "path").join(stats, "suffix", "left")
-        df = df.fillna({"suffix_count": 0.0, "suffix_blocked": prior})
+        df = C.join_groups(with_features(df, "url", "host", "path"), stats, "suffix", "n", total)
         return VectorAssembler(inputCols=[*FEATURES, "suffix_count", "suffix_blocked"], outputCol="features").transform(df)
 
     learner = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, seed=1, checkpointInterval=-1)

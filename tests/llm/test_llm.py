@@ -469,3 +469,18 @@ def test_pipeline(spark, docs, tmp_path):
     for r in out.collect():
         assert r["n_tokens"] == len(r["ids"])
         assert hashlib.sha256(coder.decode_bytes(list(r["ids"]))).hexdigest() == r["decoded_sha256"]
+
+
+def test_url_statistics_are_of_all_rows(spark, monkeypatch):
+    """The draw bounds what the trees are fitted on, not what a suffix is counted over."""
+    seen = []
+    learn = url_filter.GBTClassifier.fit
+    monkeypatch.setattr(url_filter.GBTClassifier, "fit", lambda self, df: (seen.append(df), learn(self, df))[1])
+    urls = [f"http://h{k}.com/a" for k in range(60)] + [f"http://h{k}.net/es/{k}" for k in range(40)] + [f"http://h{k}.net/de/{k}" for k in range(30)] + ["http://h.org/"] * 20
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = url_filter.judge(df, RULES, max_rows=20).collect()
+    assert len(rows) == len(urls)
+    (fitted,) = seen
+    found = {tuple(round(x, 9) for x in r["features"].toArray()[-2:]) for r in fitted.collect()}
+    assert {x[0] for x in found} == {round(math.log1p(60), 9), round(math.log1p(70), 9)}
+    assert fitted.count() <= 20
