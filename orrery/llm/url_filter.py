@@ -2,9 +2,10 @@
 
 Rules are strings of a host and a path (``net/es/``). A rule fits its host and all its subdomains when the
 url's path starts with the rule's path; the longest fitting rule wins. The urls that a rule decides are the
-labelled ones: from ``max_rows`` of them at most, drawn by a hash of the url, boosted trees learn to
-decide the urls that no rule fits. Everything is a DataFrame or SQL expression; the suffix statistics come
-from all rows, and only suffixes that hold a thousandth of all rows are broadcast.
+labelled ones: from ``max_rows`` distinct ones of them at most, drawn by label and a hash of the url and weighted
+back to the rows of their label, boosted trees learn to decide the urls that no rule fits. Everything is a
+DataFrame or SQL expression; label counts and suffix statistics come from all rows, and only suffixes that hold
+a thousandth of all rows are broadcast.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is judged by its
 features (a null one as the empty string); with no labelled url, or labels of one kind only, every url
@@ -87,6 +88,20 @@ def with_features(urls: DataFrame, url: str, h: str, p: str) -> DataFrame:
     )
 
 
+def draw(labelled: DataFrame, urls: dict[float, int], rows: dict[float, int], max_rows: int) -> DataFrame:
+    """At most max_rows distinct urls of both labels, those of lowest hash, with weights that sum to the rows of each label.
+
+    Each label has half of the draw, and what the other leaves. ``urls`` and ``rows`` are counts by label.
+    """
+    half, parts = max_rows // 2, []
+    for k in (0.0, 1.0):
+        take = max(half, max_rows - urls[1.0 - k])
+        part = C.cut(labelled.filter(F.col("label") == k).orderBy(F.xxhash64("url"), "url").limit(take))
+        held = part.agg(F.sum("copies")).first()[0]
+        parts.append(part.withColumn("weight", F.col("copies") * F.lit(rows[k] / held)))
+    return parts[0].unionByName(parts[1])
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", max_rows: int = 20_000, trees: int = 10, depth: int = 4) -> DataFrame:
     """page_id, host, path, rule, verdict, score of every url. ``rules``: (allow or block, rule) pairs."""
     C.prepare(pages.sparkSession)
@@ -100,14 +115,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
         ruled = F.when(F.col("rule") == rule, F.lit(kind)).otherwise(ruled)
     urls = urls.withColumn("ruled", ruled).withColumn("suffix", F.substring_index("host", ".", -1))
     label = (F.col("ruled") == BLOCK).cast("double")
-    drawn = urls.filter("ruled IS NOT NULL").select("url", "host", "path", "suffix", label.alias("label"))
-    drawn = C.cut(drawn.orderBy(F.xxhash64("url"), "url").limit(max_rows))
-    counts = {r["label"]: r["n"] for r in drawn.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    labelled = urls.filter("ruled IS NOT NULL").groupBy("url", "host", "path", "suffix", label.alias("label")).agg(F.count("*").alias("copies"))
+    counts = {r["label"]: r for r in labelled.groupBy("label").agg(F.count("*").alias("urls"), F.sum("copies").alias("n")).collect()}
     out = ("page_id", "host", "path", "rule")
     if len(counts) < 2:
         verdict = BLOCK if 1.0 in counts else ALLOW
         return urls.select(*out, F.coalesce("ruled", F.lit(verdict)).alias("verdict"), F.lit(float(verdict == BLOCK)).alias("score"))
-    prior = counts[1.0] / (counts[0.0] + counts[1.0])
+    prior = counts[1.0]["n"] / (counts[0.0]["n"] + counts[1.0]["n"])
+    drawn = draw(labelled, {k: r["urls"] for k, r in counts.items()}, {k: r["n"] for k, r in counts.items()}, max_rows)
     # how common a suffix is among all urls, and its smoothed share of blocked ones among all that a rule decides
     stats = C.cut(
         urls.groupBy("suffix")
@@ -125,8 +140,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
         df = C.join_groups(with_features(df, "url", "host", "path"), stats, "suffix", "n", total)
         return VectorAssembler(inputCols=[*FEATURES, "suffix_count", "suffix_blocked"], outputCol="features").transform(df)
 
-    learner = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, seed=1, checkpointInterval=-1)
-    model = learner.fit(C.cut(features(drawn).select("features", "label")))
+    learner = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, seed=1, checkpointInterval=-1)
+    model = learner.fit(C.cut(features(drawn).select("features", "label", "weight")))
     judged = model.setProbabilityCol("probability").transform(features(urls))
     from pyspark.ml.functions import vector_to_array
 

@@ -482,5 +482,20 @@ def test_url_statistics_are_of_all_rows(spark, monkeypatch):
     assert len(rows) == len(urls)
     (fitted,) = seen
     found = {tuple(round(x, 9) for x in r["features"].toArray()[-2:]) for r in fitted.collect()}
-    assert {x[0] for x in found} == {round(math.log1p(60), 9), round(math.log1p(70), 9)}
+    prior = 0.4
+    assert found == {(round(math.log1p(60), 9), round(10 * prior / 70, 9)), (round(math.log1p(70), 9), round((40 + 10 * prior) / 50, 9))}
     assert fitted.count() <= 20
+
+
+def test_url_draw_is_by_label(spark):
+    """One url repeated more often than the draw has rows, and labels as rare as one row, are both learnt from."""
+    hot = [("http://hot.com/a",)] * 300
+    df = spark.createDataFrame(hot + [("http://x.net/es/1",), ("http://y.net/es/2",), ("http://z.net/de/3",)], "url string").selectExpr("row_number() OVER (ORDER BY url) AS page_id", "url")
+    rows = url_filter.judge(df, RULES, max_rows=10).collect()
+    assert len(rows) == 303
+    (score,) = [r["score"] for r in rows if r["rule"] is None]
+    assert 0.0 < score < 1.0
+    labelled = spark.createDataFrame([("a", 0.0, 300), ("b", 1.0, 1), ("c", 1.0, 2), ("d", 1.0, 3)], "url string, label double, copies long")
+    drawn = url_filter.draw(labelled, {0.0: 1, 1.0: 3}, {0.0: 300, 1.0: 6}, 2)
+    sums = {r["label"]: (r["n"], r["w"]) for r in drawn.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    assert sums == {0.0: (1, 300.0), 1.0: (1, pytest.approx(6.0))}
