@@ -249,3 +249,21 @@ def test_entry_has_queries():
     names = set(entry.queries())
     assert "allknn_k1" in names
     assert set(entry.oracle_sql()) <= names
+
+
+def test_glm_train_query_reaches_the_optimum(spark, tmp_path):
+    """The gradient of the sums of losses and ridge vanishes at the weights that the registered query gives."""
+    from orrery.plans import model_queries
+
+    rng = np.random.default_rng(4)
+    rows = [(float(q), float(q * p), float(d) / 100, float(t) / 100, "ANR"[f]) for q, p, d, t, f in zip(rng.integers(1, 51, 400), rng.uniform(900, 2000, 400), rng.integers(0, 11, 400), rng.integers(0, 9, 400), rng.integers(0, 3, 400), strict=True)]
+    spark.createDataFrame(rows, "l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {}
+    for r in model_queries.glm_train(spark, str(tmp_path)).collect():
+        got.setdefault(r["label"], {})[r["k"]] = r["weight"]
+    x = np.array([[1.0, q / 50, e / 1e5, d * 10, t * 10] for q, e, d, t, _ in rows])
+    assert sorted(got) == ["A", "N", "R"] and set(got["A"].values()) == {0.0}
+    for c in "NR":
+        w, s = np.array([got[c][k] for k in range(5)]), np.array([1.0 if r[4] == c else -1.0 for r in rows])
+        gradient = -(x * (s / (1 + np.exp(s * (x @ w))))[:, None]).sum(axis=0) + 1e-3 * w
+        assert np.abs(gradient).max() < 1e-4
