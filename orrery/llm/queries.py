@@ -69,16 +69,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{C.shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(_table(spark, sf_dir, "pages"), path)
-    headers = C.cut(warc.headers(warc.read(spark, path)))
-    # lengths of the stored payloads by digest; a digest that many records name is joined by broadcast
-    stored = headers.filter("valid AND length IS NOT NULL").groupBy("sha256").agg(F.first("length").alias("payload_bytes"))
-    named = headers.groupBy("sha256").agg(F.count("*").alias("records"))
-    store = C.cut(stored.join(named, "sha256"))
-    full = C.join_groups(headers.drop("length"), store, "sha256", "records", headers.count())
+    archive = C.stored(warc.read(spark, path))
+    headers = warc.headers(archive).select("page_id", "record_type", "refers_to", "sha256", "length")
+    # a record whose payload is not verified stays, with null bytes and digest
+    full = warc.reconstruct(headers, warc.payloads(archive))
     return full.select(
         "page_id",
-        "payload_bytes",
-        F.col("sha1").alias("payload_digest"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"),
         "record_type",
         F.split("refers_to", ":")[2].cast("long").alias("refers_to"),
     )

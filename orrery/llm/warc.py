@@ -167,8 +167,10 @@ def payloads(archive: DataFrame) -> DataFrame:
 
 
 def reconstruct(header_table: DataFrame, store: DataFrame) -> DataFrame:
-    """Original records: each header with the full payload of its digest.
+    """Original records: each header with the full payload of its digest, null where no verified bytes are stored.
 
-    Spark's adaptive skew join splits a digest that very many headers name.
+    A payload that very many headers name is broadcast to them.
     """
-    return header_table.drop("length").join(store, "sha256", "left")
+    named = C.cut(header_table.groupBy("sha256").agg(F.count("*").alias("records")))
+    total = named.agg(F.sum("records")).first()[0] or 0
+    return C.join_groups(header_table.drop("length"), store.join(named, "sha256"), "sha256", "records", total, "left").drop("records")

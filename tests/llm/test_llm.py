@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import pathlib
 import re
 import zlib
 
@@ -499,3 +500,28 @@ def test_url_draw_is_by_label(spark):
     drawn = url_filter.draw(labelled, {0.0: 1, 1.0: 3}, {0.0: 300, 1.0: 6}, 2)
     sums = {r["label"]: (r["n"], r["w"]) for r in drawn.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
     assert sums == {0.0: (1, 300.0), 1.0: (1, pytest.approx(6.0))}
+
+
+def test_warc_query_rebuilds_payloads(spark, tmp_path, monkeypatch):
+    """Digests come from the rebuilt bytes, not from a revisit's header, and a page of damaged bytes keeps its row."""
+    from orrery.llm import queries
+
+    pages(spark).write.parquet(str(tmp_path / "pages.parquet"))
+    write = warc.write
+
+    def damaged(df, path):
+        write(df, path)
+        folder = pathlib.Path(path.removeprefix("file:"))
+        for f in folder.glob(".*.crc"):
+            f.unlink()
+        for f in folder.glob("part-*"):
+            data = f.read_bytes().replace(b"\r\n\r\nsmall\r\n", b"\r\n\r\nsmalt\r\n")
+            f.write_bytes(re.sub(rb"(WARC-Type: revisit(?:(?!WARC/1.1).)*?WARC-Payload-Digest: sha1:)[0-9a-f]{40}", rb"\g<1>" + b"0" * 40, data, flags=re.S))
+
+    monkeypatch.setattr(warc, "write", damaged)
+    got = queries.op8_warc(spark, str(tmp_path)).collect()
+    key = lambda i, n, d: (rank(i), n or -1, d or "")
+    want = [(r["page_id"], (r["html"] or "").encode()) for r in pages(spark).collect()]
+    want = [(i, None, None) if p == b"small" else (i, len(p), hashlib.sha1(p).hexdigest()) for i, p in want]
+    assert sorted(key(r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in got) == sorted(key(*w) for w in want)
+    assert "revisit" in {r["record_type"] for r in got}
