@@ -108,10 +108,11 @@ def graph_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("graph_kernel", _EDGES + """
 SELECT a.graph AS q, b.graph AS r, round(sum(pow(2, 1 - a.t) * a.memo * b.memo), 4) AS kernel FROM m a JOIN m b ON a.t = b.t GROUP BY ALL""")
 def graph_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walk kernels of all graphs with the (few, one a region) graphs of the table."""
-    points = graphs.points(graphs.walk_profiles(graphs.symmetrised(_edges(spark, sf_dir))))
-    other = F.broadcast(points.select(F.col("graph").alias("r"), F.col("v").alias("u")).limit(1000))
-    return points.join(other, how="cross").select(F.col("graph").alias("q"), "r", F.round(graphs.walk_kernel(F.col("v"), F.col("u")), 4).alias("kernel"))
+    """Walk kernels of all pairs of graphs: products of their profiles, summed over the walk lengths."""
+    m = graphs.walk_profiles(graphs.symmetrised(_edges(spark, sf_dir)))
+    a, b = m.select("t", F.col("graph").alias("q"), F.col("memo").alias("x")), m.select("t", F.col("graph").alias("r"), F.col("memo").alias("y"))
+    kernel = F.sum(F.pow(F.lit(2.0), 1 - F.col("t")) * F.col("x") * F.col("y"))
+    return a.join(b, "t").groupBy("q", "r").agg(F.round(kernel, 4).alias("kernel"))
 
 
 _LAB = """

@@ -267,3 +267,14 @@ def test_glm_train_query_reaches_the_optimum(spark, tmp_path):
         w, s = np.array([got[c][k] for k in range(5)]), np.array([1.0 if r[4] == c else -1.0 for r in rows])
         gradient = -(x * (s / (1 + np.exp(s * (x @ w))))[:, None]).sum(axis=0) + 1e-3 * w
         assert np.abs(gradient).max() < 1e-4
+
+
+def test_graph_kernel_query_has_all_pairs(spark, tmp_path):
+    """More than 1000 graphs, of two vertices or one: every pair has a row."""
+    from orrery.plans import model_queries
+
+    n = 1001
+    spark.range(n).selectExpr("id AS n_nationkey", "id AS n_regionkey").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.range(n).selectExpr("id AS s_suppkey", "id AS s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = model_queries.graph_kernel(spark, str(tmp_path)).agg(F.count("*").alias("n"), F.count_distinct("q").alias("q"), F.count_distinct("r").alias("r")).first()
+    assert tuple(found) == (n * n, n, n)
