@@ -2,13 +2,19 @@
 
 1. Each task cuts its texts into pre-tokens and keeps, a block of texts at a time, the distinct
    pre-tokens and for each text the sequence of their numbers (their positions).
-2. The distinct pre-tokens of all blocks shuffle by their hash, packed into one row for each block and
-   part; every part encodes each distinct pre-token once. A frequent one has one entry a block.
+2. One shuffle deals both out: number sequences by block, distinct pre-tokens by their hash, packed into
+   one row for each block and hash range (so at most one row for each distinct pre-token of a block). Every
+   range encodes each distinct pre-token once; a frequent one has one entry a block.
 3. The ids return to their blocks, and each text's ids are put together by position.
-4. Decoding maps ids through the token-byte table of the vocabulary (a fixed file, about 1 MB).
+4. Decoding joins ids with the token-byte table of the vocabulary (a fixed file, about 1 MB): the table is
+   an array of bytes with offsets, and the join is a gather over whole batches.
 
 The vocabulary file's path is a parameter; the driver reads it and broadcasts the ranks.
 
+The shuffle of step 2 is read twice in one plan, so a block is made once. If an executor is lost, its blocks are
+made again: a source that then gives a task other rows than before (an unsorted shuffle, say) stops the job with
+an error instead of giving wrong ids. Tables and checkpoints give the same rows.
+
 Defined results: a null text counts as empty and has no ids; decoding nulls or empty lists gives
 empty bytes; repeated rows are encoded each; null ids are kept; extra columns are ignored; an empty
 table gives an empty result. Token bytes that are not UTF-8 on their own decode to bytes all the same.
@@ -23,16 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from orrery.llm import common as C
 from orrery.llm import packing as P
 
 #: Characters of a block of texts. A block is what one task holds at a time.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 4_000_000
+#: Tokens that are decoded at once, and tokens of a batch of results.
+PIECE_TOKENS, BATCH_TOKENS = 200_000, 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -73,7 +83,10 @@ class Splitter:
 
 
 def _blocks(pattern: str, parts: int, block_chars: int):
-    """Texts -> a row of number sequences for each block (part -1) and one row of words for each part."""
+    """Texts -> for each block a row of number sequences, named after the block, and a row of words for each part.
+
+    ``k`` says where a row goes: the block's name, or the number of the part.
+    """
 
     def finish(ids: list, words: dict[str, int], codes: list[np.ndarray], keys: list[bytes]) -> pa.RecordBatch:
         flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
@@ -87,7 +100,7 @@ def _blocks(pattern: str, parts: int, block_chars: int):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, texts.schema) as writer:
             writer.write_batch(texts)
-        rows = [(-1, P.squeeze(sink.getvalue().to_pybytes(), P.pack_codes(sizes), P.pack_codes(rank[flat])))]
+        rows = [(name, P.squeeze(sink.getvalue().to_pybytes(), P.pack_codes(sizes), P.pack_codes(rank[flat])))]
         names = list(words)
         coded = [names[k].encode("utf-8", "surrogatepass") for k in order]
         part = np.fromiter((zlib.crc32(w) % parts for w in coded), np.int64, len(coded))
@@ -97,11 +110,11 @@ def _blocks(pattern: str, parts: int, block_chars: int):
         for p, end in enumerate(ends.tolist()):
             if end > at:
                 mine = by_part[at:end]
-                rows.append((p, P.squeeze(P.pack_codes(np.diff(mine, prepend=0)), *P.pack_strings([coded[k] for k in mine]), level=9)))
+                rows.append((b"%d" % p, P.squeeze(P.pack_codes(np.diff(mine, prepend=0)), *P.pack_strings([coded[k] for k in mine]), level=9)))
             at = end
         return pa.RecordBatch.from_arrays(
-            [pa.array([name] * len(rows), pa.binary()), pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())],
-            names=["block", "part", "data"],
+            [pa.array([k for k, _ in rows], pa.binary()), pa.array([name] * len(rows), pa.binary()), pa.array([x for _, x in rows], pa.binary())],
+            names=["k", "block", "data"],
         )
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +147,11 @@ def _partition() -> int:
 
 
 def _encode_words(ranks, pattern: str):
-    """All blocks' words of one part -> their ids, each distinct word encoded once."""
+    """All blocks' words of one part -> their ids for each block, each distinct word encoded once. Blocks give nothing."""
 
     def f(table: pa.Table) -> pa.Table:
+        if table.column("k")[0] == table.column("block")[0]:
+            return pa.table({"k": pa.array([], pa.binary()), "data": pa.array([], pa.binary())})
         coder = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
         seen: dict[bytes, list[int]] = {}
         out = []
@@ -153,13 +168,19 @@ def _encode_words(ranks, pattern: str):
             # the two bytes of an id apart: they compress by their own statistics
             halves = flat.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
             out.append(P.squeeze(places, P.pack_codes(counts), halves, level=9))
-        return pa.table({"block": table.column("block"), "data": pa.array(out, pa.binary())})
+        C.trim()
+        return pa.table({"k": table.column("block"), "data": pa.array(out, pa.binary())})
 
     return f
 
 
 def _put_together(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
-    """A block's number sequences and the ids of its words -> the ids of its texts."""
+    """A block's number sequences and the ids of its words -> the ids of its texts. Parts give nothing."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    if not len(texts):
+        raise ValueError("words came back to a block that was made anew from other rows")
+    if texts.column("k")[0] != texts.column("block")[0]:
+        return schema.empty_table()
     lists = [P.unsqueeze(x.as_py()) for x in words.column("data")]
     places = [np.cumsum(P.unpack_codes(a)) for a, _, _ in lists]
     size = sum(map(len, places))
@@ -179,6 +200,8 @@ def _put_together(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
             ids = reader.read_all().column("id")
         ends = np.cumsum(P.unpack_codes(sizes))
         codes = P.unpack_codes(codes)
+        if len(codes) and int(codes.max()) >= size:
+            raise ValueError("a block was made anew from other rows than its words")
         lo = first = 0
         while lo < len(ends):
             hi = max(lo + 1, int(np.searchsorted(ends, first + 500_000)))
@@ -194,7 +217,7 @@ def _put_together(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
                 )
             )
             lo, first = hi, int(ends[hi - 1])
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    C.trim()
     return pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in batches], schema)
 
 
@@ -208,24 +231,55 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = C.cut(slim.mapInArrow(_blocks(pattern, parts, BLOCK_CHARS), "block binary, part int, data binary"))
-    words = blocks.filter("part >= 0").groupBy("part").applyInArrow(_encode_words(ranks, pattern), "block binary, data binary")
-    texts = blocks.filter("part < 0")
-    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_put_together, "doc_id long, ids array<int>")
+    dealt = slim.mapInArrow(C.lean(_blocks(pattern, parts, BLOCK_CHARS)), "k binary, block binary, data binary").repartition(parts, "k")
+    words = dealt.groupBy("k").applyInArrow(_encode_words(ranks, pattern), "k binary, data binary")
+    return dealt.groupBy("k").cogroup(words.groupBy("k")).applyInArrow(_put_together, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
-    """encoded with a column ``decoded`` (binary) instead of the ids' column."""
-    table = encoded.sparkSession.sparkContext.broadcast({i: t for t, i in read_ranks(ranks_path).items()})
-    others = [c for c in encoded.columns if c != ids_col]
+class TokenBytes:
+    """The token-byte table as one array of bytes with offsets."""
 
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = table.value.__getitem__
-        for batch in batches:
-            out = [b"".join(map(token, x.as_py() or ())) for x in batch.column(ids_col)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(out, pa.binary())], names=[*others, "decoded"])
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = np.full(max(ranks.values(), default=0) + 1, -1, np.int64)
+        self.start = np.zeros(len(self.size), np.int64)
+        at = 0
+        for token, k in ranks.items():
+            self.start[k], self.size[k], at = at, len(token), at + len(token)
+        self.bytes = np.frombuffer(b"".join(ranks), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the bytes of all ids in order, the number of bytes of each)."""
+        if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= len(self.size) or int(self.size[ids].min()) < 0):
+            raise ValueError("an id is not in the vocabulary")
+        sizes = self.size[ids]
+        out = np.empty(int(sizes.sum()), np.uint8)
+        at = 0
+        for lo in range(0, len(ids), PIECE_TOKENS):
+            n = sizes[lo : lo + PIECE_TOKENS]
+            upto = np.cumsum(n)
+            end = int(upto[-1])
+            out[at : at + end] = self.bytes[np.repeat(self.start[ids[lo : lo + PIECE_TOKENS]] - (upto - n), n) + np.arange(end)]
+            at += end
+        return out, sizes
 
-    fields = [f for f in encoded.schema.fields if f.name != ids_col]
-    from pyspark.sql.types import BinaryType, StructField, StructType
 
-    return encoded.mapInArrow(f, StructType([*fields, StructField("decoded", BinaryType())]))
+def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", keep_ids: bool = True) -> DataFrame:
+    """encoded with a column ``decoded`` (binary); ``keep_ids=False`` leaves the ids' column out."""
+    table = encoded.sparkSession.sparkContext.broadcast(TokenBytes(read_ranks(ranks_path)))
+    names = [c for c in encoded.columns if keep_ids or c != ids_col]
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(ids_col)
+            upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            ids, lo = column.flatten().to_numpy(zero_copy_only=False), 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + BATCH_TOKENS, side="right")) - 1)
+                data, sizes = table.value(ids[upto[lo] : upto[hi]])
+                ends = np.concatenate([[0], np.cumsum(sizes)])[upto[lo : hi + 1] - upto[lo]]
+                texts = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in names), texts], names=[*names, "decoded"])
+                lo = hi
+
+    fields = [f for f in encoded.schema.fields if f.name in names]
+    return encoded.mapInArrow(C.lean(f), StructType([*fields, StructField("decoded", BinaryType())]))

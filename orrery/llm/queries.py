@@ -63,7 +63,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = encoded.withColumns(
         {"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(F.array_join("ids", " "), 256)}
     )
-    return bpe.decode(counted, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.decode(counted, ranks, keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
