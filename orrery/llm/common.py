@@ -7,9 +7,14 @@ most ``HEAVY`` groups (a group that holds at least 1/HEAVY of all rows; there ca
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +54,37 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def trim() -> None:
+    """Give freed memory of this Python worker back to the system: Spark keeps workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+    if give_back is not None:
+        give_back(0)
+
+
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over the batches of a task, whose memory goes back to the system at its end."""
+
+    def g(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return g
+
+
+def in_pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about ``most`` bytes together, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto, lo = np.cumsum(sizes, dtype=np.int64), 0
+    while lo < len(batch):
+        before = int(upto[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)

@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([f"{x:016x}" for x in of_texts(b.column("text").to_pylist())], pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(f, "doc_id long, fingerprint string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(C.lean(f), "doc_id long, fingerprint string")
 
 
 def edit(text: str, following: str) -> str:
@@ -97,19 +97,17 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, held = TaskContext.get().partitionId(), None
-    for b in batches:
-        ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-        for lo, hi in hashing.in_pieces(texts):
-            i, t = ids[lo:hi], texts[lo:hi]
-            p = of_texts(t)
-            rows = []
-            if held is None:
-                rows.append((i[0], None, None, None, None, None, None, part, "first", t[0]))
-            else:
-                i, t, p = [held[0], *i], [held[1], *t], [held[2], *p]
-            rows += _compared(i[:-1], t[:-1], p[:-1], t[1:], p[1:])
-            held = i[-1], t[-1], p[-1]
-            yield _batch(rows)
+    for b in (piece for whole in batches for piece in C.in_pieces(whole)):
+        i, t = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
+        p = of_texts(t)
+        rows = []
+        if held is None:
+            rows.append((i[0], None, None, None, None, None, None, part, "first", t[0]))
+        else:
+            i, t, p = [held[0], *i], [held[1], *t], [held[2], *p]
+        rows += _compared(i[:-1], t[:-1], p[:-1], t[1:], p[1:])
+        held = i[-1], t[-1], p[-1]
+        yield _batch(rows)
     if held is not None:
         yield _batch([(held[0], None, None, None, None, None, None, part, "last", held[1])])
 
@@ -130,7 +128,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     down = F.col("doc_id").desc_nulls_last()
     ranged = slim.repartitionByRange(n, down).sortWithinPartitions(down, F.col("text").desc_nulls_last())
-    found = C.cut(ranged.mapInArrow(_neighbours, _DDL))
+    found = C.cut(ranged.mapInArrow(C.lean(_neighbours), _DDL))
     inner = found.filter("edge IS NULL")
     first = found.filter("edge = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("after"))
     # one row a range, without texts: its successor, and the first range after the last one
@@ -139,7 +137,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ends = order.select("part", F.lead("part").over(around).alias("next_part"), F.min("part").over(Window.partitionBy()).alias("start"))
     ends = ends.select("part", F.coalesce("next_part", "start").alias("next_part"))
     last = found.filter("edge = 'last'").select("doc_id", "part", "text").join(ends, "part").join(first, "next_part")
-    outer = last.select("doc_id", "text", "after").mapInArrow(_edges, _DDL)
+    outer = last.select("doc_id", "text", "after").mapInArrow(C.lean(_edges), _DDL)
     return inner.unionByName(outer).drop("part", "edge", "text")
 
 

@@ -121,7 +121,7 @@ class Mix:
 
         if not total:
             return spark.createDataFrame([], "shard long, rank long, slot long, block_no long")
-        drawn = spark.range(shards).mapInPandas(draw, "shard long, rank long, n long")
+        drawn = spark.range(shards).mapInPandas(C.lean(draw), "shard long, rank long, n long")
         before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         placed = drawn.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
         limit = F.broadcast(self.sources.select("rank", "quota"))  # at most MAX_SOURCES rows
@@ -129,7 +129,7 @@ class Mix:
         lack = self.sources.select("rank", "quota").join(placed.groupBy("rank").agg(F.sum("n").alias("has")), "rank", "left")
         lack = lack.select(F.lit(shards).cast("long").alias("shard"), "rank", F.coalesce("has", F.lit(0)).alias("start"), (F.col("quota") - F.coalesce("has", F.lit(0))).alias("n"))
         both = placed.select("shard", "rank", "start", "n").unionByName(lack).filter("n > 0")
-        return both.repartition("shard", "rank").mapInPandas(spread, "shard long, rank long, slot long, block_no long")
+        return both.repartition("shard", "rank").mapInPandas(C.lean(spread), "shard long, rank long, slot long, block_no long")
 
     def spans(self) -> DataFrame:
         """(row, doc_id, row_key, rank, block_no, lo, hi): the words lo..hi-1 of a document that lie in a block."""
@@ -181,7 +181,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     word, names = re.compile(WORD), docs.columns
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in C.in_pieces(whole, text_col)):
             rows = []
             for row in batch.to_pylist():
                 text = row[text_col]
@@ -199,4 +199,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     rows.append(row | {text_col: part} | ({length_col: len(part)} if length_col in row else {}))
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([batch.schema.field(n) for n in names]))
 
-    return joined.select(*names, spans).mapInArrow(cut_out, docs.schema)
+    return joined.select(*names, spans).mapInArrow(C.lean(cut_out), docs.schema)

@@ -85,7 +85,7 @@ def _class(s: np.ndarray) -> bytes | None:
 
 def _with_sketch(width: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in C.in_pieces(whole)):
             texts = batch.column("text").to_pylist()
             n, cls, regs = [], [], []
             for s in _sets(texts, width):
@@ -102,13 +102,11 @@ def _with_sketch(width: int):
 
 def _with_set(width: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in hashing.in_pieces(texts, 1 << 20):
-                sets = list(_sets(texts[lo:hi], width))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(map(_class, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "items"]
-                )
+        for batch in (piece for whole in batches for piece in C.in_pieces(whole, most=1 << 20)):
+            sets = list(_sets(batch.column("text").to_pylist(), width))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(map(_class, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "items"]
+            )
 
     return f
 
@@ -210,14 +208,14 @@ def _cross(percent: int):
 
 def _compare(pairs: DataFrame, full: DataFrame) -> DataFrame:
     sides = [full.select(F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "items"))) for s in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").mapInPandas(_common, "a binary, b binary, common long, all long")
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInPandas(C.lean(_common), "a binary, b binary, common long, all long")
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, row_key, n_shingles, component_id, first (it stays)."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), C.row_key(id_col, text_col).alias("row_key"))
     rows = C.cut(
-        slim.mapInArrow(_with_sketch(width), "doc_id long, row_key binary, n long, cls binary, regs array<long>").withColumn(
+        slim.mapInArrow(C.lean(_with_sketch(width)), "doc_id long, row_key binary, n long, cls binary, regs array<long>").withColumn(
             "row", F.monotonically_increasing_id()
         )
     )
@@ -237,7 +235,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     # the sets of the classes that share a bucket: a bounded filter drops most other rows before the shuffle
     wanted = bands.select("cls").distinct()
     blocks = C.filter_blocks(total)
-    sets = slim.select("text").mapInArrow(_with_set(width), "cls binary, items binary").filter("cls IS NOT NULL")
+    sets = slim.select("text").mapInArrow(C.lean(_with_set(width)), "cls binary, items binary").filter("cls IS NOT NULL")
     sets = C.probe(sets, "cls", C.member_filter(wanted, "cls", blocks), blocks, "wanted").filter("wanted")
     full = C.cut(sets.groupBy("cls").agg(F.first("items").alias("items")).join(classes.select("cls", "n", "regs"), "cls").join(wanted, "cls", "left_semi"))
     linked = f"100 * common >= {percent} * all"
@@ -258,7 +256,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     parts = parts.withColumns({"piece": piece}).withColumn("other", other)
     parts = parts.select("head", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "piece", "cls", "label", "n", "far", "regs", "items")
     parts = parts.repartition("head", "p", "q").sortWithinPartitions("head", "p", "q")
-    rest = parts.mapInArrow(_cross(percent), "a binary, b binary")
+    rest = parts.mapInArrow(C.lean(_cross(percent)), "a binary, b binary")
     links = links.unionByName(rest)
     label = graph.components(links)
     # back to documents

@@ -114,7 +114,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "row_key", "x"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), C.row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(f, "doc_id long, row_key binary, x array<double>")
+    return slim.mapInArrow(C.lean(f), "doc_id long, row_key binary, x array<double>")
 
 
 def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", train: Column | None = None, max_rows: int = 200_000) -> Model | None:
@@ -152,7 +152,7 @@ def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
                 total += z.T @ np.hstack([z, part["y"].to_numpy(float)[:, None]])
         yield pd.DataFrame({"total": [total.tobytes()]})
 
-    parts = known.filter("NOT spare").select("x", "y").mapInPandas(sums, "total binary").collect()  # at most PARTS rows of a fixed size
+    parts = known.filter("NOT spare").select("x", "y").mapInPandas(C.lean(sums), "total binary").collect()  # at most PARTS rows of a fixed size
     total = sum(np.frombuffer(r["total"]).reshape(size, size + 1) for r in parts)
     weights = np.linalg.solve(total[:, :-1] + RIDGE * max(1.0, total[-1, -2]) * np.eye(size), total[:, -1])
     model = Model(mean, scale, weights, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
@@ -164,7 +164,7 @@ def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
                 yield pd.DataFrame({"bin": np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int64), "raw": raw, "y": pdf["y"]})
 
     spare = known.filter("spare") if known.filter("spare").take(1) else known
-    binned = spare.select("x", "y").mapInPandas(bins, "bin long, raw double, y double")
+    binned = spare.select("x", "y").mapInPandas(C.lean(bins), "bin long, raw double, y double")
     found = sorted(binned.groupBy("bin").agg(F.avg("raw").alias("raw"), F.avg("y").alias("y"), F.count("*").alias("n")).collect())
     raw, y, n = (np.array([r[c] for r in found], dtype=np.float64) for c in ("raw", "y", "n"))
     fitted = isotonic(y, n)
@@ -185,7 +185,7 @@ def scored(rows: DataFrame, model: Model | None) -> DataFrame:
                 score = model.score(b.column("x").flatten().to_numpy().reshape(len(b), len(NAMES)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(score)], names=["doc_id", "row_key", "score"])
 
-    return rows.mapInArrow(f, "doc_id long, row_key binary, score double")
+    return rows.mapInArrow(C.lean(f), "doc_id long, row_key binary, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, train: Column | None = None, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 200_000) -> DataFrame:

@@ -145,7 +145,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _found(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), C.row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    return C.cut(slim.mapInArrow(_units(min_words), "doc_id long, serial long, start long, end long, digest binary, own long"))
+    return C.cut(slim.mapInArrow(C.lean(_units(min_words)), "doc_id long, serial long, start long, end long, digest binary, own long"))
 
 
 def _repeats(found: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def _repeats(found: DataFrame) -> DataFrame:
     stays = (F.col("serial") == F.col("first.serial")) & (F.col("start") == F.col("first.start"))
     spans = joined.select("doc_id", "serial", F.struct("start", "end", "own", F.col("first.doc_id").alias("source"), stays.alias("stays")).alias("span"))
     per_doc = spans.groupBy("serial", "doc_id").agg(F.collect_list("span").alias("spans"), F.bool_and("span.stays").alias("whole")).filter("NOT whole")
-    return per_doc.select("doc_id", "serial", "spans").mapInArrow(_merge, "doc_id long, serial long, start long, end long, kept_in array<long>")
+    return per_doc.select("doc_id", "serial", "spans").mapInArrow(C.lean(_merge), "doc_id long, serial long, start long, end long, kept_in array<long>")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,4 +191,4 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
             yield batch.set_column(k, batch.schema.field(k), pa.array(new, batch.schema.field(k).type))
 
     joined = texts.join(plan, key).select(*names, removed)
-    return joined.mapInArrow(cut_out, joined.schema)
+    return joined.mapInArrow(C.lean(cut_out), joined.schema)
