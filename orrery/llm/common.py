@@ -8,6 +8,7 @@ most ``HEAVY`` groups (a group that holds at least 1/HEAVY of all rows; there ca
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,8 +31,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Give the session a checkpoint folder when the cluster names none (tests, local mode)."""
+    """Give the session a checkpoint folder when none is named (tests, local mode); a cluster has to name one."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-checkpoint-"))
 
 
@@ -185,13 +188,22 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.unhex(F.sha2(F.concat(part(id_col), F.lit("\x1f"), part(text_col)), 256))
 
 
+def one_a_key(df: DataFrame, key: str) -> DataFrame:
+    """One row for each value of ``key``, the same in every run: the one whose other columns hash lowest."""
+    others = [f.name for f in df.schema.fields if f.name != key]
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    whole = fresh(df, "whole")[0]
+    picked = df.groupBy(key).agg(F.min_by(F.struct(*others), F.xxhash64(*plain)).alias(whole))
+    return picked.select(key, f"{whole}.*")
+
+
 def keep_rows(docs: DataFrame, decisions: DataFrame, keep: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that a decision table (row_key, keep) drops, all columns kept.
 
     Rows that miss a bounded filter of the dropped keys pass straight through; only the others
     shuffle. Of rows equal in id and text, of which some go, one stays if any does.
     """
-    key, flag, verdict, whole = fresh(docs, "row_key", "flag", "verdict", "whole")
+    key, flag, verdict = fresh(docs, "row_key", "flag", "verdict")
     verdicts = cut(
         decisions.groupBy("row_key")
         .agg(F.bool_or(keep).alias(verdict), F.bool_and(keep).alias("whole"))
@@ -204,5 +216,5 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, keep: str, id_col: str = "d
     straight = seen.filter(~F.col(flag)).select(*docs.columns)
     judged = seen.filter(flag).join(verdicts, key, "left")
     wrong = judged.filter(F.col(verdict).isNull()).select(*docs.columns)
-    one = judged.filter(verdict).groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(whole)).select(f"{whole}.*")
+    one = one_a_key(judged.filter(verdict).select(key, *docs.columns), key).select(*docs.columns)
     return straight.unionByName(wrong).unionByName(one)

@@ -9,6 +9,10 @@ all documents. The occurrence that ranks first (by doc_id, then position) stays;
 their offsets in the original text kept. What belongs to a kept first occurrence of a repeated sentence unit is
 never removed, nor the part of a line's first occurrence that no sentence unit covers.
 
+All units are hashed and grouped, whatever their length. ``min_run`` (0: none) then leaves a removal alone that is
+shorter than so many characters together with those beside it (at most two characters between): with it, passages
+go, also those made of many short lines, and a lone common line stays where it is.
+
 Digests are summed in each task before they shuffle, and units of very frequent digests meet their first
 occurrence by a broadcast of at most 1000 rows, so no unit's occurrences gather in one task.
 
@@ -131,16 +135,32 @@ def cover(removed: list[tuple[int, int, object]], kept: list[tuple[int, int]]) -
     return out
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def long_runs(spans: list[tuple[int, int, list]], least: int) -> list[tuple[int, int, list]]:
+    """Those of the spans, in order, that lie in a run of at least so many characters."""
+    out, run = [], []
+    for span in [*spans, None]:
+        if run and (span is None or span[0] - run[-1][1] > 2):
+            if run[-1][1] - run[0][0] >= least:
+                out += run
+            run = []
+        run.append(span)
+    return out
+
+
+def _merge(min_run: int):
     schema = pa.schema([("doc_id", pa.int64()), ("serial", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("kept_in", pa.list_(pa.int64()))])
-    for batch in batches:
-        rows = []
-        for row in batch.to_pylist():
-            removed = [(s["start"], s["end"], s["source"]) for s in row["spans"] if not s["stays"]]
-            kept = [(s["own"], s["end"]) for s in row["spans"] if s["stays"]]
-            for start, end, sources in cover(removed, kept):
-                rows.append({"doc_id": row["doc_id"], "serial": row["serial"], "start": start, "end": end, "kept_in": sorted({x for x in sources if x is not None})})
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                removed = [(s["start"], s["end"], s["source"]) for s in row["spans"] if not s["stays"]]
+                kept = [(s["own"], s["end"]) for s in row["spans"] if s["stays"]]
+                for start, end, sources in long_runs(cover(removed, kept), min_run):
+                    rows.append({"doc_id": row["doc_id"], "serial": row["serial"], "start": start, "end": end, "kept_in": sorted({x for x in sources if x is not None})})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return f
 
 
 def _found(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -148,7 +168,7 @@ def _found(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataF
     return C.cut(slim.mapInArrow(C.lean(_units(min_words)), "doc_id long, serial long, start long, end long, digest binary, own long"))
 
 
-def _repeats(found: DataFrame) -> DataFrame:
+def _repeats(found: DataFrame, min_run: int) -> DataFrame:
     hashed = found.filter("start >= 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "serial", "start")).alias("first")
     groups = C.cut(hashed.groupBy("digest").agg(first, F.count("*").alias("n")).filter("n > 1"))
@@ -156,25 +176,25 @@ def _repeats(found: DataFrame) -> DataFrame:
     stays = (F.col("serial") == F.col("first.serial")) & (F.col("start") == F.col("first.start"))
     spans = joined.select("doc_id", "serial", F.struct("start", "end", "own", F.col("first.doc_id").alias("source"), stays.alias("stays")).alias("span"))
     per_doc = spans.groupBy("serial", "doc_id").agg(F.collect_list("span").alias("spans"), F.bool_and("span.stays").alias("whole")).filter("NOT whole")
-    return per_doc.select("doc_id", "serial", "spans").mapInArrow(C.lean(_merge), "doc_id long, serial long, start long, end long, kept_in array<long>")
+    return per_doc.select("doc_id", "serial", "spans").mapInArrow(C.lean(_merge(min_run)), "doc_id long, serial long, start long, end long, kept_in array<long>")
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each removed span: doc_id, serial (the row's number in this run), start, end, kept_in.
 
     ``kept_in`` lists the documents that keep the first occurrences of the span's units.
     """
-    return _repeats(_found(docs, min_words, id_col, text_col))
+    return _repeats(_found(docs, min_words, id_col, text_col), min_run)
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", removed: str = "removed") -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = 0, id_col: str = "doc_id", text_col: str = "text", removed: str = "removed") -> DataFrame:
     """All documents with their repeats cut out, and the column ``removed``: their spans in the original text."""
     found = _found(docs, min_words, id_col, text_col)
     key, turn = C.fresh(docs, "row_key", "turn")
-    spans = _repeats(found).groupBy("serial").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(removed))
+    spans = _repeats(found, min_run).groupBy("serial").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(removed))
     plan = found.filter("start < 0").select("serial", F.col("digest").alias(key)).join(spans, "serial", "left").select(key, F.col("serial").alias(turn), removed)
     names = docs.columns
-    texts = docs.withColumn(key, C.row_key(id_col, text_col)).dropDuplicates([key])
+    texts = C.one_a_key(docs.withColumn(key, C.row_key(id_col, text_col)), key)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
