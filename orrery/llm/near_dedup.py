@@ -10,8 +10,12 @@ estimate (4.5 standard errors below the threshold); every link is confirmed on t
 Equal sets are one node. In a bucket every node is first held against the bucket's head, the one that
 meets the most others. Nodes held against the same head that are still in different components, and that
 the triangle inequality and the sketches allow to be linked, are then held against each other in blocks of
-bounded size, the likeliest first and none that are connected by then. A group of near copies gives links in
-proportion to its size, and no link between components is missed.
+bounded size, the likeliest first and none that are connected by then. Nodes of a head's largest component are
+connected already, so only the others meet all: a crowd with few outliers costs in proportion to its size. A group
+of near copies gives links in proportion to its size, and no link between components is missed.
+
+Buckets and heads of any size are dealt out: their one row of summary is broadcast to them when they are heavy
+(``common.join_groups``), and the head's set goes to slices of SLICE members.
 
 Defined results: null and empty texts have no set and are linked with nothing; a text of fewer words
 than the shingle is one shingle; rows with null ids take part, a component's id is its least
@@ -36,6 +40,8 @@ from orrery.llm import graph, hashing
 REGISTERS, WIDTH, BASE, RATE = 512, 8, 1.1, 1 / 32
 #: Members of a head's group that are held against each other at once, and shingles of theirs.
 PIECE, PIECE_ITEMS = 512, 4_000_000
+#: Members of a head's group that meet one copy of the head's set.
+SLICE = 256
 #: An estimate may be so much below the threshold: 4.5 standard errors at 0.8.
 MARGIN = 4.5 * (0.8 * 0.2 / REGISTERS) ** 0.5
 _rng = np.random.default_rng(7)
@@ -135,23 +141,27 @@ class _Forest:
 def _cross(percent: int):
     """Members of a head's group, sorted by piece pair -> confirmed links between different components.
 
-    Size, distance to the head and the sketches say which pairs can be linked; the likeliest are confirmed
-    first on the full sets, and pairs that a found link has connected are left out. So a block of members
-    gives fewer links than it has members.
+    Of a piece pair, members outside the largest component (``asks``) are held against the others. Size, distance
+    to the head and the sketches say which pairs can be linked; the likeliest are confirmed first on the full sets,
+    and pairs that a found link has connected are left out. So a block of members gives fewer links than it has
+    members.
     """
     least = percent / 100 - MARGIN
 
-    def links(label, n, far, piece, mixed, regs, items) -> Iterator[tuple[int, int]]:
+    def links(label, n, far, asks, regs, items) -> Iterator[tuple[int, int]]:
         forest = _Forest(label)
-        for lo in range(0, len(n), 256):
-            me = slice(lo, lo + 256)
-            ok = (forest.of[me, None] != forest.of[None, :]) & (np.arange(lo, lo + len(n[me]))[:, None] < np.arange(len(n))[None, :])
-            ok &= 100 * np.minimum(n[me, None], n[None, :]) >= percent * np.maximum(n[me, None], n[None, :])
-            ok &= np.abs(far[me, None] - far[None, :]) <= 1 - percent / 100 + 1e-9
-            if mixed:
-                ok &= piece[me, None] != piece[None, :]
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        one = not len(right)  # a piece with itself
+        right = left if one else right
+        for lo in range(0, len(left), 256):
+            me = left[lo : lo + 256]
+            ok = forest.of[me, None] != forest.of[None, right]
+            ok &= 100 * np.minimum(n[me, None], n[None, right]) >= percent * np.maximum(n[me, None], n[None, right])
+            ok &= np.abs(far[me, None] - far[None, right]) <= 1 - percent / 100 + 1e-9
+            if one:
+                ok &= me[:, None] < right[None, :]
             i, j = np.nonzero(ok)
-            i += lo
+            i, j = me[i], right[j]
             for at in range(0, len(i), 10_000):
                 x, y = i[at : at + 10_000], j[at : at + 10_000]
                 apart = forest.of[x] != forest.of[y]
@@ -181,13 +191,14 @@ def _cross(percent: int):
         def work(t: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
             cls, items = t.column("cls").to_pylist(), t.column("items").to_pylist()
             label = np.unique(np.array(t.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
-            n, far, piece, p, q = (t.column(c).to_numpy() for c in ("n", "far", "piece", "p", "q"))
+            n, far = (t.column(c).to_numpy() for c in ("n", "far"))
+            asks = t.column("asks").to_numpy()
             regs = t.column("regs").combine_chunks().flatten().to_numpy().view(np.uint8).reshape(len(t), REGISTERS)
             out = []
             for lo, hi in zip([0, *cuts], [*cuts, len(t)], strict=True):
                 if hi - lo > 1:
                     s = slice(lo, hi)
-                    for i, j in links(label[s], n[s].astype(np.int64), far[s], piece[s], p[lo] != q[lo], regs[s], items[s]):
+                    for i, j in links(label[s], n[s].astype(np.int64), far[s], asks[s], regs[s], items[s]):
                         out.append(sorted((cls[lo + i], cls[lo + j])))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
@@ -207,8 +218,14 @@ def _cross(percent: int):
 
 
 def _compare(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """Pairs (head a, member b) with the sizes of their sets' intersection and union; heads may have any number of members."""
+    counts = C.cut(pairs.groupBy("a").agg(F.count("*").alias("k")))
+    total = counts.agg(F.sum("k")).first()[0] or 0
+    slices = F.ceil(F.col("k") / SLICE)
+    asked = C.join_groups(pairs, counts, "a", "k", total).select("a", "b", F.pmod(F.xxhash64("b"), slices).alias("slice"))
     sides = [full.select(F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "items"))) for s in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").mapInPandas(C.lean(_common), "a binary, b binary, common long, all long")
+    heads = counts.join(sides[0], "a").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).drop("k")
+    return asked.join(sides[1], "b").join(heads, ["a", "slice"]).mapInPandas(C.lean(_common), "a binary, b binary, common long, all long")
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,38 +242,56 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
         .groupBy("cls")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     )
-    keys = classes.select("cls", "n", F.posexplode("regs").alias("band", "part")).select("cls", "n", F.xxhash64("band", "part").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1")
-    bands = C.cut(keys.join(shared, "key").select("key", "cls", "n", "k"))
+    keys = classes.select("cls", F.posexplode("regs").alias("band", "part")).select("cls", F.xxhash64("band", "part").alias("key"))
+    shared = C.cut(keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"))
+    held = shared.agg(F.sum("k")).first()[0] or 0
+    bands = C.cut(C.join_groups(keys, shared, "key", "k", held))
     # a bucket's head is the member that meets the most others in all its buckets: near the middle of its group
     meets = bands.groupBy("cls").agg(F.sum("k").alias("meets"))
-    heads = bands.join(meets, "cls").groupBy("key").agg(F.max(F.struct("meets", "cls")).alias("head"))
-    bands = C.cut(bands.join(heads, "key").select("key", "cls", "n", F.col("head.cls").alias("head")))
+    heads = C.cut(bands.join(meets, "cls").groupBy("key").agg(F.max(F.struct("meets", "cls")).alias("head"), F.count("*").alias("k")))
+    bands = C.cut(C.join_groups(bands.select("key", "cls"), heads, "key", "k", held).select(F.col("head.cls").alias("a"), F.col("cls").alias("b")).distinct())
     # the sets of the classes that share a bucket: a bounded filter drops most other rows before the shuffle
-    wanted = bands.select("cls").distinct()
+    wanted = bands.select(F.col("b").alias("cls")).distinct()  # heads are members too
     blocks = C.filter_blocks(total)
     sets = slim.select("text").mapInArrow(C.lean(_with_set(width)), "cls binary, items binary").filter("cls IS NOT NULL")
     sets = C.probe(sets, "cls", C.member_filter(wanted, "cls", blocks), blocks, "wanted").filter("wanted")
     full = C.cut(sets.groupBy("cls").agg(F.first("items").alias("items")).join(classes.select("cls", "n", "regs"), "cls").join(wanted, "cls", "left_semi"))
     linked = f"100 * common >= {percent} * all"
-    star = C.cut(_compare(bands.filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), full))
+    star = C.cut(_compare(bands.filter("a <> b"), full))
     links = star.filter(linked).select("a", "b")
     label = graph.components(links)
     # What was held against the same head and is not connected yet. Jaccard distance is a metric: two whose
     # distances to the head differ by more than the limit cannot be linked.
     placed = star.select(F.col("a").alias("head"), F.col("b").alias("cls"), (1 - F.col("common") / F.col("all")).alias("far"))
-    placed = C.cut(placed.join(label, placed.cls == label.node, "left").select("head", "cls", "far", F.coalesce("label", "cls").alias("label")))
-    sizes = full.select("cls", "n")
-    mixed = placed.join(sizes, "cls").groupBy("head").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k"), F.sum("n").alias("sum"))
-    pieces = F.greatest(F.ceil(F.col("k") / PIECE), F.ceil(F.col("sum") / PIECE_ITEMS))
-    mixed = mixed.filter("lo <> hi").select("head", pieces.alias("pieces"))
-    parts = placed.join(mixed, "head").join(full, "cls")
-    # groups in pieces; every pair of pieces meets once
-    piece, other = F.pmod(F.xxhash64("cls"), F.col("pieces")), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    parts = parts.withColumns({"piece": piece}).withColumn("other", other)
-    parts = parts.select("head", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "piece", "cls", "label", "n", "far", "regs", "items")
-    parts = parts.repartition("head", "p", "q").sortWithinPartitions("head", "p", "q")
-    rest = parts.mapInArrow(C.lean(_cross(percent)), "a binary, b binary")
+    placed = C.cut(
+        placed.join(label, placed.cls == label.node, "left")
+        .select("head", "cls", "far", F.coalesce("label", "cls").alias("label"))
+        .join(full.select("cls", "n"), "cls")
+    )
+    by_label = placed.groupBy("head", "label").agg(F.count("*").alias("k"), F.sum("n").alias("sum"))
+    mixed = by_label.groupBy("head").agg(
+        F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("k"), F.sum("sum").alias("sum"), F.max_by("sum", F.struct("k", "label")).alias("most_sum")
+    )
+
+    def pieces(k, items):
+        return F.greatest(F.ceil(k / PIECE), F.ceil(items / PIECE_ITEMS))
+
+    mixed = C.cut(
+        mixed.filter("k > most.k").select(
+            "head", "k", F.col("most.label").alias("most"), pieces(F.col("k") - F.col("most.k"), F.col("sum") - F.col("most_sum")).alias("few"), pieces(F.col("most.k"), F.col("most_sum")).alias("many")
+        )
+    )
+    parts = C.join_groups(placed, mixed, "head", "k", placed.count())
+    # pieces 0 to few - 1 are of members outside the largest component: every two of them meet, and each meets the others
+    h, zero = F.xxhash64("cls"), F.lit(0).cast("long")
+    own, other = F.pmod(h, F.col("few")), F.col("other")
+    asks = parts.filter("label <> most").withColumn("other", F.explode(F.sequence(zero, F.col("few") + F.col("many") - 1)))
+    asks = asks.withColumns({"p": F.least(own, other), "q": F.greatest(own, other), "asks": own <= other}).drop("other")
+    others = parts.filter("label = most").withColumns({"q": F.col("few") + F.pmod(h, F.col("many")), "asks": F.lit(False)})
+    others = others.withColumn("p", F.explode(F.sequence(zero, F.col("few") - 1)))
+    dealt = asks.unionByName(others).join(full.drop("n"), "cls").select("head", "p", "q", "asks", "cls", "label", "n", "far", "regs", "items")
+    dealt = dealt.repartition("head", "p", "q").sortWithinPartitions("head", "p", "q")
+    rest = dealt.mapInArrow(C.lean(_cross(percent)), "a binary, b binary")
     links = links.unionByName(rest)
     label = graph.components(links)
     # back to documents
