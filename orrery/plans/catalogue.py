@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.plans import metric_queries, model_queries, moment_queries, registry  # noqa: F401
+from orrery.plans import loader_queries, metric_queries, model_queries, moment_queries, registry, search_queries  # noqa: F401
 
 
 def load():

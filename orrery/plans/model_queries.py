@@ -11,6 +11,7 @@ from orrery.functions.trace import Trace
 from orrery.operators import colour, glm, graphs, metric_join, objective, pivot_index
 from orrery.plans.metric_queries import rounded, table, vectors
 from orrery.plans.registry import query
+from orrery.sources import loaders
 from orrery.streaming import running
 
 _CENTROIDS = """
@@ -206,6 +207,38 @@ def pivot_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pivot_index.merge(*halves), "far")
 
 
+@query("pivot_inserted", _PLACED + 'SELECT id, "pivot", round(far, 6) AS far FROM i')
+def pivot_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the table built, the rest inserted afterwards."""
+    e, pivots, _ = _index(spark, sf_dir)
+    built = pivot_index.build(e.filter("vec_id % 3 <> 0"), pivots)
+    return rounded(pivot_index.insert(built, e.filter("vec_id % 3 = 0"), pivots), "far")
+
+
+@query("pivot_adopted", _PLACED + 'SELECT id, "pivot", round(far, 6) AS far FROM i')
+def pivot_adopted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index over half of the pivots, whose rows move to the other half where those are nearer."""
+    e, pivots, _ = _index(spark, sf_dir)
+    built = pivot_index.build(e, pivots.filter("vec_id % 50 = 0"))
+    return rounded(pivot_index.adopt(built, e, pivots.filter("vec_id % 50 <> 0")), "far")
+
+
+@query("pivot_ordered", _PLACED + """
+SELECT "pivot", n, row_number() OVER (ORDER BY n DESC, "pivot") - 1 AS place FROM (SELECT "pivot", count(*) AS n FROM i GROUP BY "pivot")""")
+def pivot_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets with their place in the order by size."""
+    return loaders.with_row_ids(pivot_index.ordered(_index(spark, sf_dir)[2]), "place").select("pivot", "n", "place")
+
+
+@query("pivot_packed", _PLACED + """
+SELECT id, "pivot", row_number() OVER (PARTITION BY "pivot" ORDER BY far, id) AS place FROM i""")
+def pivot_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the packed layout with their place in their bucket, by counting on from where the bucket begins."""
+    packed = pivot_index.packed(_index(spark, sf_dir)[2]).withColumn("at", F.monotonically_increasing_id())
+    begins = packed.groupBy("pivot").agg(F.min("at").alias("begin"))
+    return packed.join(begins, "pivot").select("id", "pivot", (F.col("at") - F.col("begin") + 1).alias("place"))
+
+
 @query("pivot_movable", _PLACED + """
 , t AS (SELECT id, far, row_number() OVER (PARTITION BY id ORDER BY far, "pivot") AS k FROM d)
 SELECT i."pivot", count(*) AS n, count(*) FILTER (t.far <= 1.3) AS movable FROM i JOIN t ON t.id = i.id AND t.k = 2 GROUP BY i.pivot""")
