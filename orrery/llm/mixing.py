@@ -9,7 +9,9 @@ quota of slots. A source's slots run through its blocks in passes; in each pass
 ``most`` times. Slots and blocks are joined by source and block number.
 
 Only the table of sources (name, size, quota) reaches the driver; it may have MAX_SOURCES rows, more raise
-an error. Offsets in a stream come from sums over hash ranges, so no source meets in one task.
+an error. Offsets in a stream come from sums over hash ranges in two levels, and starts of a shard's slots from sums
+over groups of shards, so no source meets in one task. A source's slots of one shard are dealt out in ranges of
+SLOT_RANGE at most.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; documents of
 size 0 are never taken; sources of size 0 have target 0; repeated rows are documents of their own; an
@@ -31,6 +33,8 @@ from pyspark.sql.window import Window
 from orrery.llm import common as C
 
 MAX_SOURCES = 1_000_000
+#: Slots of one range, documents of a hash range, and hash ranges (or shards) whose sums are added up at once.
+SLOT_RANGE, RANGE_DOCS, GROUP = 50_000, 250, 1000
 WEIGHTS = (5.0, 2.0, 1.0)
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -65,10 +69,23 @@ def permute(x: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x
 
 
+def offsets(sums: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
+    """sums (one row for each key and order, orders from 0 on) with ``out``: the sum of value over the key's lower orders.
+
+    Orders are added up in groups of GROUP, and the sums of groups among each other.
+    """
+    grouped = sums.withColumn("_group", F.expr(f"{order} div {GROUP}"))
+    earlier = Window.partitionBy(key).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    whole = grouped.groupBy(key, "_group").agg(F.sum(value).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    within = Window.partitionBy(key, "_group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = grouped.withColumn("_before", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return inside.join(whole.drop("_sum"), [key, "_group"]).withColumn(out, F.col("_base") + F.col("_before")).drop("_group", "_base", "_before")
+
+
 class Mix:
     """The tables of one mix. ``sources``: rank, source, source_size, target, blocks, quota."""
 
-    def __init__(self, docs: DataFrame, weight: Callable[[int, str | None], float] | None = None, total_share: float = 1.0, most: int = 3, block: int = 32, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_slots: int = 4096):
+    def __init__(self, docs: DataFrame, weight: Callable[[int, str | None], float] | None = None, total_share: float = 1.0, most: int = 3, block: int = 32, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_slots: int = 65_536):
         self.block, self.seed, self.most = block, seed, most
         spark = docs.sparkSession
         self.docs = C.cut(
@@ -92,8 +109,8 @@ class Mix:
         rows = [(k, r["source"], int(r["n"]), float(t), int(b), int(q)) for k, (r, t, b, q) in enumerate(zip(found, target, blocks, quota, strict=True))]
         self.sources = spark.createDataFrame(rows, "rank long, source string, source_size long, target double, blocks long, quota long")
         total = int(quota.sum())
-        self.shards = max(1, min(1024, -(-total // shard_slots)))
-        self.parts = max(1, sum(r["docs"] for r in found) // 5000)
+        self.shards = max(1, -(-total // shard_slots))
+        self.parts = max(1, sum(r["docs"] for r in found) // RANGE_DOCS)
 
     def slots(self) -> DataFrame:
         """(shard, rank, slot, block_no) for every slot of the mix."""
@@ -113,8 +130,8 @@ class Mix:
         def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
                 for shard, rank, lo, n in pdf[["shard", "rank", "start", "n"]].itertuples(index=False):
-                    for at in range(lo, lo + n, 200_000):
-                        slot = np.arange(at, min(at + 200_000, lo + n), dtype=np.int64)
+                    if n > 0:
+                        slot = np.arange(lo, lo + n, dtype=np.int64)
                         turn, size = slot // blocks[rank], np.full(len(slot), blocks[rank])
                         key = turn * 1_000_003 + rank * 7_919 + seed * 104_729 + 1
                         yield pd.DataFrame({"shard": shard, "rank": rank, "slot": slot, "block_no": permute(slot % blocks[rank], size, key)})
@@ -122,23 +139,23 @@ class Mix:
         if not total:
             return spark.createDataFrame([], "shard long, rank long, slot long, block_no long")
         drawn = spark.range(shards).mapInPandas(C.lean(draw), "shard long, rank long, n long")
-        before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        placed = drawn.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        placed = offsets(drawn, "rank", "shard", "n", "start")
         limit = F.broadcast(self.sources.select("rank", "quota"))  # at most MAX_SOURCES rows
         placed = placed.join(limit, "rank").withColumn("n", F.least("n", F.greatest(F.col("quota") - F.col("start"), F.lit(0))))
         lack = self.sources.select("rank", "quota").join(placed.groupBy("rank").agg(F.sum("n").alias("has")), "rank", "left")
         lack = lack.select(F.lit(shards).cast("long").alias("shard"), "rank", F.coalesce("has", F.lit(0)).alias("start"), (F.col("quota") - F.coalesce("has", F.lit(0))).alias("n"))
         both = placed.select("shard", "rank", "start", "n").unionByName(lack).filter("n > 0")
-        return both.repartition("shard", "rank").mapInPandas(C.lean(spread), "shard long, rank long, slot long, block_no long")
+        ranged = both.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLOT_RANGE).cast("long"))))
+        ranged = ranged.select("shard", "rank", (F.col("start") + F.col("at")).alias("start"), F.least(F.lit(SLOT_RANGE).cast("long"), F.col("n") - F.col("at")).alias("n"))
+        # a count of its own: what a task makes, not the few rows it reads, is to be bounded
+        return ranged.repartition(max(1, total // (4 * SLOT_RANGE)), "rank", "start").mapInPandas(C.lean(spread), "shard long, rank long, slot long, block_no long")
 
     def spans(self) -> DataFrame:
         """(row, doc_id, row_key, rank, block_no, lo, hi): the words lo..hi-1 of a document that lie in a block."""
         docs = self.docs.filter("size > 0").join(F.broadcast(self.sources.select("rank", F.col("source").alias("s"))), F.col("source").eqNullSafe(F.col("s")))
         docs = docs.withColumn("h", F.xxhash64("row_key", F.lit(self.seed)))
-        docs = docs.withColumn("part", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * self.parts))
-        sums = docs.groupBy("rank", "part").agg(F.sum("size").alias("n"))
-        earlier = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        base = sums.select("rank", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+        docs = docs.withColumn("part", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * self.parts).cast("long"))
+        base = offsets(docs.groupBy("rank", "part").agg(F.sum("size").alias("n")), "rank", "part", "n", "base").drop("n")
         within = Window.partitionBy("rank", "part").orderBy("h", "row_key", "row").rowsBetween(Window.unboundedPreceding, -1)
         docs = docs.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(base, ["rank", "part"])
         docs = docs.withColumn("at", F.col("base") + F.col("before"))
@@ -153,7 +170,8 @@ class Mix:
     def uses(self) -> DataFrame:
         """spans with ``times``: how often the mix takes them."""
         times = self.slots().groupBy("rank", "block_no").agg(F.count("*").alias("times"))
-        return self.spans().join(times, ["rank", "block_no"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+        # consecutive numbers compress so well that the size of their shuffle says nothing of a broadcast table's
+        return self.spans().join(times.hint("merge"), ["rank", "block_no"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
     def documents(self) -> DataFrame:
         """doc_id, source, size, source_size, target, taken of every document."""
@@ -168,7 +186,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix as documents: one row for each time that a document is taken, whole or in part.
 
     A document whose spans are taken 3, 1, 2 times gives three rows: all spans, the first and third, the
-    first. Neighbouring spans keep the text between them; others are set apart by a line end.
+    first. Rows equal in id and text take the other columns of one of them, the same in every run. Neighbouring spans keep the text between them; others are set apart by a line end.
     """
     mix = Mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     spans, key, again = C.fresh(docs, "spans", "row_key", "again")
@@ -176,7 +194,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mix.uses().filter("times > 0").groupBy("row", "row_key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias(spans))
         .select(F.col("row_key").alias(key), spans)
     )
-    texts = docs.withColumn(key, C.row_key(id_col, text_col)).dropDuplicates([key])
+    texts = C.one_a_key(docs.withColumn(key, C.row_key(id_col, text_col)), key)
     joined = texts.join(plan, key).drop(key)
     word, names = re.compile(WORD), docs.columns
 
