@@ -18,7 +18,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.repeats(_table(spark, sf_dir, "documents"))
+    """Runs of 160 characters or more (about 25 words): passages go, a lone common line stays."""
+    found = substring_dedup.repeats(_table(spark, sf_dir, "documents"), min_run=160)
     return found.select("doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"), "kept_in")
 
 
@@ -69,8 +70,9 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{C.shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(_table(spark, sf_dir, "pages"), path)
-    archive = C.stored(warc.read(spark, path))
-    headers = warc.headers(archive).select("page_id", "record_type", "refers_to", "sha256", "length")
+    archive = warc.read(spark, path)
+    # headers are kept apart; payloads are read from the archive again, once
+    headers = C.stored(warc.headers(archive).select("page_id", "record_type", "refers_to", "sha256", "length"))
     # a record whose payload is not verified stays, with null bytes and digest
     full = warc.reconstruct(headers, warc.payloads(archive))
     return full.select(

@@ -4,7 +4,8 @@ Writing: each page gives one WARC/1.1 record. Of records with equal payloads of
 bytes the one with the largest id is a response that holds the payload; the others are revisits that
 name it (profile identical-payload-digest) and hold none. Equality goes by SHA-256 and length; the
 header names SHA-1 as well. Spark's text writer writes the records, with the two line ends that close a
-record as its line separator, so the files are plain WARC and go to any store that Spark writes to.
+record as its line separator, so the files are plain WARC, compressed with gzip unless told otherwise, and go to
+any store that Spark writes to.
 
 Reading: files are read whole by Spark (a file is bounded by ``records_per_file``), cut by
 Content-Length, and split into a header table with the exact header bytes and a payload store that
@@ -19,39 +20,32 @@ equal records; an empty table gives no records; extra columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from orrery.llm import common as C
 
 #: Closes every record.
 END = "\r\n\r\n"
+#: How a compressed file begins.
+GZIP = b"\x1f\x8b"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2026-01-01T00:00:00Z"
 _HEADERS = "record_id string, record_type string, page_id long, url string, refers_to string, sha1 string, sha256 string, length long, header binary, valid boolean"
 
 
-def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Payload digests and a url that fits on one header line."""
-    for batch in batches:
-        data = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column("payload")]
-        urls = [None if u is None else quote(u, safe="%/:=&?~#+!$,;'@()*[]", errors="replace") for u in batch.column("url").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("page_id"),
-                pa.array(urls, pa.string()),
-                batch.column("payload"),
-                pa.array(map(len, data), pa.int64()),
-                pa.array([hashlib.sha1(d).hexdigest() for d in data], pa.string()),
-                pa.array([hashlib.sha256(d).hexdigest() for d in data], pa.string()),
-            ],
-            names=["page_id", "url", "payload", "length", "sha1", "sha256"],
-        )
+@F.pandas_udf(StringType())
+def on_one_line(urls: pd.Series) -> pd.Series:
+    """A url that fits on one header line: strange characters percent-encoded."""
+    return urls.map(lambda u: None if u is None else quote(u, safe="%/:=&?~#+!$,;'@()*[]", errors="replace"))
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000) -> DataFrame:
@@ -59,9 +53,10 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     slim = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), C.text_or_empty(F.col(payload_col).cast("string")).alias("payload")
     )
-    rows = slim.mapInArrow(_fields, "page_id long, url string, payload string, length long, sha1 string, sha256 string")
+    # digests by built-in functions: payloads do not leave the JVM
+    rows = slim.withColumns({"length": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload"), "sha256": F.sha2("payload", 256), "url": on_one_line("url")})
     # digests only: which payloads occur more than once, and who holds them
-    keys = C.cut(rows.filter(F.col("length") >= least).select("sha256", "page_id"))
+    keys = C.cut(slim.filter(F.octet_length("payload") >= least).select(F.sha2("payload", 256).alias("sha256"), "page_id"))
     holders = C.cut(
         keys.groupBy("sha256")
         .agg(F.max("page_id").alias("holder"), F.count("*").alias("copies"))
@@ -100,10 +95,10 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     return rows.select(F.concat(header, F.when(again, F.lit("")).otherwise(F.col("payload"))).alias("value"))
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, records_per_file: int = 2_000) -> None:
-    """Write the archive's files under path."""
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, records_per_file: int = 2_000, compression: str = "gzip") -> None:
+    """Write the archive's files under path; ``compression`` is gzip or none."""
     C.prepare(pages.sparkSession)
-    records(pages, id_col, url_col, payload_col, least).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    records(pages, id_col, url_col, payload_col, least).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[bytes, dict[str, str], bytes]]:
@@ -127,8 +122,8 @@ def parse(data: bytes) -> Iterator[tuple[bytes, dict[str, str], bytes]]:
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
-            rows, size = [], 0
-            for header, x, payload in parse(content.as_py()):
+            rows, size, data = [], 0, content.as_py()
+            for header, x, payload in parse(gzip.decompress(data) if data.startswith(GZIP) else data):
                 strong = hashlib.sha256(payload).hexdigest()
                 revisit = x["warc-type"] == "revisit"
                 sha1 = x["warc-payload-digest"].removeprefix("sha1:")
@@ -153,7 +148,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archive: ids, digests, exact header bytes, and the payload where it holds one."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInArrow(_split, _HEADERS + ", payload binary")
+    return files.mapInArrow(C.lean(_split), _HEADERS + ", payload binary")
 
 
 def headers(archive: DataFrame) -> DataFrame:
@@ -173,4 +168,10 @@ def reconstruct(header_table: DataFrame, store: DataFrame) -> DataFrame:
     """
     named = C.cut(header_table.groupBy("sha256").agg(F.count("*").alias("records")))
     total = named.agg(F.sum("records")).first()[0] or 0
-    return C.join_groups(header_table.drop("length"), store.join(named, "sha256"), "sha256", "records", total, "left").drop("records")
+    heavy = C.cut(named.filter(F.col("records") >= max(1000, -(-total // C.HEAVY))).select("sha256"))
+    rows, store = header_table.drop("length"), store.select("sha256", "payload", "length")
+    if not heavy.count():
+        return rows.join(store, "sha256", "left")
+    many = rows.join(F.broadcast(heavy), "sha256", "left_semi").join(F.broadcast(store.join(F.broadcast(heavy), "sha256", "left_semi")), "sha256", "left")
+    few = F.broadcast(heavy)
+    return many.unionByName(rows.join(few, "sha256", "left_anti").join(store.join(few, "sha256", "left_anti"), "sha256", "left"))
