@@ -294,7 +294,9 @@ def pages(spark):
 
 def test_warc(spark, tmp_path):
     df = pages(spark)
-    warc.write(df, str(tmp_path / "w"), records_per_file=3)
+    warc.write(df, str(tmp_path / "z"))
+    assert warc.read(spark, str(tmp_path / "z")).count() == df.count()
+    warc.write(df, str(tmp_path / "w"), records_per_file=3, compression="none")
     archive = warc.read(spark, str(tmp_path / "w"))
     full = warc.reconstruct(warc.headers(archive), warc.payloads(archive)).collect()
     data = [(r["page_id"], (r["html"] or "").encode()) for r in df.collect()]
@@ -510,7 +512,7 @@ def test_warc_query_rebuilds_payloads(spark, tmp_path, monkeypatch):
     write = warc.write
 
     def damaged(df, path):
-        write(df, path)
+        write(df, path, compression="none")
         folder = pathlib.Path(path.removeprefix("file:"))
         for f in folder.glob(".*.crc"):
             f.unlink()
@@ -525,3 +527,85 @@ def test_warc_query_rebuilds_payloads(spark, tmp_path, monkeypatch):
     want = [(i, None, None) if p == b"small" else (i, len(p), hashlib.sha1(p).hexdigest()) for i, p in want]
     assert sorted(key(r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in got) == sorted(key(*w) for w in want)
     assert "revisit" in {r["record_type"] for r in got}
+
+
+def test_long_runs():
+    spans = [(0, 10, [1]), (11, 30, [2]), (40, 45, [3]), (60, 90, [4])]
+    assert substring_dedup.long_runs(spans, 0) == spans
+    assert substring_dedup.long_runs(spans, 30) == [spans[0], spans[1], spans[3]]
+    assert substring_dedup.long_runs([], 5) == []
+
+
+def test_substring_runs(spark):
+    """With min_run a passage of short lines goes and a lone common line stays."""
+    passage = "\n".join(f"line number {k} here." for k in range(12))
+    df = spark.createDataFrame([(1, "All rights reserved.\n" + passage), (2, "first of its kind\nAll rights reserved.\nother"), (3, "x\n" + passage + "\ny")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split() for r in substring_dedup.remove_repeats(df, min_run=160).collect()}
+    assert got[1] == ("All rights reserved.\n" + passage).split()
+    assert got[2] == "first of its kind All rights reserved. other".split()
+    assert got[3] == ["x", "y"]
+
+
+def test_pieces_of_a_batch():
+    import pyarrow as pa
+
+    texts = ["a" * 10, None, "", "b" * 100, "c", "d" * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    pieces = list(common.in_pieces(batch, most=12))
+    assert [x for p in pieces for x in p.column("text").to_pylist()] == texts
+    assert all(len(p) == 1 or sum(len(x or "") for x in p.column("text").to_pylist()) <= 12 for p in pieces)
+    assert list(common.in_pieces(batch.slice(0, 0))) == []
+
+
+def test_decoding_refuses_unknown_ids(monkeypatch):
+    table = bpe.TokenBytes({b"a": 0, b"bc": 1, b"d": 3})
+    monkeypatch.setattr(bpe, "PIECE_TOKENS", 2)
+    data, sizes = table(np.array([1, 0, 3, 1, 1]))
+    assert data.tobytes() == b"bcadbcbc" and sizes.tolist() == [2, 1, 1, 2, 2]
+    for bad in (2, 4, -1):
+        with pytest.raises(ValueError):
+            table(np.array([0, bad]))
+
+
+def test_components_of_a_hub(spark):
+    """A hub with thousands of links, and a chain that hangs on it."""
+    links = [(0, k) for k in range(1, 3000)] + [(5000, 2999), (5000, 6000), (6000, 7000), (8000, 8001)]
+    got = dict(map(tuple, graph.components(spark.createDataFrame(links, "a int, b int")).collect()))
+    assert got.get(7000) == 0 and got.get(1) == 0 and got[8001] == 8000 and sum(v == 0 for v in got.values()) >= 3002 - 1
+
+
+def test_near_groups_of_a_crowd_with_outliers(spark):
+    """A crowd around one text with some members that only reach each other, against brute force, in pieces of few."""
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{k}" for k in range(40)], []
+    for k in range(300):
+        w = list(base)
+        for at in rng.choice(40, 1 if k % 3 else 5, replace=False):
+            w[at] = f"x{rng.integers(6)}"
+        texts.append(" ".join(w))
+    sets = [shingles(t, 2) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    piece = near_dedup.PIECE
+    try:
+        near_dedup.PIECE = 20
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(df, width=2).collect()}
+    finally:
+        near_dedup.PIECE = piece
+    assert [got[k] for k in range(300)] == components(sets)
+
+
+def test_mix_offsets(spark):
+    rows = [(k, o, (o * 7 + k) % 5) for k in range(3) for o in range(0, 4000, 1 + k)]
+    got = {(r["k"], r["o"]): r["at"] for r in mixing.offsets(spark.createDataFrame(rows, "k long, o long, n long"), "k", "o", "n", "at").collect()}
+    sums = collections.Counter()
+    for k, o, n in rows:
+        assert got[k, o] == sums[k]
+        sums[k] += n
+
+
+def test_cluster_has_to_name_a_checkpoint_folder():
+    from types import SimpleNamespace
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        common.prepare(cluster)
