@@ -35,9 +35,9 @@ from orrery.llm import packing as P
 from orrery.llm.bpe import _partition
 
 #: Bytes of context.
-DEPTH = 4
+DEPTH = 5
 #: Characters of a block, and of a piece that is worked on at once.
-BLOCK_CHARS, PIECE_CHARS = 24_000_000, 1_000_000
+BLOCK_CHARS, PIECE_CHARS = 20_000_000, 1_000_000
 FRAME = b"\xff"
 _BITS = np.arange(8)
 TEXT, WORDS, STRINGS = 0, 1, 2
@@ -128,6 +128,12 @@ def _framed(texts: list[bytes], depth: int) -> tuple[bytes, np.ndarray]:
     return joined, where
 
 
+def _merged(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct strings with their summed counts."""
+    g, at = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
+    return g, np.bincount(at, np.concatenate([n for _, n in grams]), len(g)).astype(np.int64)
+
+
 def _count(parts: int, depth: int):
     """Texts -> rows of blocks: the texts, the words and the strings with their training counts."""
 
@@ -147,6 +153,8 @@ def _count(parts: int, depth: int):
                     joined, where = _framed(texts, depth)
                     g, n = np.unique(strings(joined, depth)[where], return_counts=True)
                     grams.append((g, n * (not held)))
+            if len(grams) > 6:
+                grams[:] = [_merged(grams)]
             if docs:
                 rows.append((TEXT, 0, _pieces(docs)))
             docs, size = [], 0
@@ -160,14 +168,13 @@ def _count(parts: int, depth: int):
             for p, ws in by_part.items():
                 counts = np.fromiter((words[w] for w in ws), np.int64, len(ws))
                 rows.append((WORDS, p, P.squeeze(P.pack_codes(counts), *P.pack_strings(ws))))
-            g, at = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([n for _, n in grams]), len(g)).astype(np.int64)
+            g, n = _merged(grams)
             part = (((g >> 8) & 0xFFFF) * 40503 >> 4) % parts
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
             for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
                 mine = order[a:b]
-                rows.append((STRINGS, int(part[mine[0]]), P.squeeze(np.diff(g[mine], prepend=0).tobytes(), P.pack_codes(n[mine]))))
+                rows.append((STRINGS, int(part[mine[0]]), P.squeeze(P.pack_codes(np.diff(g[mine], prepend=0)), P.pack_codes(n[mine]))))
             name = place << 32 | serial
             out = pa.RecordBatch.from_arrays(
                 [pa.array([name] * len(rows), pa.int64()), pa.array([k for k, _, _ in rows], pa.int32()), pa.array([p for _, p, _ in rows], pa.int32()), pa.array([x for _, _, x in rows], pa.binary())],
@@ -225,7 +232,7 @@ def _sum_strings(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarr
     lists, counts = [], []
     for data in table.column("data"):
         g, n = P.unsqueeze(data.as_py())
-        lists.append(np.cumsum(np.frombuffer(g, np.int64)))
+        lists.append(np.cumsum(P.unpack_codes(g)))
         counts.append(P.unpack_codes(n))
     grams, at = np.unique(np.concatenate(lists), return_inverse=True)
     return grams, np.bincount(at, np.concatenate(counts), len(grams)), lists
@@ -237,6 +244,7 @@ def _bottom(depth: int):
     def f(table: pa.Table) -> pa.Table:
         grams, counts, _ = _sum_strings(table)
         (key, zeros, ones, weighted), *_ = _weigh(grams, counts, depth, 2)
+        C.trim()
         return pa.table({"node": key & 0xFFFF, "zeros": zeros, "ones": ones, "weighted": weighted})
 
     return f
@@ -260,6 +268,11 @@ def _top(nodes: list) -> tuple[np.ndarray, np.ndarray]:
     return stay0 * p0 + (1 - stay0) * stay * p, (1 - stay0) * (1 - stay)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Floats of 32 bits, all first bytes before all second ones: they compress by their own statistics."""
+    return values.astype(np.float32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
 def _code_lengths(depth: int, top) -> object:
     """A part's strings -> log10 of the probability of each one's last byte, back to the blocks."""
 
@@ -270,7 +283,8 @@ def _code_lengths(depth: int, top) -> object:
         c1 = ((grams >> 8) & 255)[:, None]
         one = add[c1, node] + leave[c1, node] * p
         value = np.log10(np.where(bit == 1, one, 1 - one)).sum(axis=1)
-        out = [P.squeeze(np.diff(g, prepend=0).tobytes(), value[np.searchsorted(grams, g)].astype(np.float32).tobytes()) for g in lists]
+        out = [P.squeeze(P.pack_codes(np.diff(g, prepend=0)), _planes(value[np.searchsorted(grams, g)])) for g in lists]
+        C.trim()
         return pa.table({"block": table.column("block"), "kind": pa.array([STRINGS] * len(out), pa.int32()), "data": pa.array(out, pa.binary())})
 
     return f
@@ -280,7 +294,7 @@ class Lookup:
     """Values of integer keys by open addressing, for whole arrays at a time."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(keys) * 3).bit_length())
+        self.bits = max(4, int(len(keys) * 1.5).bit_length())
         self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
         self.values = np.zeros(1 << self.bits, dtype=values.dtype)
         at, left = self._slot(keys), np.arange(len(keys))
@@ -313,8 +327,8 @@ def _score(depth: int):
                 words.update(zip(P.unpack_strings(sizes, text), np.frombuffer(counts, np.int64).tolist(), strict=True))
             else:
                 g, v = P.unsqueeze(data.as_py())
-                keys.append(np.cumsum(np.frombuffer(g, np.int64)))
-                values.append(np.frombuffer(v, np.float32))
+                keys.append(np.cumsum(P.unpack_codes(g)))
+                values.append(np.frombuffer(v, np.uint8).reshape(4, -1).T.copy().view(np.float32).ravel())
         value = Lookup(np.concatenate(keys), np.concatenate(values))
         out = []
         for data in texts.column("data"):
@@ -336,6 +350,7 @@ def _score(depth: int):
                     {"doc_id": piece.column("id"), "held_out": piece.column("held"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()), "n_bytes": pa.array(sizes - 1, pa.int64()), "log_counts": pa.array(base), "score": pa.array(score)}
                 )
             )
+        C.trim()
         return pa.concat_tables(out)
 
     return f
@@ -350,7 +365,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_col: str = "
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    blocks = C.cut(slim.mapInArrow(_count(parts, depth), "block long, kind int, part int, data binary"))
+    blocks = C.cut(slim.mapInArrow(C.lean(_count(parts, depth)), "block long, kind int, part int, data binary"))
     words = C.cut(
         blocks.filter(f"kind = {WORDS}").groupBy("part").applyInArrow(_sum_words, "block long, kind int, data binary, tokens long, distinct long")
     )
