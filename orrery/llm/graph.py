@@ -1,8 +1,7 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Each round is two aggregations and joins; the number of rounds grows with the logarithm of the
-longest path. Nodes and links never reach the driver. A hub's links do not gather in one task: the least neighbour
-of a node with many links is broadcast to them (``common.join_groups``).
+longest path. Nodes and links never reach the driver; the links of a hub are split by the adaptive skew join.
 """
 
 from __future__ import annotations
@@ -13,21 +12,16 @@ from pyspark.sql import functions as F
 from orrery.llm import common as C
 
 
-def _to_least(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """links (u, v) with m, the least neighbour of u."""
-    return C.join_groups(links, least, "u", "n", total).drop("n")
-
-
-def _large(e: DataFrame, total: int) -> DataFrame:
+def _large(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", "n", F.least("u", "m").alias("m"))
-    return _to_least(both, least, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small(e: DataFrame, total: int) -> DataFrame:
+def _small(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    moved = _to_least(down, least, total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -39,5 +33,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = e.agg(F.count("*"), F.sum(F.xxhash64(F.greatest("u", "v"), F.least("u", "v")).cast("decimal(38,0)"))).first()
         if new == state or not new[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        large = C.cut(_large(e, new[0]))
-        state, e = new, C.cut(_small(large, new[0]))
+        state, e = new, C.cut(_small(_large(e)))
