@@ -25,6 +25,11 @@ def lab(r: Column, g: Column, b: Column) -> Column:
     return F.struct(light.alias("l"), (500 * (bend(x / WHITE_X) - bend(y))).alias("a"), (200 * (bend(y) - bend(z / WHITE_Z))).alias("b"))
 
 
+def rgb_distance(p: Column, q: Column) -> Column:
+    """Euclidean distance of two struct(r, g, b)."""
+    return F.sqrt(sum((p[c] - q[c]) * (p[c] - q[c]) for c in ("r", "g", "b")))
+
+
 def lab_distance(p: Column, q: Column) -> Column:
     return F.sqrt(sum((p[c] - q[c]) * (p[c] - q[c]) for c in ("l", "a", "b")))
 

@@ -59,16 +59,21 @@ def scores(df: DataFrame, model: DataFrame, vec_col: str, keep: list[str]) -> Da
     return df.select(*keep, V.doubles(vec_col).alias("_x")).join(m, how="cross").select(*keep, "class", V.dot("weights", "_x").alias("score"))
 
 
+def _judged(df: DataFrame, model: DataFrame, vec_col: str, columns: list[str]) -> DataFrame:
+    """``columns`` of df with ``predicted`` and its score ``_best``."""
+    packed = model.agg(F.sort_array(F.collect_list(F.struct("label", "weights"))).alias("_m"))
+    scored = F.transform(F.col("_m"), lambda c: F.struct(V.total(F.zip_with(c["weights"], F.col("_x"), lambda a, b: a * b)).alias("s"), c["label"].alias("label")))
+    rows = df.select(*columns, V.doubles(vec_col).alias("_x")).join(F.broadcast(packed), how="cross")
+    rows = rows.withColumn("_s", scored).withColumn("_best", F.aggregate("_s", F.lit(float("-inf")), lambda a, c: F.greatest(a, c["s"])))
+    return rows.withColumn("predicted", F.filter("_s", lambda c: c["s"] == F.col("_best"))[0]["label"]).drop("_x", "_m", "_s")
+
+
 def classify(df: DataFrame, model: DataFrame, vec_col: str, id_col: str, keep: list[str] | None = None) -> DataFrame:
     """df's id, the columns of ``keep`` and ``predicted``: the class of the largest score, ties to the smallest class.
 
     All classes of a row are compared within the row: the model travels as one array.
     """
-    packed = model.agg(F.sort_array(F.collect_list(F.struct("label", "weights"))).alias("_m"))
-    scored = F.transform(F.col("_m"), lambda c: F.struct(V.total(F.zip_with(c["weights"], F.col("_x"), lambda a, b: a * b)).alias("s"), c["label"].alias("label")))
-    rows = df.select(id_col, *(keep or []), V.doubles(vec_col).alias("_x")).join(F.broadcast(packed), how="cross")
-    rows = rows.withColumn("_s", scored).withColumn("_best", F.aggregate("_s", F.lit(float("-inf")), lambda a, c: F.greatest(a, c["s"])))
-    return rows.withColumn("predicted", F.filter("_s", lambda c: c["s"] == F.col("_best"))[0]["label"]).drop("_x", "_m", "_s", "_best")
+    return _judged(df, model, vec_col, [id_col, *(keep or [])]).drop("_best")
 
 
 def loss_column(name: str, margin: Column, sign: Column) -> Column:
@@ -80,13 +85,11 @@ def loss_column(name: str, margin: Column, sign: Column) -> Column:
     }[name]()
 
 
-def validate(df: DataFrame, model: DataFrame, vec_col: str, label_col: str, id_col: str) -> DataFrame:
+def validate(df: DataFrame, model: DataFrame, vec_col: str, label_col: str) -> DataFrame:
     """One row: rows, errors (0/1 loss), and the summed losses of each row's predicted class."""
-    predicted = classify(df, model, vec_col, id_col, [label_col, vec_col])
-    joined = predicted.join(F.broadcast(model.withColumnRenamed("label", "predicted")), "predicted")
-    margin = V.dot("weights", V.doubles(vec_col))
-    sign = V.sign_of(F.col("predicted") == F.col(label_col))
-    return joined.select(margin.alias("m"), sign.alias("s")).agg(
+    judged = _judged(df, model, vec_col, [label_col])
+    margin, sign = F.col("_best"), V.sign_of(F.col("predicted") == F.col(label_col))
+    return judged.select(margin.alias("m"), sign.alias("s")).agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("s") < 0, 1).otherwise(0)).alias("errors"),
         *(F.sum(loss_column(k, F.col("m"), F.col("s"))).alias(k) for k in ("squared", "logistic", "hinge")),
     )

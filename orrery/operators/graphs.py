@@ -24,6 +24,15 @@ def vertices(edges: DataFrame) -> DataFrame:
     return edges.select("graph", F.explode(F.array("src", "dst")).alias("v")).distinct()
 
 
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(graph, src, dst, weight, start): the cells of the 0/1 matrix; ``start`` is one over the number of vertices.
+
+    A walk starts and stops at each vertex with the same chance. Graphs without edges have no row.
+    """
+    sizes = vertices(edges).groupBy("graph").agg((1 / F.count("*")).alias("start"))
+    return edges.select("graph", "src", "dst", F.lit(1.0).alias("weight")).distinct().join(sizes, "graph")
+
+
 def walk_profiles(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(graph, t, memo) for t = 1..5; graphs without vertices have no rows.
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,3 +129,40 @@ def rotated(df: DataFrame, vec_col: str, dim: int, out: str = "rotated") -> Data
     ready = mean_centred(df, vec_col, dim, "_centred").withColumn("_features", array_to_vector("_centred"))
     model = PCA(k=dim, inputCol="_features", outputCol="_rotated").fit(ready)
     return model.transform(ready).withColumn(out, vector_to_array("_rotated")).drop("_centred", "_features", "_rotated")
+
+
+def normal_densities(df: DataFrame, columns: list[str], out: str = "pdf") -> DataFrame:
+    """df with the density of each row under the normal model of its columns: their means, and identity plus covariance.
+
+    The model has one number a pair of columns; its inverse is taken on the driver. Null in any column gives null.
+    """
+    sums = {(r["i"], r["j"]): r for r in products(df.dropna(subset=columns), columns).collect()}
+    n = sums[columns[0], columns[0]]["m0"]
+    if not n:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    mu = {c: sums[c, c]["mi"] / n for c in columns}
+    sigma = np.eye(len(columns)) + np.array([[sums[i, j]["mij"] / n - mu[i] * mu[j] for j in columns] for i in columns])
+    inverse = np.linalg.inv(sigma)
+    size = float(np.linalg.det(sigma)) * (2 * np.pi) ** len(columns)
+    apart = {c: F.col(c).cast("double") - F.lit(float(mu[c])) for c in columns}
+    form = sum(float(inverse[a, b]) * apart[i] * apart[j] for a, i in enumerate(columns) for b, j in enumerate(columns))
+    return df.withColumn(out, F.exp(-0.5 * form) / F.lit(size**0.5))
+
+
+def nearest_semidefinite(df: DataFrame, matrix_col: str, out: str = "projected") -> DataFrame:
+    """df with the nearest positive semidefinite matrix of each row's symmetric one (an array of rows): negative eigenvalues become 0.
+
+    Rows of any sizes of matrices; a null or empty matrix gives null. Work is by batches of rows.
+    """
+
+    @F.pandas_udf("array<array<double>>")
+    def project(cells: pd.Series) -> pd.Series:
+        def one(m) -> list | None:
+            if m is None or not len(m):
+                return None
+            values, axes = np.linalg.eigh(np.stack([np.asarray(row, dtype=float) for row in m]))
+            return ((axes * np.maximum(values, 0)) @ axes.T).tolist()
+
+        return cells.map(one)
+
+    return df.withColumn(out, project(F.col(matrix_col).cast("array<array<double>>")))

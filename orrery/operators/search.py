@@ -170,3 +170,105 @@ def conjugate_gradient(f: Function, gradient: Function, start: Column, rule: str
         return _bind({"x": s["x"], "g": s["g"], "d": s["d"], "fx": f(s["x"]), "slope": _dot(s["g"], s["d"])}, moved)
 
     return _loop(steps, begin, step, lambda s: s["x"])
+
+
+def unbracket(start: Column) -> Column:
+    """(lo, hi) from half the start to twice the start, the least value first; both 0 for a start of 0."""
+    start = start.cast("double")
+    ends = [start / 2, start * 2]
+    return F.struct(F.least(*ends).alias("lo"), F.greatest(*ends).alias("hi"))
+
+
+def brent_with_slope(f: Function, slope: Function, lo: Column, hi: Column, steps: int = 60) -> Column:
+    """Where f is least between lo and hi, by its slope: secants through the last two slopes, halving where they fail.
+
+    The interval's ends keep slopes of unlike signs; without such signs the end with the lesser f is the answer.
+    """
+    lo, hi = lo.cast("double"), hi.cast("double")
+    names = ["a", "b", "x", "sx", "w", "sw"]
+    mid = (lo + hi) / 2
+    start = F.struct(*(v.alias(c) for v, c in zip([lo, hi, mid, slope(mid), hi, slope(hi)], names, strict=True)))
+
+    def step(s: Column) -> Column:
+        def moved(t: Column) -> Column:
+            a, b, x, sx, w, sw = (t[c] for c in names)
+            guess = x - sx * F.try_divide(x - w, sx - sw)
+            fits = F.coalesce((guess > a) & (guess < b), F.lit(False))
+            # every other point halves the interval, so that one end never stays for long
+            new = F.when(fits & (F.abs(guess - x) < (b - a) / 4), guess).otherwise((a + b) / 2)
+            return F.struct(a.alias("a"), b.alias("b"), new.alias("x"), slope(new).alias("sx"), x.alias("w"), sx.alias("sw"))
+
+        a, b, x, sx, w, sw = (s[c] for c in names)
+        inner = F.struct(F.when(sx < 0, x).otherwise(a).alias("a"), F.when(sx > 0, x).otherwise(b).alias("b"), *(s[c].alias(c) for c in names[2:]))
+        done = (sx == 0) | (x == w)
+        return F.when(F.coalesce(done, F.lit(True)), s).otherwise(_bind({"t": inner}, lambda q: moved(q["t"])))
+
+    inside = _loop(steps, start, step, lambda s: s["x"])
+    return F.when((slope(lo) < 0) & (slope(hi) > 0), inside).when(f(lo) <= f(hi), lo).when(f(hi) < f(lo), hi)
+
+
+def wolfe(f: Function, gradient: Function, slope: Column, x: Column, d: Column, strong: bool = False, low: float = 1e-4, high: float = 0.9, steps: int = 40) -> Column:
+    """A step along d that passes the Armijo test and the (weak or strong) curvature test, by bisection; 0 without one."""
+    names = ["t", "lo", "hi", "found"]
+    zero = F.lit(0.0)
+    begin = F.struct(F.lit(1.0).alias("t"), zero.alias("lo"), F.lit(float("inf")).alias("hi"), zero.alias("found"))
+    fx = f(x)
+
+    def step(s: Column) -> Column:
+        t, lo, hi, found = (s[c] for c in names)
+        there = _along(x, t, d)
+        steep = _dot(gradient(there), d)
+        long_ = f(there) > fx + low * t * slope
+        short = steep < high * slope
+        over = (steep > -high * slope) if strong else F.lit(False)
+        new_hi, new_lo = F.when(long_ | (~short & over), t).otherwise(hi), F.when(~long_ & short, t).otherwise(lo)
+        next_t = F.when(new_hi == float("inf"), 2 * new_lo).otherwise((new_lo + new_hi) / 2)
+        good = ~long_ & ~short & ~over
+        new = F.struct(next_t.alias("t"), new_lo.alias("lo"), new_hi.alias("hi"), F.when(good, t).otherwise(zero).alias("found"))
+        return F.when(found > 0, s).otherwise(new)
+
+    return _loop(steps, begin, step, lambda s: s["found"])
+
+
+def nelder_mead(f: Function, start: Column, stride: float = 1.0, steps: int = 300) -> Column:
+    """Where f, of an array of numbers, is least, without slopes: a simplex that reflects, grows, contracts and shrinks."""
+    start = start.cast("array<double>")
+
+    def corner(x: Column) -> Column:
+        return _bind({"x": x}, lambda b: F.struct(f(b["x"]).alias("fx"), b["x"].alias("x")))
+
+    def moved_by(k: Column) -> Column:
+        return F.transform(start, lambda v, i: F.when(i == k - 1, v + stride).otherwise(v))
+
+    begin = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(start)), lambda k: corner(moved_by(k))))
+
+    def step(s: Column) -> Column:
+        n = F.size(s) - 1
+        worst = F.element_at(s, -1)
+        total = F.aggregate(F.slice(s, 2, n - 1), s[0]["x"], lambda a, c: F.zip_with(a, c["x"], lambda x, y: x + y))
+
+        def at(b: Column, r: float) -> Column:
+            """The middle of all corners but the worst, and r times the way from the worst on."""
+            return corner(F.zip_with(b["mid"], b["worst"]["x"], lambda m, w: m + r * (m - w)))
+
+        def replaced(c: Column, new: Column) -> Column:
+            return F.array_append(F.slice(c["s"], 1, F.size(c["s"]) - 1), new)
+
+        def shrunk(c: Column) -> Column:
+            best = c["s"][0]["x"]
+            return F.transform(c["s"], lambda k: corner(F.zip_with(k["x"], best, lambda x, y: (x + y) / 2)))
+
+        def chosen(c: Column) -> Column:
+            r, e, i = c["r"]["fx"], c["e"]["fx"], c["i"]["fx"]
+            grown = F.when(e < r, c["e"]).otherwise(c["r"])
+            second = F.element_at(c["s"], -2)["fx"]
+            return (
+                F.when(r < c["s"][0]["fx"], replaced(c, grown)).when(r < second, replaced(c, c["r"]))
+                .when(i < c["worst"]["fx"], replaced(c, c["i"])).otherwise(shrunk(c))
+            )
+
+        base = {"s": s, "worst": worst, "mid": F.transform(total, lambda x: x / n)}
+        new = _bind(base, lambda b: _bind({"s": b["s"], "worst": b["worst"], "r": at(b, 1.0), "e": at(b, 2.0), "i": at(b, -0.5)}, chosen))
+        return F.array_sort(new)
+
+    return _loop(steps, begin, step, lambda s: s[0]["x"])

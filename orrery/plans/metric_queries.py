@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.functions import vectors as V
 from orrery.operators import metric_join
 from orrery.plans.registry import query
 
@@ -123,3 +124,44 @@ def nearest_label_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = near.join(labels.withColumnsRenamed({"id": "q", "label": "label"}), "q").join(labels.withColumnsRenamed({"id": "r", "label": "found"}), "r")
     right = F.count_if(F.col("label") == F.col("found"))
     return both.groupBy("label").agg(F.count("*").alias("n"), right.alias("correct"), F.round(1 - right / F.count("*"), 6).alias("error_rate"))
+
+
+@query("knn_merged", _near("", 3, "q, CAST(rank AS INTEGER) AS rank, r, dist"))
+def knn_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours in three overlapping parts of the references, merged."""
+    v = vectors(spark, sf_dir)
+    parts = [metric_join.knn(v, v.filter(f"vec_id % 4 IN ({a}, {b})"), k=3) for a, b in ((0, 1), (1, 2), (2, 3))]
+    return rounded(metric_join.merge_neighbours(3, *parts), "dist")
+
+
+@query("correlation_algebra", PAIRS.format(where="WHERE a.vec_id % 2 <> b.vec_id % 2") + "SELECT radius, count(*) FILTER (dist < radius) AS n FROM p, (VALUES (1.1::DOUBLE), (1.2::DOUBLE), (1.3::DOUBLE)) t(radius) GROUP BY radius")
+def correlation_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs across two halves: the counts of the whole without those of each half."""
+    v, radii = vectors(spark, sf_dir), [1.1, 1.2, 1.3]
+    halves = [metric_join.negated(metric_join.pair_counts(v.filter(f"vec_id % 2 = {k}"), radii), "n") for k in (0, 1)]
+    return metric_join.merge_sums("n", ["radius"], metric_join.pair_counts(v, radii), *halves)
+
+
+@query("density_merged", PAIRS.format(where="") + "SELECT q, round(sum(exp(-dist * dist / 0.5)), 6) AS density FROM p GROUP BY q")
+def density_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Densities over two halves of the references, added up."""
+    v = vectors(spark, sf_dir)
+    halves = [metric_join.density(v, v.filter(f"vec_id % 2 = {k}"), 0.5) for k in (0, 1)]
+    return rounded(metric_join.merge_sums("density", ["q"], *halves), "density")
+
+
+@query("vector_algebra", """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), a AS (SELECT vec_id, v[1:2] AS x, v[3:4] AS y FROM e)
+SELECT vec_id, round(x[1] - y[1], 6) + 0.0 AS minus_1, round(x[2] - y[2], 6) + 0.0 AS minus_2, round(2.5 * x[1], 6) + 0.0 AS scaled_1, round(x[2] / (y[2] + 3), 6) + 0.0 AS over_2,
+       round(x[1] * x[1] * y[1] + x[1] * x[2] * y[2], 6) + 0.0 AS matrix_vector_1, round(ln(exp(x[1]) + exp(x[2])), 6) + 0.0 AS log_sum_exp,
+       round(-1 / (1 + exp(x[1])), 6) AS loss_slope, round(1 / (1 + exp(x[1])) / (1 + exp(-x[1])), 6) AS loss_curve, round(pow(1.3, vec_id % 5), 6) AS separation FROM a""")
+def vector_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = V.doubles("embedding")
+    a = vectors(spark, sf_dir).select("vec_id", F.slice(v, 1, 2).alias("x"), F.slice(v, 3, 2).alias("y"))
+    shifted = F.transform("y", lambda t: t + 3)
+    cells = {
+        "minus_1": V.minus("x", "y")[0], "minus_2": V.minus("x", "y")[1], "scaled_1": V.scaled("x", 2.5)[0], "over_2": V.over(F.col("x"), shifted)[1],
+        "matrix_vector_1": V.matrix_vector(V.outer("x", "x"), "y")[0], "log_sum_exp": V.log_sum_exp_list(F.col("x")), "loss_slope": V.log_loss_slope(F.col("x")[0]),
+        "loss_curve": V.log_loss_curve(F.col("x")[0]), "separation": V.separation_distance(F.col("vec_id") % 5),
+    }
+    return a.select("vec_id", *((F.round(c, 6) + 0.0).alias(n) for n, c in cells.items()))

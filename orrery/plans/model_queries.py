@@ -46,7 +46,7 @@ def glm_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS n, count(*) FILTER (s < 0) AS errors, round(sum(0.5 * (m - s) * (m - s)), 5) AS squared, round(sum(ln(1 + exp(-s * m))), 5) AS logistic, round(sum(greatest(0, 1 - s * m)), 5) AS hinge FROM l""")
 def glm_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, model = _model(spark, sf_dir)
-    found = glm.validate(e, model, "embedding", "label", "vec_id")
+    found = glm.validate(e, model, "embedding", "label")
     return found.withColumns({c: F.round(c, 5) for c in ("squared", "logistic", "hinge")})
 
 
@@ -92,6 +92,12 @@ def graph_symmetrised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.symmetrised(_edges(spark, sf_dir))
 
 
+@query("graph_adjacency", _EDGES + "SELECT graph, src, dst, 1.0::DOUBLE AS weight, round(1 / size, 9) AS start FROM e JOIN n USING (graph)")
+def graph_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sparse 0/1 matrix of each graph that has edges, and the chance that a walk starts at a vertex."""
+    return graphs.adjacency(graphs.symmetrised(_edges(spark, sf_dir))).withColumn("start", F.round("start", 9))
+
+
 @query("graph_walks", _EDGES + "SELECT graph, t, round(memo, 6) AS memo FROM m")
 def graph_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graphs.walk_profiles(graphs.symmetrised(_edges(spark, sf_dir))), "memo")
@@ -135,6 +141,19 @@ def rgb_to_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _colours(spark, sf_dir).select("p_partkey", *((F.round(f"lab.{c}", 6) + 0.0).alias(c) for c in ("l", "a", "b")))
 
 
+@query("colour_distances", _LAB + """
+, n AS (SELECT l.*, c.r, c.g, c.b AS blue FROM l JOIN c USING (p_partkey))
+SELECT x.p_partkey, round(sqrt((x.r - y.r) * (x.r - y.r) + (x.g - y.g) * (x.g - y.g) + (x.blue - y.blue) * (x.blue - y.blue)), 6) AS rgb,
+       round(sqrt((x.l - y.l) * (x.l - y.l) + (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)), 5) AS lab FROM n x JOIN n y ON y.p_partkey = x.p_partkey + 1""")
+def colour_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of each part's colour to the next part's, in both colour spaces."""
+    rgb = F.struct(((F.col("p_size") % 16) / 15).alias("r"), ((F.col("p_partkey") % 11) / 10).alias("g"), ((F.col("p_partkey") % 7) / 6).alias("b"))
+    x = _colours(spark, sf_dir).select("p_partkey", "lab", rgb.alias("rgb"))
+    y = x.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("lab").alias("lab2"), F.col("rgb").alias("rgb2"))
+    far = colour.rgb_distance(F.col("rgb"), F.col("rgb2")), colour.lab_distance(F.col("lab"), F.col("lab2"))
+    return x.join(y, "p_partkey").select("p_partkey", F.round(far[0], 6).alias("rgb"), F.round(far[1], 5).alias("lab"))
+
+
 @query("signature_centroids", _LAB + "SELECT p_brand AS id, round(avg(l), 5) + 0.0 AS l, round(avg(a), 5) + 0.0 AS a, round(avg(b), 5) + 0.0 AS b FROM l JOIN part USING (p_partkey) GROUP BY 1")
 def signature_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centroids of the colour signature of each brand, every part weighing the same."""
@@ -276,20 +295,37 @@ def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORD = "([a-z]+)"
 
 
-@query("bag_of_words", f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_WORD}', 1)) AS word FROM documents) GROUP BY ALL")
+_BAG = f"t AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_WORD}', 1)) AS word FROM documents) GROUP BY ALL)"
+
+
+@query("bag_of_words", f"WITH {_BAG} SELECT doc_id, word, n FROM t")
 def bag_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD))).alias("word"))
-    return docs.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    """Word counts of each document: its text shuffles once, so words and their counts never do."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD))).alias("word"))
+    return words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
-@query("document_cosine", f"""
-WITH t AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_WORD}', 1)) AS word FROM documents) GROUP BY ALL),
-s AS (SELECT doc_id, sum(n * n) AS k FROM t GROUP BY 1)
-SELECT doc_id, round(sqrt(k), 6) AS norm FROM s""")
+def _norms(bag: DataFrame) -> DataFrame:
+    return bag.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+
+
+@query("document_norms", f"WITH {_BAG} SELECT doc_id, round(sqrt(sum(n * n)), 6) AS norm FROM t GROUP BY doc_id")
 def document_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length of each document's word-count vector: an inner product of sparse vectors in long form."""
+    return rounded(_norms(bag_of_words(spark, sf_dir)), "norm")
+
+
+@query("document_cosine", f"""
+WITH {_BAG}, c AS (SELECT word, sum(n)::DOUBLE AS m FROM t GROUP BY word)
+SELECT doc_id, round(sum(n * m) / sqrt(sum(n * n)) / (SELECT sqrt(sum(m * m)) FROM c), 6) AS cosine FROM t JOIN c USING (word) GROUP BY doc_id""")
+def document_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cosine of each document's word counts and the corpus's."""
     bag = bag_of_words(spark, sf_dir)
-    return bag.groupBy("doc_id").agg(F.round(F.sqrt(F.sum(F.col("n") * F.col("n"))), 6).alias("norm"))
+    corpus = bag.groupBy("word").agg(F.sum("n").cast("double").alias("m"))
+    norm = corpus.agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("whole"))  # one row
+    sums = bag.join(corpus, "word").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("m")).alias("x"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    return sums.join(F.broadcast(norm), how="cross").select("doc_id", F.round(F.col("x") / F.col("norm") / F.col("whole"), 6).alias("cosine"))
 
 
 @query("streaming_moments", "SELECT event_type, count(value)::DOUBLE AS m0, round(sum(value), 4) AS m1, round(sum(value * value), 3) AS m2 FROM events GROUP BY 1")

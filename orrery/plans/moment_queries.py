@@ -186,3 +186,37 @@ def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", F.round(V.dot("v", "o"), 6).alias("dot"), F.round(V.distance_unrolled("v", "o", 64), 6).alias("dist"), F.round(V.norm("v"), 6).alias("norm"), F.round(V.outer("v", "o")[1][2], 6).alias("outer_12"),
         F.round(V.plus("v", "o")[0], 6).alias("plus_0"), F.round(V.times("v", "o")[0], 6).alias("times_0"), F.round(V.kernel_distance(V.dot("v", "v"), V.dot("o", "o"), V.dot("v", "o")), 5).alias("kernel"),
     )
+
+
+@query("normal_density_vectors", """
+WITH s AS (SELECT avg(l_quantity) AS ma, avg(l_discount) AS mb, 1 + var_pop(l_quantity) AS aa, 1 + var_pop(l_discount) AS bb, covar_pop(l_quantity, l_discount) AS ab FROM lineitem),
+x AS (SELECT l_orderkey, l_linenumber, l_quantity - ma AS a, l_discount - mb AS b, aa, bb, ab, aa * bb - ab * ab AS size FROM lineitem, s)
+SELECT l_orderkey, l_linenumber, round(exp(-0.5 * (bb * a * a - 2 * ab * a * b + aa * b * b) / size) / (2 * pi() * sqrt(size)), 9) AS pdf FROM x""")
+def normal_density_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    return M.normal_densities(items, ["l_quantity", "l_discount"]).select("l_orderkey", "l_linenumber", F.round("pdf", 9).alias("pdf"))
+
+
+@query("moments_combined", """
+WITH a AS (SELECT l_returnflag, count(*)::DOUBLE AS m0, sum(l_tax) AS m1, sum(l_tax * l_tax) AS m2 FROM lineitem GROUP BY 1),
+b AS (SELECT l_returnflag, count(*)::DOUBLE AS m0, sum(l_discount) AS m1, sum(l_discount * l_discount) AS m2 FROM lineitem GROUP BY 1)
+SELECT l_returnflag, round(a.m0 / b.m0, 6) AS m0, round(a.m1 / b.m1, 6) AS m1, round(a.m2 / b.m2, 6) AS m2 FROM a JOIN b USING (l_returnflag)""")
+def moments_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component-wise quotient of two summaries."""
+    items = table(spark, sf_dir, "lineitem")
+    a, b = (M.summary(items, c, ["l_returnflag"]) for c in ("l_tax", "l_discount"))
+    return rounded(M.combine(a, b, "/", ["l_returnflag"]), "m0", "m1", "m2")
+
+
+@query("semidefinite_projection", """
+WITH m AS (SELECT p_partkey, (p_partkey % 7 - 3)::DOUBLE AS a, (p_partkey % 5 - 2)::DOUBLE AS b, (p_size % 9 - 4)::DOUBLE AS c FROM part),
+e AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS most, (a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b) AS least FROM m)
+SELECT p_partkey, round(CASE WHEN least >= 0 THEN a WHEN most <= 0 THEN 0 ELSE most * (a - least) / (most - least) END, 6) + 0.0 AS a,
+       round(CASE WHEN least >= 0 THEN b WHEN most <= 0 THEN 0 ELSE most * b / (most - least) END, 6) + 0.0 AS b,
+       round(CASE WHEN least >= 0 THEN c WHEN most <= 0 THEN 0 ELSE most * (c - least) / (most - least) END, 6) + 0.0 AS c FROM e""")
+def semidefinite_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, c = F.col("p_partkey") % 7 - 3, F.col("p_partkey") % 5 - 2, F.col("p_size") % 9 - 4
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.array(F.array(a, b), F.array(b, c)).alias("m"))
+    found = M.nearest_semidefinite(rows, "m", "p")
+    cells = {"a": F.col("p")[0][0], "b": F.col("p")[0][1], "c": F.col("p")[1][1]}
+    return found.select("p_partkey", *((F.round(x, 6) + 0.0).alias(n) for n, x in cells.items()))

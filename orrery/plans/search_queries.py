@@ -81,3 +81,43 @@ def minimum_hestenes_stiefel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minimum_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steepest descent with step halving."""
     return _several(spark, sf_dir, rule="steepest", steps=400, search=search.backtracking)
+
+
+@query("minimum_brent_slope", _AT)
+def minimum_brent_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def slope(x):
+        return F.col("steep") * F.sinh((x - F.col("at")) / 4) / 4
+
+    return _suppliers(spark, sf_dir).select("s_suppkey", (F.round(search.brent_with_slope(_bowl, slope, F.lit(-20.0), F.lit(30.0)), 3) + 0.0).alias("x"))
+
+
+@query("minimum_unbracketed", "SELECT s_suppkey, least(v / 2, v * 2) AS lo, greatest(v / 2, v * 2) AS hi FROM (SELECT s_suppkey, floor(s_acctbal::DOUBLE / 100) AS v FROM supplier)")
+def minimum_unbracketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval from half a start to twice the start."""
+    start = table(spark, sf_dir, "supplier").select("s_suppkey", F.floor(F.col("s_acctbal").cast("double") / 100).cast("double").alias("v"))
+    return start.withColumn("i", search.unbracket(F.col("v"))).select("s_suppkey", "i.lo", "i.hi")
+
+
+@query("minimum_nelder_mead", _THREE.replace("floor", "round(floor").replace(" + 0.0 AS x", ", 2) + 0.0 AS x"))
+def minimum_nelder_mead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    found = _suppliers(spark, sf_dir).withColumn("v", search.nelder_mead(_distance, start, steps=250))
+    return found.select("s_suppkey", *((F.round(F.col("v")[k], 2) + 0.0).alias(c) for k, c in enumerate("xyz")))
+
+
+def _by_wolfe(strong: bool):
+    def along(f, slope, x, fx, d):
+        return search.wolfe(f, _its_gradient, slope, x, d, strong)
+
+    return along
+
+
+@query("minimum_wolfe", _THREE)
+def minimum_wolfe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conjugate gradients whose steps pass the weak Wolfe tests."""
+    return _several(spark, sf_dir, steps=60, search=_by_wolfe(False))
+
+
+@query("minimum_strong_wolfe", _THREE)
+def minimum_strong_wolfe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _several(spark, sf_dir, steps=60, search=_by_wolfe(True))

@@ -278,3 +278,33 @@ def test_graph_kernel_query_has_all_pairs(spark, tmp_path):
     spark.range(n).selectExpr("id AS s_suppkey", "id AS s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
     found = model_queries.graph_kernel(spark, str(tmp_path)).agg(F.count("*").alias("n"), F.count_distinct("q").alias("q"), F.count_distinct("r").alias("r")).first()
     assert tuple(found) == (n * n, n, n)
+
+
+def test_merged_results_are_those_of_the_whole(spark):
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(k, rng.normal(size=3).tolist()) for k in range(60)], "vec_id long, embedding array<double>").cache()
+    parts = [v.filter("vec_id < 40"), v.filter("vec_id >= 25")]
+    merged = metric_join.merge_neighbours(4, *(metric_join.knn(v, p, k=4) for p in parts))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, metric_join.knn(v, k=4).collect()))
+    whole = metric_join.range_counts(v, None, 1.5)
+    less = metric_join.merge_sums("n", ["q"], whole, metric_join.negated(metric_join.range_counts(v, parts[0], 1.5), "n"))
+    other = {r["q"]: r["n"] for r in metric_join.range_counts(v, v.filter("vec_id >= 40"), 1.5).collect()}
+    assert {r["q"]: r["n"] for r in less.collect() if r["n"]} == other
+
+
+def test_vector_densities_and_projection(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 3)) @ np.array([[1, 0.5, 0], [0, 2, 0.3], [0, 0, 1]])
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)] + [(99, None, 1.0, 1.0)], "id long, a double, b double, c double")
+    got = {r["id"]: r["pdf"] for r in moments.normal_densities(df, ["a", "b", "c"]).collect()}
+    sigma, mu = np.eye(3) + np.cov(x.T, bias=True), x.mean(axis=0)
+    for k, r in enumerate(x):
+        form = (r - mu) @ np.linalg.inv(sigma) @ (r - mu)
+        assert got[k] == pytest.approx(np.exp(-form / 2) / np.sqrt((2 * np.pi) ** 3 * np.linalg.det(sigma)))
+    assert got[99] is None
+    assert moments.normal_densities(df.limit(0), ["a", "b"]).count() == 0
+    m = [[[2.0, 3.0, 0.0], [3.0, 2.0, 1.0], [0.0, 1.0, -1.0]], [[4.0]], None, []]
+    out = [r["projected"] for r in moments.nearest_semidefinite(spark.createDataFrame([(a,) for a in m], "m array<array<double>>"), "m").collect()]
+    values, axes = np.linalg.eigh(np.array(m[0]))
+    assert np.allclose(out[0], (axes * np.maximum(values, 0)) @ axes.T) and np.linalg.eigvalsh(np.array(out[0])).min() > -1e-9
+    assert out[1:] == [[[4.0]], None, None]
