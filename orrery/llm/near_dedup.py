@@ -295,12 +295,10 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     links = links.unionByName(rest)
     label = graph.components(links)
     # back to documents
-    # classes without a link are their own heads; components of any size are dealt out
-    placed = C.cut(classes.join(label, classes.cls == label.node, "left").select("cls", "least", "members", "label"))
-    tied = placed.filter("label IS NOT NULL")
-    heads = C.cut(tied.groupBy("label").agg(F.min("least").alias("head"), F.count("*").alias("k")))
-    tied = C.join_groups(tied, heads, "label", "k", heads.agg(F.sum("k")).first()[0] or 0).select("cls", "members", "head")
-    placed = C.cut(tied.unionByName(placed.filter("label IS NULL").select("cls", "members", F.col("least").alias("head"))))
+    # a component's least class and classes without links are their own labels; components of any size are dealt out
+    placed = C.cut(classes.join(label, classes.cls == label.node, "left").select("cls", "least", "members", F.coalesce("label", "cls").alias("label")))
+    heads = C.cut(placed.groupBy("label").agg(F.min("least").alias("head"), F.count("*").alias("k")))
+    placed = C.cut(C.join_groups(placed, heads, "label", "k", heads.agg(F.sum("k")).first()[0] or 0).select("cls", "members", "head"))
     found = C.join_groups(rows.drop("regs"), placed, "cls", "members", total)
     alone = rows.filter("cls IS NULL")
     return found.select(
