@@ -292,8 +292,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     dealt = asks.unionByName(others).join(full.drop("n"), "cls").select("head", "p", "q", "asks", "cls", "label", "n", "far", "regs", "items")
     dealt = dealt.repartition("head", "p", "q").sortWithinPartitions("head", "p", "q")
     rest = dealt.mapInArrow(C.lean(_cross(percent)), "a binary, b binary")
-    links = links.unionByName(rest)
-    label = graph.components(links)
+    # the components so far are stars already: few rounds are left
+    label = graph.components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(rest))
     # back to documents
     placed = C.cut(classes.join(label, classes.cls == label.node, "left").select("cls", "least", "members", F.coalesce("label", "cls").alias("label")))
     heads = placed.groupBy("label").agg(F.min("least").alias("head"))
