@@ -1,36 +1,57 @@
 """Connected components of a link table, by alternating large and small stars.
 
-Each round is two aggregations and joins; the number of rounds grows with the logarithm of the
-longest path. Nodes and links never reach the driver; the links of a hub are split by the adaptive skew join.
+The number of rounds grows with the logarithm of the longest path. Nodes and links never reach the driver. In each
+half of a round the links of a node meet once, by shuffle, to learn the node's least neighbour; equal links become one
+there. A hub's links do not meet: the least neighbour of a node with at least 1/HEAVY of all links comes from an
+aggregate that map tasks prepare, and is broadcast to its links where they lie. There are at most HEAVY such nodes.
+
+Defined results: links with a null end and links of a node to itself are left out; repeated links count once; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from orrery.llm import common as C
 
+#: A node with fewer links is never a hub, whatever the number of all links.
+FEW = 200
+
+
+def _with_least(e: DataFrame, rows: int) -> DataFrame:
+    """Links (u, v) with m, the least v of each u; ``rows`` is the number of links, repeated ones included."""
+    hubs = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).filter(F.col("k") >= max(FEW, -(-rows // C.HEAVY)))
+    e = e.join(F.broadcast(hubs.drop("k")), "u", "left")
+    light = e.filter("m IS NULL").select("u", "v").repartition("u").distinct()
+    return e.filter("m IS NOT NULL").unionByName(light.withColumn("m", F.min("v").over(Window.partitionBy("u"))))
+
+
+def _large(e: DataFrame, rows: int) -> DataFrame:
+    """Every node's greater neighbours are linked to the least of it and its neighbours."""
+    both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+    return _with_least(both, 2 * rows).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+
 
-def _large(e: DataFrame) -> DataFrame:
-    both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+def _small(e: DataFrame, rows: int) -> DataFrame:
+    """Every node and its lesser neighbours, which all links lead to, are linked to the least of these."""
+    return _with_least(e, rows).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
-def _small(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+def _cut(e: DataFrame) -> tuple[DataFrame, tuple[int, int | None]]:
+    """The links written, their number and the sum of their hashes, both taken while they are written."""
+    seen = Observation()
+    e = C.cut(e.observe(seen, F.count("*").alias("rows"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+    return e, (seen.get["rows"], seen.get["sum"])
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node that has a link to another; the label is the least node reachable."""
-    e = C.cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
-    state = None
-    while True:
-        new = e.agg(F.count("*"), F.sum(F.xxhash64(F.greatest("u", "v"), F.least("u", "v")).cast("decimal(38,0)"))).first()
-        if new == state or not new[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        state, e = new, C.cut(_small(_large(e)))
+    e, state = _cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(f"{a} <> {b}"))
+    while state[0]:
+        before = state
+        e, state = _cut(_small(_large(e, state[0]), state[0]))
+        if state == before:
+            break
+    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).distinct()

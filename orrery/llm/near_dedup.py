@@ -296,8 +296,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     label = graph.components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(rest))
     # back to documents
     placed = C.cut(classes.join(label, classes.cls == label.node, "left").select("cls", "least", "members", F.coalesce("label", "cls").alias("label")))
-    heads = placed.groupBy("label").agg(F.min("least").alias("head"))
-    placed = C.cut(placed.join(heads, "label").select("cls", "members", "head"))
+    heads = C.cut(placed.groupBy("label").agg(F.min("least").alias("head"), F.count("*").alias("k")))
+    placed = C.cut(C.join_groups(placed, heads, "label", "k", total).select("cls", "members", "head"))
     found = C.join_groups(rows.drop("regs"), placed, "cls", "members", total)
     alone = rows.filter("cls IS NULL")
     return found.select(

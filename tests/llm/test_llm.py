@@ -574,6 +574,27 @@ def test_components_of_a_hub(spark):
     assert got.get(7000) == 0 and got.get(1) == 0 and got[8001] == 8000 and sum(v == 0 for v in got.values()) >= 3002 - 1
 
 
+def test_components_against_union_find(spark):
+    """Hubs beyond the bound that dealt them out, repeated links, links to itself and null ends: one row a node."""
+    rng = np.random.default_rng(11)
+    links = [(9000, k) for k in range(1500)] + [(9500, k) for k in range(1200, 3000)] + [(k, 4000) for k in range(3500, 4600)]
+    links += [(4600, 9500)] * 400 + [(7, 7), (None, 8800), (8801, None)] + [tuple(map(int, rng.integers(5000, 8000, 2))) for _ in range(1500)]
+    head = {}
+
+    def root(x):
+        while head.setdefault(x, x) != x:
+            x = head[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            a, b = root(a), root(b)
+            head[max(a, b)] = min(a, b)
+    got = graph.components(spark.createDataFrame(links, "a int, b int")).collect()
+    assert len(got) == len({r["node"] for r in got})
+    assert dict(map(tuple, got)) == {x: root(x) for x in head if root(x) != x}
+
+
 def test_near_groups_of_a_crowd_with_outliers(spark):
     """A crowd around one text with some members that only reach each other, against brute force, in pieces of few."""
     rng = np.random.default_rng(5)
