@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating large and small stars.
 
-The number of rounds grows with the logarithm of the longest path. Nodes and links never reach the driver. In each
-half of a round the links of a node meet once, by shuffle, to learn the node's least neighbour; equal links become one
-there. A hub's links do not meet: the least neighbour of a node with at least 1/HEAVY of all links comes from an
+The number of rounds grows with the logarithm of the longest path. Nodes and links never reach the driver. Links
+lead from the greater node to the lesser. In each half of a round the links of a node meet once, by shuffle, to learn
+the node's least neighbour; equal links become one there. A hub's links do not meet: the least neighbour of a node with at least 1/HEAVY of all links comes from an
 aggregate that map tasks prepare, and is broadcast to its links where they lie. There are at most HEAVY such nodes.
 
 Defined results: links with a null end and links of a node to itself are left out; repeated links count once; an
@@ -20,23 +20,26 @@ from orrery.llm import common as C
 FEW = 200
 
 
-def _with_least(e: DataFrame, rows: int) -> DataFrame:
-    """Links (u, v) with m, the least v of each u; ``rows`` is the number of links, repeated ones included."""
-    hubs = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).filter(F.col("k") >= max(FEW, -(-rows // C.HEAVY)))
-    e = e.join(F.broadcast(hubs.drop("k")), "u", "left")
-    light = e.filter("m IS NULL").select("u", "v").repartition("u").distinct()
-    return e.filter("m IS NOT NULL").unionByName(light.withColumn("m", F.min("v").over(Window.partitionBy("u"))))
+def _hubs(e: DataFrame, key: str, rows: int) -> DataFrame:
+    """The nodes in column ``key`` that hold so many of the ``rows`` links: HEAVY at most, with their least lesser neighbour there."""
+    return e.groupBy(key).agg(F.min("v").alias("m"), F.count("*").alias("k")).filter(F.col("k") >= max(FEW, -(-rows // C.HEAVY))).drop("k")
 
 
 def _large(e: DataFrame, rows: int) -> DataFrame:
     """Every node's greater neighbours are linked to the least of it and its neighbours."""
-    both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
-    return _with_least(both, 2 * rows).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    least = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
+    hubs = _hubs(e, "v", rows).select("v").join(least, "v", "left").select("v", F.coalesce("m", "v").alias("m"))
+    marked = e.join(F.broadcast(hubs), "v", "left")
+    light = marked.filter("m IS NULL").select("u", "v").repartition("v").distinct().join(least, "v", "left")
+    return marked.filter("m IS NOT NULL").select("u", F.col("m").alias("v")).unionByName(light.select("u", F.coalesce("m", "v").alias("v")))
 
 
 def _small(e: DataFrame, rows: int) -> DataFrame:
     """Every node and its lesser neighbours, which all links lead to, are linked to the least of these."""
-    return _with_least(e, rows).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    marked = e.join(F.broadcast(_hubs(e, "u", rows)), "u", "left")
+    light = marked.filter("m IS NULL").select("u", "v").repartition("u").distinct()
+    full = marked.filter("m IS NOT NULL").unionByName(light.withColumn("m", F.min("v").over(Window.partitionBy("u"))))
+    return full.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def _cut(e: DataFrame) -> tuple[DataFrame, tuple[int, int | None]]:
