@@ -76,26 +76,31 @@ FROM t
 """
 
 
-def _op12(every: list[tuple[str, bool, list[str], list[tuple[int, str]], int]], agree: float) -> str:
-    """The license scan by joins of all words. ``every``: label, base, words, key words and rare words to look up of each template."""
-    values = ", ".join(f"({t}, '{label}', {base}, {rare})" for t, (label, base, _, _, rare) in enumerate(every))
+def _op12(every: list[tuple[str, bool, list[str], list[tuple[int, str]], bool]], rare: int, agree: int, few: int, share: int) -> str:
+    """The license scan by joins of all words. ``every``: label, base, words, key words of each template, and whether it is a text."""
+    values = ", ".join(f"({t}, '{label}', {base}, {long})" for t, (label, base, _, _, long) in enumerate(every))
     places = ", ".join(f"({t}, {p}, '{w}')" for t, (_, _, words, _, _) in enumerate(every) for p, w in enumerate(words))
     keys = ", ".join(f"({t}, {p}, '{w}')" for t, (_, _, _, key, _) in enumerate(every) for p, w in key)
     return rf"""
-WITH t(t, label, base, rare) AS (VALUES {values}), places(t, place, word) AS (VALUES {places}), keys(t, place, word) AS (VALUES {keys}),
+WITH t(t, label, base, long) AS (VALUES {values}), places(t, place, word) AS (VALUES {places}), keys(t, place, word) AS (VALUES {keys}),
 d AS (
   SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents
 ), w AS (SELECT rn, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
-df AS (SELECT word, count(DISTINCT rn) FILTER (w.rn IS NOT NULL) AS df FROM (SELECT DISTINCT word FROM places) LEFT JOIN w USING (word) GROUP BY 1),
-ranked AS (SELECT t, word, df, row_number() OVER (PARTITION BY t ORDER BY df, word) AS k FROM (SELECT DISTINCT t, word FROM places) JOIN df USING (word)),
-looked AS (
-  SELECT t, place, word, ln((SELECT count(*) + 1 FROM d) / (df + 1)) + 1e-9 AS idf, row_number() OVER (PARTITION BY t ORDER BY place) AS turn, rare
-  FROM places JOIN ranked USING (t, word) JOIN t USING (t) WHERE k <= rare
-), index AS (SELECT t, place, word, idf FROM looked WHERE rare > 1 OR turn = 1),
-whole AS (SELECT t, sum(idf) AS whole, ceil({agree} * count(*)) AS need FROM index GROUP BY 1),
-votes AS (SELECT rn, t, i - place AS spot, sum(idf) AS held, count(*) AS n FROM w JOIN index USING (word) GROUP BY ALL),
-agreed AS (SELECT rn, t, spot, least(held / whole, 1.0) AS score FROM votes JOIN whole USING (t) WHERE n >= need),
+df AS (SELECT word, count(DISTINCT rn) AS df FROM (SELECT DISTINCT word FROM places) LEFT JOIN w USING (word) GROUP BY 1),
+ranked AS (
+  SELECT t, place, word, long, ln((SELECT count(*) + 1 FROM d) / (df + 1)) + 1e-9 AS idf, df <= (SELECT greatest({few}, count(*) // {share}) FROM d) AS seldom,
+         row_number() OVER (PARTITION BY t ORDER BY df, word, place) AS k
+  FROM places JOIN df USING (word) JOIN t USING (t)
+), index AS (SELECT t, place, word, idf, long FROM ranked WHERE CASE WHEN long THEN seldom ELSE k = 1 END),
+whole AS (SELECT t, sum(idf) AS whole, CASE WHEN bool_or(long) THEN {agree} ELSE 1 END AS need FROM index GROUP BY 1),
+own AS (
+  SELECT rn, word, row_number() OVER (PARTITION BY rn ORDER BY df, word) AS k
+  FROM (SELECT DISTINCT rn, word FROM w) JOIN df USING (word) WHERE word IN (SELECT word FROM index WHERE long)
+), looked AS (SELECT rn, word FROM own WHERE k <= {rare} UNION SELECT DISTINCT rn, word FROM w WHERE word IN (SELECT word FROM index WHERE NOT long)),
+votes AS (SELECT rn, t, i - place AS spot, count(*) AS n FROM w JOIN looked USING (rn, word) JOIN index USING (word) GROUP BY ALL),
+places_held AS (SELECT rn, t, spot, sum(idf) AS held FROM votes v JOIN whole USING (t) JOIN index USING (t) JOIN w USING (rn) WHERE n >= need AND w.i = spot + index.place AND w.word = index.word GROUP BY ALL),
+agreed AS (SELECT rn, t, spot, least(held / whole, 1.0) AS score FROM places_held JOIN whole USING (t)),
 stands AS (SELECT rn, a.t, spot, count(*) AS n FROM agreed a JOIN keys k ON a.t = k.t JOIN w USING (rn) WHERE w.i = spot + k.place AND w.word = k.word GROUP BY ALL),
 matches AS (
   SELECT rn, label, base, spot, score FROM agreed JOIN stands s USING (rn, t, spot) JOIN t USING (t) JOIN (SELECT t, count(*) AS m FROM keys GROUP BY 1) USING (t) WHERE s.n = m
@@ -110,6 +115,9 @@ FROM d LEFT JOIN found USING (rn)
 """
 
 
-OP12 = _op12([(x.label, k < len(license_scan.PHRASES), x.words(), x.key_words(), license_scan.RARE if x.keys else 1) for k, x in enumerate([*license_scan.PHRASES, *license_scan.TEMPLATES])], license_scan.AGREE)
+OP12 = _op12(
+    [(x.label, k < len(license_scan.PHRASES), x.words(), x.key_words(), bool(x.keys)) for k, x in enumerate([*license_scan.PHRASES, *license_scan.TEMPLATES])],
+    license_scan.RARE, license_scan.AGREE, license_scan.FEW, license_scan.SHARE,
+)
 
 SQL: dict[str, str] = {"op5_exact_dedup": OP5, "op8_warc": OP8, "op11_collocations": OP11, "op12_license_scan": OP12, "op13_fill_in_middle": OP13}
