@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +23,11 @@ def classes_of(df: DataFrame, label_col: str) -> list:
     return sorted(r[0] for r in found)
 
 
-def train(df: DataFrame, vec_col: str, label_col: str, ridge: float = 1e-3, loss: str = "logistic", optimiser: str = "fletcher-reeves", iterations: int = 50, tolerance: float = 1e-9, trace: Trace | None = None) -> DataFrame:
+def train(df: DataFrame, vec_col: str, label_col: str, ridge: float = 1e-3, loss: str | O.Loss = "logistic", optimiser: str = "fletcher-reeves", iterations: int = 50, tolerance: float = 1e-9, trace: Trace | None = None) -> DataFrame:
     """(label, weights): minimises sum of losses + ridge / 2 |w|^2 for each class but the first, which has zeros.
 
-    No intercept. All classes are optimised side by side, so a step costs two passes whatever their number.
+    No intercept. All classes are optimised side by side, so a step costs two passes whatever their number. ``loss``: a
+    name of ``objective.LOSSES`` or a function of margins and signs that gives values, slopes and curvatures.
     """
     spark = df.sparkSession
     labels = classes_of(df, label_col)
@@ -33,7 +36,7 @@ def train(df: DataFrame, vec_col: str, label_col: str, ridge: float = 1e-3, loss
         dim = rows.select(F.max(F.size("x"))).first()[0] or 0
         weights: dict = {c: [0.0] * dim for c in labels}
         if len(labels) > 1:
-            goal = O.RowObjective(rows, dim, labels[1:], O.LOSSES[loss], ridge)
+            goal = O.RowObjective(rows, dim, labels[1:], O.LOSSES[loss] if isinstance(loss, str) else loss, ridge)
             if optimiser == "newton":
                 w = O.newton(goal, iterations, tolerance, trace)
             elif optimiser == "bfgs":
@@ -76,8 +79,10 @@ def classify(df: DataFrame, model: DataFrame, vec_col: str, id_col: str, keep: l
     return _judged(df, model, vec_col, [id_col, *(keep or [])]).drop("_best")
 
 
-def loss_column(name: str, margin: Column, sign: Column) -> Column:
-    """A loss of w.x and a sign (1 or -1)."""
+def loss_column(name: str | Callable[[Column, Column], Column], margin: Column, sign: Column) -> Column:
+    """A loss of w.x and a sign (1 or -1), by name or as a function of both columns."""
+    if not isinstance(name, str):
+        return name(margin, sign)
     return {
         "squared": lambda: 0.5 * (margin - sign) * (margin - sign),
         "logistic": lambda: V.log_loss(sign * margin),
@@ -85,11 +90,12 @@ def loss_column(name: str, margin: Column, sign: Column) -> Column:
     }[name]()
 
 
-def validate(df: DataFrame, model: DataFrame, vec_col: str, label_col: str) -> DataFrame:
-    """One row: rows, errors (0/1 loss), and the summed losses of each row's predicted class."""
+def validate(df: DataFrame, model: DataFrame, vec_col: str, label_col: str, losses: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+    """One row: rows, errors (0/1 loss), and the summed losses of each row's predicted class, a user's own ``losses`` among them."""
     judged = _judged(df, model, vec_col, [label_col])
     margin, sign = F.col("_best"), V.sign_of(F.col("predicted") == F.col(label_col))
     return judged.select(margin.alias("m"), sign.alias("s")).agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("s") < 0, 1).otherwise(0)).alias("errors"),
         *(F.sum(loss_column(k, F.col("m"), F.col("s"))).alias(k) for k in ("squared", "logistic", "hinge")),
+        *(F.sum(loss_column(f, F.col("m"), F.col("s"))).alias(k) for k, f in (losses or {}).items()),
     )

@@ -3,6 +3,9 @@
 A summary of a table is (m0, m1, m2); summaries add, subtract and scale as their tables do, so a summary
 table can be rolled up, a group can be taken out again without reading its rows, and rows can be weighted.
 All functions are plain aggregations with partial sums.
+
+Raw sums lose a variance that is small beside the mean. Where variances are wanted, summaries are centred: (n, mean, s2) with
+the sum of squared deviations. They merge, and are taken apart, by differences of means, never by squares of raw values.
 """
 
 from __future__ import annotations
@@ -61,9 +64,56 @@ def mean() -> Column:
     return F.col("m1") / F.col("m0")
 
 
+def centred(df: DataFrame, value: str, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """(keys, n, mean, s2): size, mean and summed squared deviations; rows with a null value or weight take no part.
+
+    Without weights in one pass; with weights the means come first, and deviations from them are summed in a second one.
+    A group without values has n of 0 and a null mean.
+    """
+    keys = keys or []
+    x = F.col(value).cast("double")
+    if weight is None:
+        n = F.count(x).cast("double")
+        return df.groupBy(*keys).agg(n.alias("n"), F.avg(x).alias("mean"), F.coalesce(F.var_pop(x) * n, F.lit(0.0)).alias("s2"))
+    w = F.when(x.isNotNull(), F.col(weight).cast("double"))
+    rows = df.select(*keys, F.when(w.isNotNull(), x).alias("_x"), w.alias("_w"))
+    sizes = rows.groupBy(*keys).agg(F.coalesce(F.sum("_w"), F.lit(0.0)).alias("n"), (F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("mean"))
+    right = sizes.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    apart = (rows.join(right, same) if keys else rows.join(right, how="cross")).withColumn("_d", F.col("_x") - F.col("mean"))
+    return apart.groupBy(*keys, "n", "mean").agg(F.coalesce(F.sum(F.col("_w") * F.col("_d") * F.col("_d")), F.lit(0.0)).alias("s2"))
+
+
+def merge_centred(*summaries: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The centred summary of all tables together, by key: deviations add up, and so do those of the means from the common one."""
+    keys = keys or []
+    every = reduce(DataFrame.unionByName, summaries)
+    whole = every.groupBy(*keys).agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+    right = whole.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    joined = every.join(right, same) if keys else every.join(right, how="cross")
+    apart = F.coalesce(F.col("mean") - F.col("_mean"), F.lit(0.0))
+    found = joined.groupBy(*keys, F.col("_n").alias("n"), F.col("_mean").alias("mean")).agg(F.sum(F.col("s2") + F.col("n") * apart * apart).alias("s2"))
+    return found.select(*keys, "n", "mean", "s2")
+
+
+def subtract_centred(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The centred summary of a's rows without those of b, the inverse of the merge; keys that b lacks stay."""
+    keys = keys or []
+    right = b.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("n").alias("_n"), F.col("mean").alias("_mean"), F.col("s2").alias("_s2"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    joined = a.join(right, same, "left") if keys else a.join(right, how="cross")
+    gone = F.coalesce("_n", F.lit(0.0))
+    n = F.col("n") - gone
+    mean = F.when(n > 0, F.when(gone > 0, F.col("mean") + (F.col("mean") - F.col("_mean")) * gone / n).otherwise(F.col("mean")))
+    apart = F.coalesce(mean - F.col("_mean"), F.lit(0.0))
+    s2 = F.when(n > 0, F.greatest(F.lit(0.0), F.col("s2") - F.coalesce("_s2", F.lit(0.0)) - apart * apart * n * gone / F.col("n"))).otherwise(0.0)
+    return joined.select(*keys, n.alias("n"), mean.alias("mean"), s2.alias("s2"))
+
+
 def variance() -> Column:
-    """Population variance."""
-    return F.col("m2") / F.col("m0") - mean() * mean()
+    """Population variance of a centred summary."""
+    return F.when(F.col("n") > 0, F.col("s2") / F.col("n"))
 
 
 def normal_pdf(x: str | Column, mu: Column, spread: Column) -> Column:
@@ -89,8 +139,11 @@ def products(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def covariance(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(i, j, cov): population covariances."""
-    return products(df, columns).select("i", "j", (F.col("mij") / F.col("m0") - F.col("mi") * F.col("mj") / (F.col("m0") * F.col("m0"))).alias("cov"))
+    """(i, j, cov): population covariances, by centred sums in one pass."""
+    pairs = [(i, j) for a, i in enumerate(columns) for j in columns[a:]]
+    found = df.agg(*(F.covar_pop(F.col(i).cast("double"), F.col(j).cast("double")).alias(f"c{k}") for k, (i, j) in enumerate(pairs)))
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{k}").alias("cov")) for k, pair in enumerate(pairs) for i, j in sorted({pair, pair[::-1]})]
+    return found.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
 def by_dimension(df: DataFrame, vec_col: str, dim: int) -> DataFrame:
@@ -136,12 +189,13 @@ def normal_densities(df: DataFrame, columns: list[str], out: str = "pdf") -> Dat
 
     The model has one number a pair of columns; its inverse is taken on the driver. Null in any column gives null.
     """
-    sums = {(r["i"], r["j"]): r for r in products(df.dropna(subset=columns), columns).collect()}
-    n = sums[columns[0], columns[0]]["m0"]
-    if not n:
+    whole = df.dropna(subset=columns)
+    cov = {(r["i"], r["j"]): r["cov"] for r in covariance(whole, columns).collect()}
+    means = whole.agg(*(F.avg(F.col(c).cast("double")) for c in columns)).first()
+    if means[0] is None:
         return df.withColumn(out, F.lit(None).cast("double"))
-    mu = {c: sums[c, c]["mi"] / n for c in columns}
-    sigma = np.eye(len(columns)) + np.array([[sums[i, j]["mij"] / n - mu[i] * mu[j] for j in columns] for i in columns])
+    mu = dict(zip(columns, means, strict=True))
+    sigma = np.eye(len(columns)) + np.array([[cov[i, j] for j in columns] for i in columns])
     inverse = np.linalg.inv(sigma)
     size = float(np.linalg.det(sigma)) * (2 * np.pi) ** len(columns)
     apart = {c: F.col(c).cast("double") - F.lit(float(mu[c])) for c in columns}

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.trace import Trace
@@ -35,6 +35,17 @@ def hinge(m: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.maximum(0, 1 - s * m), np.where(inside, -s, 0.0), np.zeros_like(m)
 
 
+def huber(width: float = 1.0) -> Loss:
+    """Squared near the sign, linear beyond ``width``: an example of a loss of one's own."""
+
+    def f(m: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        r = m - s
+        near = np.abs(r) <= width
+        return np.where(near, 0.5 * r * r, width * (np.abs(r) - 0.5 * width)), np.where(near, r, width * np.sign(r)), near.astype(float)
+
+    return f
+
+
 LOSSES: dict[str, Loss] = {"logistic": logistic, "squared": squared, "hinge": hinge}
 
 
@@ -166,6 +177,10 @@ def newton(objective: RowObjective, iterations: int = 20, tolerance: float = 1e-
         h = objective.hessian(w)
         d = -np.stack([np.linalg.solve(a + 1e-10 * np.eye(len(a)), b) for a, b in zip(h, g, strict=True)])
         a, _ = _step(objective, w, d, f, (d * g).sum(axis=1), np.ones(len(w)))
+        if (a == 0).any():  # no curvature here: down the gradient instead
+            d = np.where(a[:, None] == 0, -g, d)
+            down, _ = _step(objective, w, d, f, (d * g).sum(axis=1), 1 / np.maximum(1.0, np.linalg.norm(g, axis=1)))
+            a = np.where(a == 0, down, a)
         w, before = w + a[:, None] * d, f
         f, g = objective.value_and_gradient(w)
         if trace:
@@ -194,6 +209,8 @@ def bfgs(objective: RowObjective, iterations: int = 50, tolerance: float = 1e-9,
         for c in range(n):
             y, rho = g[c] - old[c], s[c] @ (g[c] - old[c])
             if rho > 1e-12:
+                if k == 0:  # the scale of the curvature along the first step
+                    h[c] = np.eye(objective.dim) * rho / (y @ y)
                 e = np.eye(objective.dim) - np.outer(s[c], y) / rho
                 h[c] = e @ h[c] @ e.T + np.outer(s[c], s[c]) / rho
         start = np.ones(n)
@@ -203,13 +220,49 @@ def bfgs(objective: RowObjective, iterations: int = 50, tolerance: float = 1e-9,
 RATES = {"const": lambda t, lr=0.001: lr, "linear": lambda t, lr=0.001, gamma=0.1: lr / (1 + gamma * t)}
 
 
-def stochastic_gradient(objective: RowObjective, id_col: str, batches: int, epochs: int = 1, rate: Callable[[int], float] = RATES["linear"], trace: Trace | None = None) -> np.ndarray:
-    """Steps along the gradients of slices of the rows (by a hash of their id), one slice after the other."""
+class ComponentRates:
+    """A step size for each weight: it grows while the weight's gradients keep their sign, and shrinks when they turn.
+
+    The agreement is that of the gradient with a running mean of those before, over a running mean of its square; so the rate
+    does not depend on the scale of a weight. A rate changes at most by the factors of ``limits`` in a step.
+    """
+
+    def __init__(self, start: float = 0.01, gain: float = 0.5, memory: float = 0.9, limits: tuple[float, float] = (0.5, 1.5)):
+        self.start, self.gain, self.memory, self.limits = start, gain, memory, limits
+        self.rates: np.ndarray | None = None
+
+    def __call__(self, t: int, g: np.ndarray) -> np.ndarray:
+        if self.rates is None:
+            self.rates, self.mean, self.square = np.full(g.shape, self.start), np.zeros(g.shape), g * g
+        agreement = g * self.mean / np.where(self.square > 0, self.square, 1.0)
+        self.rates = self.rates * np.clip(1 + self.gain * agreement, *self.limits)
+        self.mean = self.memory * self.mean + (1 - self.memory) * g
+        self.square = self.memory * self.square + (1 - self.memory) * g * g
+        return self.rates
+
+
+#: Which rows step t uses: a condition, and the share of all rows that it takes.
+Sampling = Callable[[int], tuple[Column, float]]
+
+
+def slices(id_col: str, batches: int) -> Sampling:
+    """Slices of the rows by a hash of their id, one after the other."""
+    return lambda t: (F.pmod(F.xxhash64(id_col), F.lit(batches)) == t % batches, 1 / batches)
+
+
+def draws(id_col: str, share: float, seed: int = 0) -> Sampling:
+    """An independent draw of about a share of the rows in each step, the same in every run."""
+    return lambda t: (F.pmod(F.xxhash64(id_col, F.lit(seed), F.lit(t)), F.lit(1 << 30)) < int(share * (1 << 30)), share)
+
+
+def stochastic_gradient(objective: RowObjective, sample: Sampling, steps: int, rate: Callable[[int], float] | ComponentRates = RATES["linear"], trace: Trace | None = None) -> np.ndarray:
+    """Steps along the gradients of samples of the rows; ``rate`` gives one number a step, or one for each weight."""
     w = np.zeros((len(objective.classes), objective.dim))
-    for t in range(batches * epochs):
-        part = objective.rows.filter(F.pmod(F.xxhash64(id_col), F.lit(batches)) == t % batches)
-        f, g = RowObjective(part, objective.dim, objective.classes, objective.loss, objective.ridge / batches).value_and_gradient(w)
-        w = w - rate(t) * g
+    for t in range(steps):
+        keep, share = sample(t)
+        part = RowObjective(objective.rows.filter(keep), objective.dim, objective.classes, objective.loss, objective.ridge * share)
+        f, g = part.value_and_gradient(w)
+        w = w - (rate(t, g) if isinstance(rate, ComponentRates) else rate(t)) * g
         if trace:
             trace.report("stochastic_gradient", t, float(f.sum()))
     return w

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
-from orrery.operators import metric_join
+from orrery.operators import cover_tree, metric_join, pruned_join
 from orrery.plans.registry import query
 
 PAIRS = """
@@ -92,12 +92,12 @@ def range_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("range_count", PAIRS.format(where="") + "SELECT q, count(*) AS n FROM p WHERE dist < 1.2 GROUP BY q")
 def range_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metric_join.range_counts(vectors(spark, sf_dir), None, 1.2)
+    return pruned_join.range_counts(vectors(spark, sf_dir), None, 1.2).filter("n > 0").select("q", "n")
 
 
 @query("two_point_correlation", PAIRS.format(where="") + "SELECT radius, count(*) FILTER (dist < radius) AS n FROM p, (VALUES (1.1::DOUBLE), (1.2::DOUBLE), (1.3::DOUBLE)) t(radius) GROUP BY radius")
 def two_point_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metric_join.pair_counts(vectors(spark, sf_dir), [1.1, 1.2, 1.3])
+    return pruned_join.pair_counts(vectors(spark, sf_dir), [1.1, 1.2, 1.3]).select("radius", "n")
 
 
 for _kernel, _sql in {
@@ -109,7 +109,7 @@ for _kernel, _sql in {
     @query(f"density_{_kernel}", PAIRS.format(where="") + f"SELECT q, round(sum({_sql}), 6) AS density FROM p GROUP BY q")
     def density(spark: SparkSession, sf_dir: str, kernel: str = _kernel) -> DataFrame:
         h = 0.5 if kernel == "gaussian" else 1.25
-        return rounded(metric_join.density(vectors(spark, sf_dir), None, h, kernel), "density")
+        return rounded(pruned_join.density(vectors(spark, sf_dir), None, h, kernel), "density").select("q", "density")
 
 
 @query("nearest_label_error", PAIRS.format(where="") + """
@@ -138,15 +138,15 @@ def knn_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def correlation_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs across two halves: the counts of the whole without those of each half."""
     v, radii = vectors(spark, sf_dir), [1.1, 1.2, 1.3]
-    halves = [metric_join.negated(metric_join.pair_counts(v.filter(f"vec_id % 2 = {k}"), radii), "n") for k in (0, 1)]
-    return metric_join.merge_sums("n", ["radius"], metric_join.pair_counts(v, radii), *halves)
+    halves = [metric_join.negated(pruned_join.pair_counts(v.filter(f"vec_id % 2 = {k}"), radii), "n") for k in (0, 1)]
+    return metric_join.merge_sums("n", ["radius"], pruned_join.pair_counts(v, radii), *halves)
 
 
 @query("density_merged", PAIRS.format(where="") + "SELECT q, round(sum(exp(-dist * dist / 0.5)), 6) AS density FROM p GROUP BY q")
 def density_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Densities over two halves of the references, added up."""
     v = vectors(spark, sf_dir)
-    halves = [metric_join.density(v, v.filter(f"vec_id % 2 = {k}"), 0.5) for k in (0, 1)]
+    halves = [pruned_join.density(v, v.filter(f"vec_id % 2 = {k}"), 0.5) for k in (0, 1)]
     return rounded(metric_join.merge_sums("density", ["q"], *halves), "density")
 
 
@@ -165,3 +165,77 @@ def vector_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
         "loss_curve": V.log_loss_curve(F.col("x")[0]), "separation": V.separation_distance(F.col("vec_id") % 5),
     }
     return a.select("vec_id", *((F.round(c, 6) + 0.0).alias(n) for n, c in cells.items()))
+
+
+_THREE = "WITH e AS (SELECT vec_id, (embedding::DOUBLE[])[1:3] AS v FROM embeddings), p AS (SELECT a.vec_id AS q, b.vec_id AS r, list_distance(a.v, b.v) AS dist FROM e a, e b)"
+
+
+def three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three components, in which buckets are much smaller than the whole."""
+    return vectors(spark, sf_dir).select("vec_id", F.slice(V.doubles("embedding"), 1, 3).alias("embedding"))
+
+
+@query("knn_approximate", _THREE + ", k AS (SELECT q, min(dist) AS dist FROM p WHERE dist > 0 GROUP BY q) SELECT q, round(dist, 6) AS nearest, true AS within, true AS saved FROM k")
+def knn_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours at most 1.5 times as far as the nearest, which stands beside, with less than half of all distances computed."""
+    v = three(spark, sf_dir)
+    found = pruned_join.knn(v, epsilon=1.5).select("q", "dist", "computed")
+    mean = found.agg(F.avg("computed").alias("mean"))  # one row
+    exact = metric_join.knn(v).select("q", F.col("dist").alias("exact"))
+    within = F.col("dist") <= 1.5 * F.col("exact") * (1 + 1e-12)
+    both = found.join(exact, "q").join(F.broadcast(mean), how="cross")
+    return both.select("q", F.round("exact", 6).alias("nearest"), within.alias("within"), (F.col("mean") < v.count() / 2).alias("saved"))
+
+
+@query("density_bounded", _THREE + "SELECT q, round(sum(exp(-dist * dist / 2)), 6) AS density, true AS within, true AS saved FROM p GROUP BY q")
+def density_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact density, whether the one with an error of a twentieth of the references is so near, and whether it saved distances."""
+    v = three(spark, sf_dir)
+    error = v.count() / 20
+    near = pruned_join.density(v, bandwidth=1.0, error=error).select("q", F.col("density").alias("near"), "computed")
+    every = near.agg(F.sum("computed").alias("all"))  # one row
+    exact = pruned_join.density(v, bandwidth=1.0).select("q", "density").join(near, "q").join(F.broadcast(every), how="cross")
+    return exact.select("q", F.round("density", 6).alias("density"), (F.abs(F.col("density") - F.col("near")) <= error).alias("within"), (F.col("all") < v.count() ** 2).alias("saved"))
+
+
+@query("pair_counts_included", _THREE + "SELECT radius, count(*) FILTER (dist < radius) AS n, true AS saved FROM p, (VALUES (0.05::DOUBLE), (0.2::DOUBLE), (2.0::DOUBLE)) t(radius) GROUP BY radius")
+def pair_counts_included(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts to which buckets wholly inside or outside the radius give no distances."""
+    v = three(spark, sf_dir)
+    return pruned_join.pair_counts(v, [0.05, 0.2, 2.0]).select("radius", "n", (F.col("computed") < v.count() ** 2).alias("saved"))
+
+
+@query("cover_tree_invariants", "SELECT true AS covering, true AS tight, true AS separating, true AS levelled, true AS nearest, count(*) AS points, count(*) - 1 AS below_root FROM embeddings")
+def cover_tree_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of nested balls keeps its rules at every level, holds every point once, and its root is above all others."""
+    tree = cover_tree.build(three(spark, sf_dir), ratio=2.0, leaf=8)
+    points = tree.members.agg(F.count_distinct("id").alias("points"))
+    below = tree.nodes.filter("parent IS NULL").join(cover_tree.descendants(tree), ["node", "level"]).agg(F.count("*").alias("below_root"))
+    return cover_tree.invariants(tree).join(points, how="cross").join(below, how="cross")  # one row each
+
+
+@query("cover_tree_knn", _near("", 3, "q, CAST(rank AS INTEGER) AS rank, r, dist"))
+def cover_tree_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours through the tree with leaf arrays of up to 32 points."""
+    v = vectors(spark, sf_dir)
+    return rounded(cover_tree.knn(cover_tree.build(v, leaf=32), v, 3), "dist")
+
+
+@query("cover_tree_collapsed", _THREE + "SELECT q, r, round(dist, 6) AS dist, true AS smaller FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, r) AS k FROM p WHERE dist > 0) WHERE k = 1")
+def cover_tree_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same neighbours after subtrees of up to 16 nodes became leaf arrays, with fewer than half of the nodes."""
+    v = three(spark, sf_dir)
+    tree = cover_tree.build(v, ratio=2.0, leaf=4)
+    small = cover_tree.collapsed(tree, 16)
+    smaller = 2 * small.nodes.count() < tree.nodes.count()
+    return rounded(cover_tree.knn(small, v), "dist").select("q", "r", "dist", F.lit(smaller).alias("smaller"))
+
+
+@query("knn_bounded", _near("", 2, "q, CAST(rank AS INTEGER) AS rank, r, dist, true AS saved"))
+def knn_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours by distances that are broken off once they pass the bound; on the whole fewer components are read."""
+    v = vectors(spark, sf_dir)
+    found = pruned_join.bounded_knn(v, k=2)
+    read = found.groupBy("q").agg(F.max("components").alias("c")).agg(F.sum("c").alias("read"))  # one row
+    saved = F.col("read") < v.count() ** 2 * 64
+    return rounded(found.join(F.broadcast(read), how="cross"), "dist").select("q", "rank", "r", "dist", saved.alias("saved"))

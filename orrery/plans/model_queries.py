@@ -70,6 +70,55 @@ def squared_train_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.filter("label = 'O'").select("label", (F.round(F.col("weights")[0], 4) + 0.0).alias("intercept"), (F.round(F.col("weights")[1], 4) + 0.0).alias("slope"))
 
 
+_PAIR = """
+WITH RECURSIVE x AS (SELECT l_quantity / 50 AS a, CASE WHEN {flag} THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM lineitem),
+w AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v
+  UNION ALL
+  SELECT i + 1, u - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), v - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (
+    SELECT i, u, v, sum(slope) + 0.001 * u AS g0, sum(slope * a) + 0.001 * v AS g1, sum(curve) + 0.001 AS h00, sum(curve * a) AS h01, sum(curve * a * a) + 0.001 AS h11
+    FROM (SELECT w.*, a, {slope} AS slope, {curve} AS curve FROM w, x WHERE i < 12) GROUP BY i, u, v
+  )
+)
+SELECT '{label}' AS label, round(u, 3) + 0.0 AS intercept, round(v, 3) + 0.0 AS slope FROM w WHERE i = 12
+"""
+
+
+def _pair(model: DataFrame, label: str) -> DataFrame:
+    w = F.col("weights")
+    return model.filter(F.col("label") == label).select("label", (F.round(w[0], 3) + 0.0).alias("intercept"), (F.round(w[1], 3) + 0.0).alias("slope"))
+
+
+def _sizes(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.array(F.lit(1.0), F.col("l_quantity") / 50).alias("x"), label)
+
+
+@query("logistic_train", _PAIR.format(flag="l_linestatus = 'O'", label="O", slope="-s / (1 + exp(s * (u + v * a)))", curve="1 / (1 + exp(s * (u + v * a))) / (1 + exp(-s * (u + v * a)))"))
+def logistic_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A logistic model of two weights by quasi-Newton steps; the SQL takes Newton steps."""
+    return _pair(glm.train(_sizes(spark, sf_dir, "l_linestatus"), "x", "l_linestatus", optimiser="bfgs", tolerance=1e-14), "O")
+
+
+@query("huber_train", _PAIR.format(flag="l_returnflag = 'R'", label="R", slope="CASE WHEN abs(u + v * a - s) <= 1 THEN u + v * a - s ELSE sign(u + v * a - s) END", curve="CASE WHEN abs(u + v * a - s) <= 1 THEN 1 ELSE 0 END"))
+def huber_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same trainer with a loss of one's own: squared near the sign, linear beyond."""
+    return _pair(glm.train(_sizes(spark, sf_dir, "l_returnflag"), "x", "l_returnflag", loss=objective.huber(1.0), optimiser="newton", tolerance=1e-14), "R")
+
+
+@query("component_rates_train", """
+WITH x AS (SELECT l_quantity / 50 AS a, CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END AS s FROM lineitem)
+SELECT 'O' AS label, round((sum(a * a) * sum(s) - sum(a) * sum(a * s)) / (count(*) * sum(a * a) - sum(a) * sum(a)), 3) + 0.0 AS intercept,
+       round((count(*) * sum(a * s) - sum(a) * sum(s)) / (count(*) * sum(a * a) - sum(a) * sum(a)), 3) + 0.0 AS slope FROM x""")
+def component_rates_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient steps whose size is each weight's own, from the agreement of successive gradients."""
+    rows = _sizes(spark, sf_dir, "l_linestatus").select("x", F.col("l_linestatus").alias("y")).persist()
+    goal = objective.RowObjective(rows, 2, ["O"], objective.squared)
+    w = objective.stochastic_gradient(goal, lambda t: (F.lit(True), 1.0), 70, objective.ComponentRates(0.5 / max(1, rows.count()), memory=0.5))
+    rows.unpersist()
+    return _pair(spark.createDataFrame([("O", [float(v) for v in w[0]])], "label string, weights array<double>"), "O")
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each region a graph: nations, and suppliers in seven classes."""
     nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("graph"), F.col("n_nationkey").alias("src"))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
+from orrery.operators import mergeable as U
 from orrery.operators import moments as M
 from orrery.operators import sampling as S
+from orrery.operators import validation as W
 from orrery.plans.metric_queries import rounded, table
 from orrery.plans.registry import query
 
@@ -22,8 +24,10 @@ def moments_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("moments_merged", "SELECT l_returnflag, count(l_quantity)::DOUBLE AS m0, round(sum(l_quantity), 6) AS m1, round(sum(l_quantity * l_quantity), 6) AS m2, round(var_pop(l_quantity), 6) AS var FROM lineitem GROUP BY ALL")
 def moments_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries by two keys, rolled up to one without reading rows again."""
-    fine = M.summary(table(spark, sf_dir, "lineitem"), "l_quantity", KEYS)
-    return rounded(M.merge(fine, keys=["l_returnflag"]).withColumn("var", M.variance()), "m1", "m2", "var")
+    items = table(spark, sf_dir, "lineitem")
+    spread = M.merge_centred(M.centred(items, "l_quantity", KEYS).drop("l_linestatus"), keys=["l_returnflag"])
+    sums = M.merge(M.summary(items, "l_quantity", KEYS).drop("l_linestatus"), keys=["l_returnflag"])
+    return rounded(sums.join(spread.select("l_returnflag", M.variance().alias("var")), "l_returnflag"), "m1", "m2", "var")
 
 
 @query("moments_untrained", """
@@ -48,8 +52,8 @@ SELECT l_returnflag, round(sum(l_quantity), 6) AS m0, round(sum(l_quantity * l_d
        round(sum(l_quantity * l_discount * l_discount) / sum(l_quantity) - pow(sum(l_quantity * l_discount) / sum(l_quantity), 2), 6) AS var
 FROM lineitem GROUP BY 1""")
 def moments_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = M.summary(table(spark, sf_dir, "lineitem"), "l_discount", ["l_returnflag"], weight="l_quantity")
-    return s.select("l_returnflag", F.round("m0", 6).alias("m0"), F.round(M.mean(), 6).alias("mean"), F.round(M.variance(), 6).alias("var"))
+    s = M.centred(table(spark, sf_dir, "lineitem"), "l_discount", ["l_returnflag"], weight="l_quantity")
+    return s.select("l_returnflag", F.round("n", 6).alias("m0"), F.round("mean", 6).alias("mean"), F.round(M.variance(), 6).alias("var"))
 
 
 @query("moments_scaled", "SELECT l_linestatus, count(*) / 4.0::DOUBLE AS m0, round(sum(l_tax) / 4, 6) AS m1, round(sum(l_tax * l_tax) / 4, 6) AS m2 FROM lineitem GROUP BY 1")
@@ -72,7 +76,7 @@ WITH s AS (SELECT event_type, avg(value) AS mu, 1 + var_pop(value) AS s FROM eve
 SELECT event_id, round(exp(-0.5 * (value - mu) * (value - mu) / s) / sqrt(2 * pi() * s), 9) AS pdf FROM events JOIN s USING (event_type)""")
 def normal_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    model = M.summary(events, "value", ["event_type"]).select("event_type", M.mean().alias("mu"), M.variance().alias("spread"))
+    model = M.centred(events, "value", ["event_type"]).select("event_type", F.col("mean").alias("mu"), M.variance().alias("spread"))
     return events.join(model, "event_type").select("event_id", F.round(M.normal_pdf("value", F.col("mu"), F.col("spread")), 9).alias("pdf"))
 
 
@@ -220,3 +224,99 @@ def semidefinite_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = M.nearest_semidefinite(rows, "m", "p")
     cells = {"a": F.col("p")[0][0], "b": F.col("p")[0][1], "c": F.col("p")[1][1]}
     return found.select("p_partkey", *((F.round(x, 6) + 0.0).alias(n) for n, x in cells.items()))
+
+
+@query("moments_centred", "SELECT l_returnflag, l_linestatus, count(*)::DOUBLE AS n, round(avg(1e9 + l_discount), 4) AS mean, round(var_pop(l_discount), 6) AS var FROM lineitem GROUP BY ALL")
+def moments_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variances of values far from 0, whose raw squares hold none of their digits."""
+    far = table(spark, sf_dir, "lineitem").withColumn("x", 1e9 + F.col("l_discount"))
+    found = M.centred(far, "x", KEYS).select(*KEYS, "n", "mean", M.variance().alias("var"))
+    return found.withColumns({"mean": F.round("mean", 4), "var": F.round("var", 6)})
+
+
+@query("moments_centred_untrained", "SELECT l_returnflag, count(*)::DOUBLE AS n, round(avg(1e6 + l_tax), 6) AS mean, round(var_pop(l_tax), 6) AS var FROM lineitem WHERE l_linestatus <> 'F' GROUP BY 1")
+def moments_centred_untrained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centred summaries of groups from which a part is taken out again without its rows' values."""
+    far = table(spark, sf_dir, "lineitem").withColumn("x", 1e6 + F.col("l_tax"))
+    part = M.centred(far.filter("l_linestatus = 'F'"), "x", ["l_returnflag"])
+    left = M.subtract_centred(M.centred(far, "x", ["l_returnflag"]), part, ["l_returnflag"]).filter("n > 0")
+    return rounded(left.select("l_returnflag", "n", "mean", M.variance().alias("var")), "mean", "var")
+
+
+@query("aggregate_moments", "SELECT l_returnflag, l_linestatus, count(*)::DOUBLE AS n, round(avg(l_extendedprice), 4) AS mean, round(var_pop(l_extendedprice), 2) AS var FROM lineitem GROUP BY ALL")
+def aggregate_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments written as a user's own aggregate: a map, a merge and its inverse; two parts merged, a third taken out."""
+    items, agg = table(spark, sf_dir, "lineitem"), U.centred_moments("l_extendedprice")
+    a, b, c = (U.states(items.filter(f"l_linenumber % 3 = {k}"), agg, KEYS) for k in range(3))
+    twice = U.merged(agg, KEYS, a, b, c, c)
+    found = U.subtracted(agg, KEYS, twice, c)
+    cells = {"n": F.col("state")[0], "mean": F.round(F.col("state")[1], 4), "var": F.round(F.col("state")[2] / F.col("state")[0], 2)}
+    return found.select(*KEYS, *(x.alias(n) for n, x in cells.items()))
+
+
+@query("aggregate_largest", "SELECT o_orderpriority, rank, o_totalprice AS value FROM (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC)::INTEGER AS rank FROM orders) WHERE rank <= 5")
+def aggregate_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top five as a user's own aggregate."""
+    found = U.states(table(spark, sf_dir, "orders"), U.largest("o_totalprice", 5), ["o_orderpriority"])
+    return found.select("o_orderpriority", F.posexplode("state").alias("rank", "value")).withColumn("rank", F.col("rank") + 1)
+
+
+@query("aggregate_histogram", """
+SELECT event_type, least(floor(value / 50), 9)::INTEGER AS bin, count(*)::DOUBLE AS n FROM events WHERE value >= 0 AND value <= 500 GROUP BY ALL""")
+def aggregate_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A histogram as a user's own aggregate."""
+    found = U.states(table(spark, sf_dir, "events"), U.histogram("value", [50.0 * k for k in range(11)]), ["event_type"])
+    return found.select("event_type", F.posexplode("state").alias("bin", "n")).filter("n > 0")
+
+
+def _mean_loss(found: DataFrame) -> DataFrame:
+    return found.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg("loss"), 2).alias("loss"))
+
+
+@query("kfold_mean", f"""
+WITH f AS (SELECT o_orderkey, o_totalprice, pos // (n // 7) AS fold FROM ({_HASHED}) JOIN orders USING (o_orderkey)),
+m AS (SELECT g.fold, avg(f.o_totalprice) AS mu FROM (SELECT DISTINCT fold FROM f WHERE fold < 7) g, f WHERE f.fold <> g.fold GROUP BY 1)
+SELECT f.fold::BIGINT AS fold, count(*) AS n, round(avg((o_totalprice - mu) * (o_totalprice - mu)), 2) AS loss FROM f JOIN m USING (fold) GROUP BY 1""")
+def kfold_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven folds of a mergeable model, each judged by prefix and suffix merges of the others."""
+    return _mean_loss(W.cross_validate(table(spark, sf_dir, "orders"), "o_orderkey", W.KFold(7, 7), U.centred_moments("o_totalprice"), W.squared_error_of_mean("o_totalprice")))
+
+
+@query("leave_one_out_mean", """
+SELECT c_custkey, round(pow(c_acctbal - (sum(c_acctbal) OVER () - c_acctbal) / (count(*) OVER () - 1), 2), 4) AS loss FROM customer""")
+def leave_one_out_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = W.cross_validate(table(spark, sf_dir, "customer"), "c_custkey", W.LeaveOneOut(), U.centred_moments("c_acctbal"), W.squared_error_of_mean("c_acctbal"))
+    return found.select("c_custkey", F.round("loss", 4).alias("loss"))
+
+
+def _line_loss(state, rows):
+    w = U.least_squares(state)
+    return (rows["y"].to_numpy(float) - w[0] - w[1] * rows["x"].to_numpy(float)) ** 2
+
+
+_LINE = "round(pow(y - ((m - b * sx) / n) - b * x, 2), {d}) AS loss"
+
+
+@query("leave_one_out_line", """
+WITH d AS (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice / 100 AS y FROM part),
+t AS (SELECT count(*) - 1 AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM d),
+o AS (SELECT p_partkey, x, y, n, sx - x AS sx, sy - y AS m, (n * (sxy - x * y) - (sx - x) * (sy - y)) / (n * (sxx - x * x) - (sx - x) * (sx - x)) AS b FROM d, t)
+SELECT p_partkey, """ + _LINE.format(d=6) + " FROM o")
+def leave_one_out_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line by normal equations, judged on each row by the equations of all others."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 100).alias("y"))
+    found = W.cross_validate(parts, "p_partkey", W.LeaveOneOut(), U.normal_equations(["x"], "y"), _line_loss)
+    return found.select("p_partkey", F.round("loss", 6).alias("loss"))
+
+
+@query("group_folds_line", """
+WITH d AS (SELECT l_returnflag AS g, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem),
+t AS (SELECT g, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM d GROUP BY 1),
+o AS (SELECT a.g, sum(b.n) AS n, sum(b.sx) AS sx, sum(b.sy) AS m, (sum(b.n) * sum(b.sxy) - sum(b.sx) * sum(b.sy)) / (sum(b.n) * sum(b.sxx) - sum(b.sx) * sum(b.sx)) AS b FROM t a JOIN t b ON a.g <> b.g GROUP BY 1)
+SELECT l_returnflag, count(*) AS n, round(avg(loss), 4) AS loss FROM (SELECT g AS l_returnflag, """ + _LINE.format(d=12) + " FROM d JOIN o USING (g)) GROUP BY 1")
+def group_folds_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of each return flag judged by a line through those of all others."""
+    items = table(spark, sf_dir, "lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("id"), "l_returnflag", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    found = W.cross_validate(items, "id", W.Groups("l_returnflag"), U.normal_equations(["x"], "y"), _line_loss)
+    flags = W.folded(items.select("id", "l_returnflag"), "id", W.Groups("l_returnflag")).select("l_returnflag", "fold").distinct()
+    return found.join(F.broadcast(flags), "fold").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("loss"), 4).alias("loss"))
