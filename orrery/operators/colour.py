@@ -40,6 +40,13 @@ def signature(rows: DataFrame, id_col: str, lab_col: str, weight_col: str) -> Da
     return total.select(F.col(id_col).alias("id"), F.transform("_s", lambda c: F.struct(c["l"].alias("l"), c["a"].alias("a"), c["b"].alias("b"), (c["w"] / F.col("_t")).alias("w"))).alias("sig"))
 
 
+def centroids(rows: DataFrame, id_col: str, lab_col: str, weight_col: str) -> DataFrame:
+    """(id, l, a, b): the weighted mean colour of each id, from sums alone; an id of any number of colours is no array."""
+    w = F.when(F.col(lab_col).isNotNull(), F.col(weight_col))
+    means = ((F.sum(w * F.col(f"{lab_col}.{c}")) / F.sum(w)).alias(c) for c in ("l", "a", "b"))
+    return rows.groupBy(F.col(id_col).alias("id")).agg(*means)
+
+
 def centroid(sig: Column) -> Column:
     """The weighted mean colour of a signature."""
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators import grids
+
 LENGTHS = 5
 WEIGHTS = [2.0**-k for k in range(LENGTHS)]
 
@@ -38,9 +40,11 @@ def walk_profiles(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame
 
     Walk counts go along the edges by a join and a sum for each length.
     """
+    edges = grids.cut(edges.select("graph", "src", "dst"))  # read at every length
     nodes = vertices(edges) if nodes is None else nodes
     # a marked edge from each vertex to itself brings its own history along, so a step reads the last one once
     marked = edges.select("graph", "src", "dst", F.lit(False).alias("own")).unionByName(nodes.select("graph", F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(True).alias("own")))
+    marked = grids.cut(marked)
     walks = nodes.select("graph", F.col("v").alias("src"), F.array(F.lit(1.0)).alias("h"))
     for _ in range(LENGTHS):
         here = F.max(F.when(F.col("own"), F.col("h")))

@@ -7,16 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators import metric_join
+from orrery.operators import colour, grids, metric_join
 from orrery.plans.metric_queries import PAIRS, table, vectors
 from orrery.plans.registry import query
 from orrery.sources import loaders
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder under the one that all machines share: the checkpoint folder, else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/files-{uuid.uuid4().hex}"
+    """A new folder under the one that all machines share."""
+    return f"{grids.shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,3 +107,36 @@ def sink_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     loaders.write_neighbours(metric_join.knn(vectors(spark, sf_dir)), path)
     return spark.read.text(path).select(F.col("value").cast("long").alias("neighbour"))
+
+
+@query("loader_graphs", """
+WITH b AS (SELECT DISTINCT n_regionkey AS graph, s_nationkey AS src, 25 + s_suppkey % 7 AS dst FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT graph, src::BIGINT AS src, dst::BIGINT AS dst, 32::BIGINT AS vertices FROM b UNION ALL SELECT graph, dst, src, 32 FROM b""")
+def loader_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph files, one a region: a line with a bar for each of 32 vertices, a line for each edge; read as edges both ways."""
+    path = _folder(spark)
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("graph"), F.col("n_nationkey").alias("s_nationkey"))
+    edges = table(spark, sf_dir, "supplier").join(nation, "s_nationkey").select("graph", F.format_string("= %d = 1 = %d", F.col("s_nationkey") + 1, 26 + F.col("s_suppkey") % 7).alias("value")).distinct()
+    bars = nation.select("graph").distinct().select("graph", F.explode(F.array_repeat(F.lit("|"), 32)).alias("value"))
+    edges.unionByName(bars).repartition("graph").write.partitionBy("graph").text(path)
+    found, vertices = loaders.load(spark, path, "plg")
+    region = F.regexp_extract("graph", "graph=([0-9]+)", 1)
+    sizes = vertices.groupBy(region.cast(nation.schema["graph"].dataType).alias("graph")).agg(F.count("*").alias("vertices"))
+    return found.select(region.cast(nation.schema["graph"].dataType).alias("graph"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).join(sizes, "graph")
+
+
+@query("loader_colours", """
+WITH c AS (SELECT p_brand AS name, (p_size % 16) / 15.0::DOUBLE AS r, (p_partkey % 11) / 10.0::DOUBLE AS g, (p_partkey % 7) / 6.0::DOUBLE AS b, (1 + p_size)::DOUBLE AS w FROM part),
+x AS (SELECT name, w, (0.412453*r + 0.357580*g + 0.180423*b) / 0.950456 AS x, 0.212671*r + 0.715160*g + 0.072169*b AS y, (0.019334*r + 0.119193*g + 0.950227*b) / 1.088754 AS z FROM c),
+f AS (SELECT *, CASE WHEN x > 0.008856 THEN pow(x, 1/3.0::DOUBLE) ELSE 7.787*x + 16/116.0::DOUBLE END AS fx, CASE WHEN y > 0.008856 THEN pow(y, 1/3.0::DOUBLE) ELSE 7.787*y + 16/116.0::DOUBLE END AS fy,
+      CASE WHEN z > 0.008856 THEN pow(z, 1/3.0::DOUBLE) ELSE 7.787*z + 16/116.0::DOUBLE END AS fz FROM x)
+SELECT name, count(*) AS colours, round(sum(w * CASE WHEN y > 0.008856 THEN 116*pow(y, 1/3.0::DOUBLE) - 16 ELSE 903.3*y END) / sum(w), 5) + 0.0 AS l,
+       round(sum(w * 500*(fx - fy)) / sum(w), 5) + 0.0 AS a, round(sum(w * 200*(fy - fz)) / sum(w), 5) + 0.0 AS b FROM f GROUP BY 1""")
+def loader_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour files, one a brand, with lines of blue, green, red and weight; read as signatures, of which the centroids are shown."""
+    path = _folder(spark)
+    part = table(spark, sf_dir, "part").select(((F.col("p_partkey") % 7) / 6).alias("b"), ((F.col("p_partkey") % 11) / 10).alias("g"), ((F.col("p_size") % 16) / 15).alias("r"), (1 + F.col("p_size")).cast("double").alias("w"), "p_brand")
+    part.repartition("p_brand").write.partitionBy("p_brand").csv(path)
+    found = loaders.load(spark, path, "colour").withColumn("c", colour.centroid(F.col("sig")))
+    brand = F.url_decode(F.url_decode(F.regexp_extract("id", "p_brand=([^/]*)", 1)))
+    return found.select(brand.alias("name"), F.size("sig").cast("long").alias("colours"), *((F.round(f"c.{x}", 5) + 0.0).alias(x) for x in ("l", "a", "b")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions.trace import Trace
-from orrery.operators import colour, glm, graphs, metric_join, objective, pivot_index
+from orrery.operators import colour, glm, graphs, grids, metric_join, objective, pivot_index, search
 from orrery.plans.metric_queries import rounded, table, vectors
 from orrery.plans.registry import query
 from orrery.sources import loaders
@@ -206,9 +206,8 @@ def colour_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("signature_centroids", _LAB + "SELECT p_brand AS id, round(avg(l), 5) + 0.0 AS l, round(avg(a), 5) + 0.0 AS a, round(avg(b), 5) + 0.0 AS b FROM l JOIN part USING (p_partkey) GROUP BY 1")
 def signature_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centroids of the colour signature of each brand, every part weighing the same."""
-    sig = colour.signature(_colours(spark, sf_dir).withColumn("w", F.lit(1.0)), "p_brand", "lab", "w")
-    c = sig.select("id", colour.centroid(F.col("sig")).alias("c"))
-    return c.select("id", *((F.round(f"c.{x}", 5) + 0.0).alias(x) for x in ("l", "a", "b")))
+    found = colour.centroids(_colours(spark, sf_dir).withColumn("w", F.lit(1.0)), "p_brand", "lab", "w")
+    return found.select("id", *((F.round(x, 5) + 0.0).alias(x) for x in ("l", "a", "b")))
 
 
 @query("signature_distance")
@@ -315,30 +314,48 @@ def pivot_movable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.movable(e, pivots)
 
 
-@query("minimum_of_slopes", "SELECT 30.0::DOUBLE AS x, -30.0::DOUBLE AS fx")
+@query("minimum_of_slopes", "SELECT s_suppkey, round(30 + s_nationkey + floor(s_acctbal / 100) / 10, 3) + 0.0 AS x, -30.0::DOUBLE AS fx, round(50 + floor(s_acctbal / 100) / 10, 3) + 0.0 AS gap_x FROM supplier")
 def minimum_of_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bracketing and interval refinement of a function of one variable, each round one job."""
-    lo, hi = objective.bracket(spark, objective.slopes, -5.0)
-    x, fx = objective.minimise_column(spark, objective.slopes, lo, hi)
-    return spark.createDataFrame([(round(x, 4), round(fx, 4))], "x double, fx double")
+    """Test functions of one variable, with and without a jump, moved along by each row's account and nation, and minimised by row."""
+    account = F.floor(F.col("s_acctbal").cast("double") / 100) / 10
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") + account).alias("at"), (20 + account).alias("to"))
+    smooth = search.golden_section(lambda x: objective.slopes(x - F.col("at")), F.lit(-50.0), F.lit(150.0))
+    # the jump is at the least point: the section is told the side before it
+    jump = search.golden_section(lambda x: objective.slopes_with_gap(x - F.col("to")), F.lit(-50.0), F.col("to") + 30)
+    found = rows.withColumn("x", smooth)
+    return found.select("s_suppkey", (F.round("x", 3) + 0.0).alias("x"), (F.round(objective.slopes(F.col("x") - F.col("at")), 3) + 0.0).alias("fx"), (F.round(jump, 3) + 0.0).alias("gap_x"))
+
+
+@query("minima_of_surfaces", """
+SELECT n_nationkey, name, round(x + n_nationkey / 8.0, 3) + 0.0 AS x, round(y - n_regionkey, 3) + 0.0 AS y, round(fx, 3) + 0.0 AS fx FROM nation,
+       (VALUES ('sphere', 0.0::DOUBLE, 0.0::DOUBLE, 3.0::DOUBLE), ('beale', 3, 0.5, 0), ('rosenbrock', 1, 1, 0)) t(name, x, y, fx)""")
+def minima_of_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test functions of two variables, moved by each nation's keys, minimised by row with a simplex that starts again where it ends."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") / 8).alias("dx"), (-F.col("n_regionkey")).cast("double").alias("dy"))
+    parts = []
+    for name, start in (("sphere", (2.0, 2.0)), ("beale", (2.0, 0.0)), ("rosenbrock", (0.5, 0.5))):
 
+        def f(v, n=name):
+            return objective.surface(n, v[0] - F.col("dx"), v[1] - F.col("dy"))
 
-@query("minima_of_surfaces", "SELECT * FROM (VALUES ('sphere', 0.0::DOUBLE, 0.0::DOUBLE, 3.0::DOUBLE), ('ackley', 0, 0, 0), ('beale', 3, 0.5, 0), ('rosenbrock', 1, 1, 0)) t(name, x, y, fx)")
-def minima_of_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = []
-    for name in ("sphere", "ackley", "beale", "rosenbrock"):
-        found = objective.minimise_surface(spark, lambda x, y, n=name: objective.surface(n, x, y), (0.7, 0.3), 4.0)
-        rows.append((name, *(round(v, 3) + 0.0 for v in found)))
-    return spark.createDataFrame(rows, "name string, x double, y double, fx double")
+        first = rows.withColumn("v", search.nelder_mead(f, F.array(start[0] + F.col("dx"), start[1] + F.col("dy")), steps=120))
+        again = first.withColumn("w", search.nelder_mead(f, F.col("v"), steps=120))
+        parts.append(again.select("n_nationkey", F.lit(name).alias("name"), F.round(F.col("w")[0], 3).alias("x"), F.round(F.col("w")[1], 3).alias("y"), F.round(f(F.col("w")), 3).alias("fx")))
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return found.select("n_nationkey", "name", *((F.col(c) + 0.0).alias(c) for c in ("x", "y", "fx")))
 
 
-@query("trace_summary")
+@query("trace_summary", """
+WITH x AS (SELECT l_quantity / 50 AS a, CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END AS s FROM lineitem),
+b AS (SELECT (count(*) * sum(a * s) - sum(a) * sum(s)) / (count(*) * sum(a * a) - sum(a) * sum(a)) AS slope, avg(s) AS ms, avg(a) AS ma FROM x)
+SELECT 'newton' AS name, true AS timed, round(sum(0.5 * pow(s - (ms - slope * ma) - slope * a, 2)), 3) AS last FROM x, b""")
 def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls and seconds by name of a traced minimisation."""
+    """The summary of a traced training: its steps took time, and the last value reported is that of the optimum."""
     trace = Trace()
-    with trace.function("whole"):
-        objective.minimise_column(spark, objective.slopes, -100.0, 100.0, trace=trace)
-    return trace.summary(spark)
+    glm.train(_sizes(spark, sf_dir, "l_linestatus"), "x", "l_linestatus", ridge=0.0, loss="squared", optimiser="newton", trace=trace)
+    last = trace.frame(spark).groupBy("name").agg(F.max_by("value", "iteration").alias("last"))
+    found = trace.summary(spark).join(last, "name")
+    return found.select("name", ((F.col("calls") > 0) & (F.col("seconds") > 0)).alias("timed"), F.round("last", 3).alias("last"))
 
 
 _WORD = "([a-z]+)"
@@ -382,7 +399,7 @@ def streaming_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running summary after all events that are there now have streamed through."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out = running.run_to_memory(running.running_moments(stream, "value", ["event_type"]), f"moments_{uuid.uuid4().hex[:8]}")
+    out = running.run_to_files(running.running_moments(stream, "value", ["event_type"]), f"{grids.shared_folder(spark)}/stream-{uuid.uuid4().hex}")
     return out.select("event_type", "m0", F.round("m1", 4).alias("m1"), F.round("m2", 3).alias("m2"))
 
 
@@ -392,7 +409,7 @@ def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     frame = running.windowed_moments(stream.withColumn("ts", F.col("ts").cast("timestamp")), "value", "ts", "1 day", "30 days")
-    out = running.run_to_memory(frame, f"windows_{uuid.uuid4().hex[:8]}")
+    out = running.run_to_files(frame, f"{grids.shared_folder(spark)}/stream-{uuid.uuid4().hex}")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "m0", F.round("m1", 4).alias("m1"))
 
 

@@ -39,8 +39,23 @@ def nearest_so_far(path: str, k: int = 1, id_col: str = "vec_id", vec_col: str =
     return each
 
 
-def run_to_memory(frame: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now and give the sink's table; for tests and small results."""
-    query = frame.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return frame.sparkSession.table(name)
+def run_to_files(frame: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that is there now; its result as Parquet files under ``path``, read again.
+
+    Each batch has a folder of its own, which it replaces when it is run again. In mode complete the last one is the result, in
+    the others all of them together. A stream without input gives an empty table.
+    """
+    last: list[int] = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/result/batch={number}")
+        last.append(number)
+
+    run = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(each).start()
+    run.awaitTermination()
+    spark = frame.sparkSession
+    if not last:
+        return spark.createDataFrame([], frame.schema)
+    if mode == "complete":
+        return spark.read.parquet(f"{path}/result/batch={max(last)}")
+    return spark.read.parquet(f"{path}/result").drop("batch")
