@@ -107,14 +107,17 @@ def block_grams(texts: pa.Array, langs: pa.Array) -> Grams:
     return grams, counts.astype(np.int64)
 
 
-def _hashes(strings: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each string, none of them empty."""
-    raw, offsets = _buffers(strings)
-    place = np.arange(len(raw)) - np.repeat(offsets[:-1], np.diff(offsets))
-    powers = np.full(int(place.max(initial=0)) + 1, _BASE, dtype=np.uint64)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    return mix(np.add.reduceat(_BYTE[raw] * powers[place], offsets[:-1]))
+def _hashes(strings: pa.Array, most: int = 50_000) -> np.ndarray:
+    """A 64-bit hash of each string, none of them empty; ``most`` strings at a time, since every byte takes several words."""
+    out = [np.zeros(0, np.uint64)]
+    for lo in range(0, len(strings), most):
+        raw, offsets = _buffers(strings.slice(lo, most))
+        place = np.arange(len(raw)) - np.repeat(offsets[:-1], np.diff(offsets))
+        powers = np.full(int(place.max(initial=0)) + 1, _BASE, dtype=np.uint64)
+        powers[0] = 1
+        np.multiply.accumulate(powers, out=powers)
+        out.append(mix(np.add.reduceat(_BYTE[raw] * powers[place], offsets[:-1])))
+    return np.concatenate(out)
 
 
 def _packets(grams: Grams, parts: int) -> Iterator[tuple[int, bytes]]:

@@ -18,9 +18,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of 160 characters or more (about 25 words): passages go, a lone common line stays."""
-    found = substring_dedup.repeats(_table(spark, sf_dir, "documents"), min_run=160)
-    return found.select("doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"), "kept_in")
+    """Every repeat; ``long_run``: it goes as part of a passage of 160 characters or more (about 25 words), not as a lone common line."""
+    found = substring_dedup.repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"), "kept_in", (F.col("run") >= 160).alias("long_run"))
 
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]

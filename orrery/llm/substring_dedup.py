@@ -9,9 +9,9 @@ all documents. The occurrence that ranks first (by doc_id, then position) stays;
 their offsets in the original text kept. What belongs to a kept first occurrence of a repeated sentence unit is
 never removed, nor the part of a line's first occurrence that no sentence unit covers.
 
-All units are hashed and grouped, whatever their length. ``min_run`` (0: none) then leaves a removal alone that is
-shorter than so many characters together with those beside it (at most two characters between): with it, passages
-go, also those made of many short lines, and a lone common line stays where it is.
+All units are hashed and grouped, whatever their length, and every repeat is found, with the length of the run of removals that
+it lies in (at most two characters between). A consumer that wants passages to go, also those made of many short lines, and
+lone common lines to stay reads that length, or gives ``min_run`` (0: none), which leaves shorter runs alone.
 
 Digests are summed in each task before they shuffle, and units of very frequent digests meet their first
 occurrence by a broadcast of at most 1000 rows, so no unit's occurrences gather in one task.
@@ -135,20 +135,20 @@ def cover(removed: list[tuple[int, int, object]], kept: list[tuple[int, int]]) -
     return out
 
 
-def long_runs(spans: list[tuple[int, int, list]], least: int) -> list[tuple[int, int, list]]:
-    """Those of the spans, in order, that lie in a run of at least so many characters."""
-    out, run = [], []
+def run_lengths(spans: list[tuple[int, int, list]]) -> list[int]:
+    """For each of the spans, in order, the characters from the first to the last of its run: at most two lie between."""
+    out: list[int] = []
+    run: list[tuple[int, int, list]] = []
     for span in [*spans, None]:
         if run and (span is None or span[0] - run[-1][1] > 2):
-            if run[-1][1] - run[0][0] >= least:
-                out += run
+            out += [run[-1][1] - run[0][0]] * len(run)
             run = []
         run.append(span)
     return out
 
 
-def _merge(min_run: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("serial", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("kept_in", pa.list_(pa.int64()))])
+def _merge():
+    schema = pa.schema([("doc_id", pa.int64()), ("serial", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("kept_in", pa.list_(pa.int64())), ("run", pa.int64())])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +156,9 @@ def _merge(min_run: int):
             for row in batch.to_pylist():
                 removed = [(s["start"], s["end"], s["source"]) for s in row["spans"] if not s["stays"]]
                 kept = [(s["own"], s["end"]) for s in row["spans"] if s["stays"]]
-                for start, end, sources in long_runs(cover(removed, kept), min_run):
-                    rows.append({"doc_id": row["doc_id"], "serial": row["serial"], "start": start, "end": end, "kept_in": sorted({x for x in sources if x is not None})})
+                found = cover(removed, kept)
+                for (start, end, sources), run in zip(found, run_lengths(found), strict=True):
+                    rows.append({"doc_id": row["doc_id"], "serial": row["serial"], "start": start, "end": end, "kept_in": sorted({x for x in sources if x is not None}), "run": run})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return f
@@ -176,13 +177,14 @@ def _repeats(found: DataFrame, min_run: int) -> DataFrame:
     stays = (F.col("serial") == F.col("first.serial")) & (F.col("start") == F.col("first.start"))
     spans = joined.select("doc_id", "serial", F.struct("start", "end", "own", F.col("first.doc_id").alias("source"), stays.alias("stays")).alias("span"))
     per_doc = spans.groupBy("serial", "doc_id").agg(F.collect_list("span").alias("spans"), F.bool_and("span.stays").alias("whole")).filter("NOT whole")
-    return per_doc.select("doc_id", "serial", "spans").mapInArrow(C.lean(_merge(min_run)), "doc_id long, serial long, start long, end long, kept_in array<long>")
+    return per_doc.select("doc_id", "serial", "spans").mapInArrow(C.lean(_merge()), "doc_id long, serial long, start long, end long, kept_in array<long>, run long").filter(F.col("run") >= min_run)
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each removed span: doc_id, serial (the row's number in this run), start, end, kept_in.
+    """One row for each removed span: doc_id, serial (the row's number in this run), start, end, kept_in, run.
 
-    ``kept_in`` lists the documents that keep the first occurrences of the span's units.
+    ``kept_in`` lists the documents that keep the first occurrences of the span's units; ``run`` counts the characters that go
+    together with the span, it and those beside it.
     """
     return _repeats(_found(docs, min_words, id_col, text_col), min_run)
 

@@ -529,11 +529,9 @@ def test_warc_query_rebuilds_payloads(spark, tmp_path, monkeypatch):
     assert "revisit" in {r["record_type"] for r in got}
 
 
-def test_long_runs():
-    spans = [(0, 10, [1]), (11, 30, [2]), (40, 45, [3]), (60, 90, [4])]
-    assert substring_dedup.long_runs(spans, 0) == spans
-    assert substring_dedup.long_runs(spans, 30) == [spans[0], spans[1], spans[3]]
-    assert substring_dedup.long_runs([], 5) == []
+def test_lengths_of_runs():
+    assert substring_dedup.run_lengths([(0, 10, [1]), (11, 30, [2]), (40, 45, [3]), (60, 90, [4])]) == [30, 30, 5, 30]
+    assert substring_dedup.run_lengths([]) == []
 
 
 def test_substring_runs(spark):

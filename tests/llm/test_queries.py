@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -157,3 +158,62 @@ def test_url_trees_judge_what_no_rule_fits(spark):
     open_ = [r for r in judged if r["rule"] is None and r["page_id"] < 800]
     assert len(open_) == 401
     assert sum(r["verdict"] == ("block" if r["page_id"] % 2 else "allow") for r in open_) >= 0.95 * len(open_)
+
+
+def test_op1_removes_every_later_line(spark, tmp_path):
+    """Every occurrence of a line after its first goes, short lines too; long runs are marked; offsets lie in the text."""
+    rng = random.Random(2)
+    pool = ["All rights reserved.", "ok", "Read  more!", *(sentence(k, 3 + k % 20) + " " + sentence(k + 50, k % 12 + 1) for k in range(30))]
+    texts = ["\n".join(rng.choices(pool, k=rng.randrange(1, 7)) + [f"own line {k} of this text. " + sentence(k, 9)]) for k in range(120)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(200, None), (201, ""), (202, "\n \n"), (203, "Ein ok"), (None, "ok")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").collect()
+    gone: dict = {}
+    for r in queries.op1_substring_dedup(spark, str(tmp_path)).collect():
+        assert r["start_char"] < r["end_char"] and isinstance(r["long_run"], bool)
+        gone.setdefault(r["doc_id"], []).append((r["start_char"], r["end_char"], r["long_run"]))
+    ids = Counter(r["doc_id"] for r in docs)
+    seen: set = set()
+    later = 0
+    for r in sorted(docs, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)):
+        at = 0
+        for line in (r["text"] or "").split("\n"):
+            words = " ".join(line.lower().split())
+            if words and words in seen and ids[r["doc_id"]] == 1 and r["doc_id"] is not None:
+                begin, end = at + len(line) - len(line.lstrip()), at + len(line.rstrip())
+                assert all(any(s <= k < e for s, e, _ in gone.get(r["doc_id"], [])) for k in range(begin, end) if not r["text"][k].isspace()), (r["doc_id"], words)
+                later += 1
+            seen.add(words)
+            at += len(line) + 1
+    assert later > 200 and {long for spans in gone.values() for _, _, long in spans} == {True, False}
+    assert 203 not in gone and 200 not in gone
+
+
+def test_op2_judges_by_the_longest_rule(spark, tmp_path):
+    hosts = ["example.com", "www.example.com", "a.b.example.com", "xexample.com", "net", "q.net", "org", "de.org", "com"]
+    paths = ["", "/", "/en/", "/en/x/1?q=/fr/", "/es/2", "/fr", "/fr/#/en/", "/EN/"]
+    urls = [(k, f"http{'s' * (k % 2)}://{h.upper() if k % 3 == 0 else h}{p}") for k, (h, p) in enumerate([(h, p) for h in hosts for p in paths] * 3)]
+    urls += [(900, None), (901, ""), (902, "example.com/en/"), (903, "http://" + "a." * 3000 + "net/es/")]
+    spark.createDataFrame([(i, u, "<p>x</p>", "clash") for i, u in urls], "page_id long, url string, html string, rule string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = {r["page_id"]: r for r in queries.op2_url_filter(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(urls)
+    for i, u in urls:
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = host.translate(LOWER)
+        fits = [(len(r), k, r) for k, r in queries.RULES if (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        want = max(fits, default=(0, None, None))
+        assert (rows[i]["host"], rows[i]["path"], rows[i]["rule"]) == (host, path, want[2])
+        assert rows[i]["verdict"] == want[1] if fits else rows[i]["verdict"] in ("allow", "block")
+
+
+def test_many_rules_and_held_out_urls(spark):
+    rules = spark.createDataFrame([("block" if k % 2 else "allow", f"h{k}.com/p{k % 3}") for k in range(20_000)] + [("allow", None), (None, "x.com/"), ("block", "h5.com"), ("block", "H6.com/p0"), ("allow", "h7.com/p1")], "kind string, rule string")
+    pages = spark.createDataFrame([(k, f"https://www.h{k}.com/p{k % 3}/{k}") for k in range(0, 20_000, 50)] + [(-1, "http://h5.com/zzz"), (-2, "http://h7.com/p1"), (-3, "http://h19999.org/")], "page_id long, url string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
+    assert all(found[k] == (f"h{k}.com/p{k % 3}", "block" if k % 2 else "allow") for k in range(50, 20_000, 50))
+    assert found[-1] == ("h5.com", "block") and found[-2] == ("h7.com/p1", "block") and found[-3][0] is None
+    urls = [f"http://h{k}.{'net' if k % 2 else 'com'}/{'es' if k % 2 else 'en'}/{k}" for k in range(400)]
+    areas = url_filter.held_out_auc(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), queries.RULES)
+    assert areas["all"] > 0.95 and 0.0 <= areas["lexical"] <= 1.0
