@@ -8,7 +8,8 @@ a path; such paths are compacted, their nodes have the weight of the path and ar
 
 Counting is summed in each block of texts before it shuffles, and grams travel in sorted compressed packets by
 hash of the gram, so a frequent gram has one entry a block and no task holds all grams of a word or node. Joins
-with the counts of words deal out frequent words. The number of packets' parts follows the size of the input.
+with the counts of words deal out frequent words. The number of packets' parts, and of the tasks that sum them, follows the
+size of the input.
 
 Text: A-Z lower-cased, cut into pieces at ``. , ; : ! ?`` and at line ends, pieces into words at spaces and tabs.
 
@@ -236,7 +237,7 @@ def graph(docs: DataFrame, least: int = 10, text_col: str = "text", lang_col: st
     packets = slim.mapInArrow(C.lean(_blocks(parts)), _DDL)
     levels = []
     for width in range(WIDTH, 0, -1):
-        summed = C.stored(packets.select("part", "packet").groupBy("part").applyInArrow(_level(width, least, parts), _DDL))
+        summed = C.stored(packets.select("part", "packet").repartition(parts, "part").groupBy("part").applyInArrow(_level(width, least, parts), _DDL))
         levels.append(summed.filter("phrase IS NOT NULL").select("lang", "phrase", F.col("c").alias("f")))
         packets = summed.filter("packet IS NOT NULL")
     sizes = summed.filter("lang IS NOT NULL AND phrase IS NULL").groupBy("lang").agg(F.sum("c").alias("n"))
