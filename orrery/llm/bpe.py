@@ -12,8 +12,10 @@
 The vocabulary file's path is a parameter; the driver reads it and broadcasts the ranks.
 
 The shuffle of step 2 is read twice in one plan, so a block is made once. If an executor is lost, its blocks are
-made again: a source that then gives a task other rows than before (an unsorted shuffle, say) stops the job with
-an error instead of giving wrong ids. Tables and checkpoints give the same rows.
+made again and have to be the same: rows are sorted within their partition first, so it does not matter in which
+order a shuffle brings them. Files and checkpoints give their rows in one order anyway: ``settled=True`` leaves
+the sort out. A source that gives a task other rows than before (one that is not deterministic) stops the job with an
+error instead of giving wrong ids.
 
 Defined results: a null text counts as empty and has no ids; decoding nulls or empty lists gives
 empty bytes; repeated rows are encoded each; null ids are kept; extra columns are ignored; an empty
@@ -221,16 +223,24 @@ def _put_together(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
     return pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in batches], schema)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+def in_one_order(slim: DataFrame) -> DataFrame:
+    """(doc_id, text) sorted within each partition; texts are compared only where ids and hashes are equal."""
+    return slim.withColumn("hash", F.xxhash64("text")).sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, settled: bool = False) -> DataFrame:
     """(doc_id, ids) for every row of docs.
 
     ``parts`` is the number of hash ranges of the vocabulary, the session's shuffle partitions unless
-    given; each holds about 1/parts of all distinct words of all blocks.
+    given; each holds about 1/parts of all distinct words of all blocks. ``settled`` says that a partition of docs
+    has its rows in the same order each time, as those of files have.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if not settled:
+        slim = in_one_order(slim)
     dealt = slim.mapInArrow(C.lean(_blocks(pattern, parts, BLOCK_CHARS)), "k binary, block binary, data binary").repartition(parts, "k")
     words = dealt.groupBy("k").applyInArrow(_encode_words(ranks, pattern), "k binary, data binary")
     return dealt.groupBy("k").cogroup(words.groupBy("k")).applyInArrow(_put_together, "doc_id long, ids array<int>")

@@ -7,15 +7,19 @@ header names SHA-1 as well. Spark's text writer writes the records, with the two
 record as its line separator, so the files are plain WARC, compressed with gzip unless told otherwise, and go to
 any store that Spark writes to.
 
-Reading: files are read whole by Spark (a file is bounded by ``records_per_file``), cut by
-Content-Length, and split into a header table with the exact header bytes and a payload store that
+Pages go to files by classes of payload length: short payloads ``records_per_file`` to a file, those of up to CLASS_STEP
+times the length an eighth as many, and so on down to one. So a file holds about SHORT * records_per_file bytes, or one
+record that is longer. Each class that occurs is one write; most archives have one or two.
+
+Reading: files are read whole by Spark, cut by Content-Length, and split into a header table with the exact header bytes and a payload store that
 holds each payload once under its SHA-256, recomputed and compared with the header. Joins on the digest
 bring the original records back.
 
 Defined results: a null payload counts as empty; null or strange urls are percent-encoded so that a
 header stays one line; null ids are written as such and rank lowest (a group of null ids only holds
 no revisits); rows that repeat an id are records of their own, and rows that repeat id and payload are
-equal records; an empty table gives no records; extra columns are ignored.
+equal records; an empty table gives no records; extra columns are ignored. A payload can be as long as a value of
+Spark is (2 GB with its header).
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -37,6 +41,8 @@ from orrery.llm import common as C
 END = "\r\n\r\n"
 #: How a compressed file begins.
 GZIP = b"\x1f\x8b"
+#: Longest payload in bytes of the first class, and how much longer the next class's are.
+SHORT, CLASS_STEP = 128 << 10, 8
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2026-01-01T00:00:00Z"
 _HEADERS = "record_id string, record_type string, page_id long, url string, refers_to string, sha1 string, sha256 string, length long, header binary, valid boolean"
@@ -48,15 +54,32 @@ def on_one_line(urls: pd.Series) -> pd.Series:
     return urls.map(lambda u: None if u is None else quote(u, safe="%/:=&?~#+!$,;'@()*[]", errors="replace"))
 
 
+def length_class(payload: Column, short: int) -> Column:
+    """0 for payloads of at most short bytes, 1 for at most CLASS_STEP times as many, and so on."""
+    n, bound, k = F.octet_length(payload), short, 0
+    found = F.when(n <= bound, 0)
+    while bound < 2**31:
+        bound, k = bound * CLASS_STEP, k + 1
+        found = found.when(n <= bound, k)
+    return found
+
+
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000) -> DataFrame:
-    """One row a page: record_id, record_type, refers_to and the record's header and payload as text."""
+    """One row a page, ``value``: the record's header and payload as text."""
+    return by_class(pages, id_col, url_col, payload_col, least)[0][1]
+
+
+def by_class(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int, short: int | None = None) -> list[tuple[int, DataFrame]]:
+    """(class, records) for each class of payload length that occurs, or all records as class 0 without ``short``."""
     slim = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), C.text_or_empty(F.col(payload_col).cast("string")).alias("payload")
     )
-    # digests by built-in functions: payloads do not leave the JVM
-    rows = slim.withColumns({"length": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload"), "sha256": F.sha2("payload", 256), "url": on_one_line("url")})
-    # digests only: which payloads occur more than once, and who holds them
-    keys = C.cut(slim.filter(F.octet_length("payload") >= least).select(F.sha2("payload", 256).alias("sha256"), "page_id"))
+    # which payloads occur more than once and who holds them: digests only, and each class's
+    which = F.lit(0) if short is None else length_class(F.col("payload"), short)
+    long = F.octet_length("payload") >= least
+    keys = C.cut(slim.filter(long | (which > 0)).select(F.sha2("payload", 256).alias("sha256"), "page_id", long.alias("long"), which.alias("which")))
+    classes = sorted({0, *(r["which"] for r in keys.select("which").distinct().collect())})
+    keys = keys.filter("long")
     holders = C.cut(
         keys.groupBy("sha256")
         .agg(F.max("page_id").alias("holder"), F.count("*").alias("copies"))
@@ -64,10 +87,18 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     )
     # only rows whose digest may be among them shuffle; a bounded filter lets the others pass
     blocks = C.filter_blocks(holders.count())
-    seen = C.probe(rows, "sha256", C.member_filter(holders, "sha256", blocks), blocks, "shared")
+    shared, total = C.member_filter(holders, "sha256", blocks), keys.count()
+    return [(k, _as_text(slim if short is None else slim.filter(which == k), holders, shared, blocks, total, least)) for k in classes]
+
+
+def _as_text(slim: DataFrame, holders: DataFrame, member, blocks: int, total: int, least: int) -> DataFrame:
+    """The records of slim as text, each with its header."""
+    # digests by built-in functions: payloads do not leave the JVM
+    rows = slim.withColumns({"length": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload"), "sha256": F.sha2("payload", 256), "url": on_one_line("url")})
+    seen = C.probe(rows, "sha256", member, blocks, "shared")
     shared = F.col("shared") & (F.col("length") >= least)
     alone = seen.filter(~shared).withColumns({"holder": F.lit(None).cast("long"), "copies": F.lit(1).cast("long")})
-    rows = alone.unionByName(C.join_groups(seen.filter(shared), holders, "sha256", "copies", keys.count(), "left"))
+    rows = alone.unionByName(C.join_groups(seen.filter(shared), holders, "sha256", "copies", total, "left"))
 
     def name(page: object) -> object:
         return F.concat(F.lit("urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), F.substring("sha256", 1, 16))
@@ -98,7 +129,9 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, records_per_file: int = 2_000, compression: str = "gzip") -> None:
     """Write the archive's files under path; ``compression`` is gzip or none."""
     C.prepare(pages.sparkSession)
-    records(pages, id_col, url_col, payload_col, least).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
+    for k, part in by_class(pages, id_col, url_col, payload_col, least, SHORT):
+        most = max(1, records_per_file // CLASS_STEP**k)
+        part.write.mode("append" if k else "error").option("lineSep", END).option("maxRecordsPerFile", most).option("compression", compression).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[bytes, dict[str, str], bytes]]:

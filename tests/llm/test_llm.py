@@ -15,6 +15,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe, common, exact_dedup, fingerprints, graph, hashing, lm_score, mixing, near_dedup, packing, quality, substring_dedup, url_filter, warc
@@ -148,6 +149,21 @@ def test_bpe(docs, empty):
     assert bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_blocks_do_not_depend_on_order(spark, monkeypatch):
+    """What a task makes of its rows when it is run again is the same, in whatever order they come."""
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 50)
+    rows = [(i % 17 if i % 5 else None, f"some words {i % 7} and more" if i % 3 else None) for i in range(60)]
+    turned = [spark.createDataFrame(r, "doc_id long, text string").coalesce(1) for r in (rows, rows[::-1], rows[30:] + rows[:30])]
+    encoded = [sorted(map(repr, bpe.encode(d, RANKS, public_tokenizers.PATTERN, parts=3).collect())) for d in turned]
+    assert encoded[0] == encoded[1] == encoded[2]
+    blocks = bpe._blocks(public_tokenizers.PATTERN, 3, 50)
+    made = []
+    for d in turned:
+        found = bpe.in_one_order(d).mapInArrow(blocks, "k binary, block binary, data binary").collect()
+        made.append(sorted((bytes(r["k"]), bytes(r["block"]), bytes(r["data"])) for r in found))
+    assert made[0] == made[1] == made[2] and len({b for _, b, _ in made[0]}) > 3
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_splitting_agrees_with_the_library(text):
@@ -320,6 +336,26 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """Long payloads share their files with fewer others, and all come back, copies as revisits too."""
+    monkeypatch.setattr(warc, "SHORT", 1000)
+    sizes = [10] * 40 + [1000, 1001, 7000, 7000, 8001] + [60_000] * 3 + [70_000]
+    rows = [(i, f"http://a/{i}", ("ab"[i % 2] if n == 7000 else "c") * n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(df, str(tmp_path / "w"), records_per_file=16, compression="none")
+    files = [[len(x[2]) for x in warc.parse(f.read_bytes())] for f in (tmp_path / "w").glob("part-*")]
+    assert sum(map(len, files)) == len(rows)
+    for f in files:
+        assert len({sum(n > b for b in (1000, 8000, 64_000)) for n in f if n}) <= 1
+        assert len(f) <= (16 if max(f) <= 1000 else 2 if max(f) <= 8000 else 1) or not max(f)
+    archive = warc.read(spark, str(tmp_path / "w"))
+    full = warc.reconstruct(warc.headers(archive), warc.payloads(archive)).collect()
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in full) == sorted((i, t) for i, _, t in rows)
+    assert {r["page_id"] for r in full if r["record_type"] == "revisit"} == {45, 46}
+    with pytest.raises(AnalysisException):
+        warc.write(df, str(tmp_path / "w"))
+
+
 def test_fingerprints(docs, empty):
     data = sorted(table(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""), reverse=True)
     rows = fingerprints.compare_with_edits(docs).collect()
