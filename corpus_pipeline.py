@@ -47,12 +47,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: token ids, and a digest of what they decode to."""
+    """Byte-level BPE: token ids, and a digest of what they decode to. The rows come from files, in one order."""
     _small_batches(spark)
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, settled=True)
     return bpe.decode(encoded, ranks).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
