@@ -264,3 +264,28 @@ def test_own_losses_and_component_rates(spark):
     for sample in (objective.slices("id", 3), objective.draws("id", 0.5, 1)):
         w = objective.stochastic_gradient(sampled, sample, 4, lambda t: 1e-5)
         assert sampled.value_and_gradient(w)[0][0] < sampled.value_and_gradient(0 * w)[0][0]
+
+
+def test_blocks_of_distances_stay_small(monkeypatch):
+    """Whatever the number of references: tiles of TALL queries and WIDE references, results as by brute force."""
+    shapes = []
+
+    def seen(a, b, real=metric_join._rough):
+        shapes.append((len(a), len(b)))
+        return real(a, b)
+
+    monkeypatch.setattr(metric_join, "_rough", seen)
+    monkeypatch.setattr(pruned_join, "_rough", seen)
+    refs = np.round(np.random.default_rng(5).normal(size=(9000, 12)), 2)
+    refs[100:140] = refs[:1]  # more copies than a pool holds
+    ids, q = np.arange(len(refs)) * 3, refs[:300]
+    d = np.sqrt(((q[:, None, :] - refs[None, :, :]) ** 2).sum(axis=2))
+    want = [[(float(d[i, j]), int(ids[j])) for j in np.lexsort((ids, d[i])) if d[i, j] > 0][:4] for i in range(len(q))]
+    for row, r, dist in (metric_join.block_knn(q, refs, ids, 4, True, None), pruned_join.aborting_knn(q, refs, ids, 4, True, np.arange(12), 4)[:3]):
+        got = [[] for _ in q]
+        for i, j, x in zip(row.tolist(), r.tolist(), dist.tolist(), strict=True):
+            got[i].append((x, j))
+        assert got == want
+    pairs = sorted((int(a), int(b)) for i, j, _ in metric_join.block_range(q, refs, 2.0, True, None) for a, b in zip(i, j, strict=True))
+    assert pairs == sorted((int(a), int(b)) for a, b in zip(*np.nonzero(d <= 2.0), strict=True))
+    assert shapes and max(a for a, _ in shapes) <= 512 and max(b for _, b in shapes) <= 4096
