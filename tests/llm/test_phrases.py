@@ -182,3 +182,13 @@ def test_queries_give_digests_of_whole_tables(spark, docs, tmp_path):
     assert queries.op12_license_scan(spark, str(tmp_path)).count() == len(rows)
     texts = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
     assert sorted(tuple(r) for r in queries.op11_collocations(spark, str(tmp_path)).collect()) == brute(texts)
+
+
+def test_a_licence_text_that_every_file_has_is_found(spark):
+    from orrery.llm import license_scan
+
+    mit = next(t for t in license_scan.TEMPLATES if t.label == "mit")
+    rows = [(k, f"file {k} {mit.text} end") for k in range(60)]  # all of its words are in more than a twentieth of the files
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), exact=True).collect()
+    starts = [[m["start"] for m in r["matches"] if m["label"] == "mit"] for r in found]
+    assert len(starts) == 60 and all(s == [2] for s in starts)
