@@ -364,10 +364,16 @@ _WORD = "([a-z]+)"
 _BAG = f"t AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_WORD}', 1)) AS word FROM documents) GROUP BY ALL)"
 
 
+#: Bytes of text that a task of a word count gets.
+BAG_BYTES = 16 << 20
+
+
 @query("bag_of_words", f"WITH {_BAG} SELECT doc_id, word, n FROM t")
 def bag_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word counts of each document: its text shuffles once, so words and their counts never do."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    """Word counts of each document: its text shuffles once, so words and their counts never do; tasks grow in number, not in size."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BAG_BYTES + 1), "doc_id")
     words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD))).alias("word"))
     return words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 

@@ -192,3 +192,18 @@ def test_a_licence_text_that_every_file_has_is_found(spark):
     found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), exact=True).collect()
     starts = [[m["start"] for m in r["matches"] if m["label"] == "mit"] for r in found]
     assert len(starts) == 60 and all(s == [2] for s in starts)
+
+
+def test_word_counts_get_more_tasks_with_more_text(spark, tmp_path, monkeypatch):
+    from orrery.plans import model_queries
+
+    rows = [(k % 50, f"one two two {'w' * (k % 7 + 1)}") for k in range(100)] + [(None, "one"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(model_queries, "BAG_BYTES", 100)
+    bag = model_queries.bag_of_words(spark, str(tmp_path))
+    assert bag.rdd.getNumPartitions() > 10
+    want = {}
+    for doc, text in rows:
+        for w in (text or "").split():
+            want[doc, w] = want.get((doc, w), 0) + 1
+    assert {(r["doc_id"], r["word"]): r["n"] for r in bag.collect()} == want
