@@ -25,12 +25,13 @@ SALTS, HELD = 32, 10_000
 
 @dataclass(frozen=True)
 class Aggregate:
-    """``columns`` are those that ``map`` needs of a frame of rows."""
+    """``columns`` are those that ``map`` needs of a frame of rows; ``each`` gives the states of single rows, a line for each, at once."""
 
     columns: tuple[str, ...]
     map: Callable[[pd.DataFrame], State]
     merge: Callable[[State, State], State]
     inverse: Callable[[State, State], State] | None = None
+    each: Callable[[pd.DataFrame], np.ndarray] | None = None
 
 
 def _keyed(df: DataFrame, keys: list[str]) -> str:
@@ -131,7 +132,12 @@ def centred_moments(column: str) -> Aggregate:
         mean = whole[1] + (whole[1] - b[1]) * b[0] / n
         return np.array([n, mean, max(0.0, whole[2] - b[2] - (mean - b[1]) ** 2 * n * b[0] / whole[0])])
 
-    return Aggregate((column,), rows, merge, inverse)
+    def each(pdf: pd.DataFrame) -> np.ndarray:
+        x = pdf[column].to_numpy(float)
+        known = ~np.isnan(x)
+        return np.column_stack([known, np.where(known, x, 0.0), np.zeros(len(x))]).astype(float)
+
+    return Aggregate((column,), rows, merge, inverse, each=each)
 
 
 def largest(column: str, k: int) -> Aggregate:
@@ -152,7 +158,13 @@ def normal_equations(features: list[str], target: str) -> Aggregate:
         x = np.column_stack([np.ones(len(x)), x])[~np.isnan(x).any(axis=1)]
         return (x.T @ x).ravel()
 
-    return Aggregate((*features, target), rows, lambda a, b: a + b, lambda a, b: a - b)
+    def each(pdf: pd.DataFrame) -> np.ndarray:
+        x = pdf[[*features, target]].to_numpy(float)
+        x = np.column_stack([np.ones(len(x)), x])
+        x[np.isnan(x).any(axis=1)] = 0
+        return (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+
+    return Aggregate((*features, target), rows, lambda a, b: a + b, lambda a, b: a - b, each)
 
 
 def least_squares(state: State, ridge: float = 0.0) -> State:

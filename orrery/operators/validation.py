@@ -107,7 +107,17 @@ def cross_validate(df: DataFrame, id_col: str, folds: KFold | LeaveOneOut | Grou
     """
     columns = list(aggregate.columns)
     rows = grids.cut(folded(df.select(id_col, *(c for c in {*columns, *([folds.column] if isinstance(folds, Groups) else [])} if c != id_col)), id_col, folds))
-    by_fold = states(rows.withColumn("place", F.coalesce("fold", F.lit(-1)) + 1), aggregate, ["place"])
+    placed = rows.withColumn("place", F.coalesce("fold", F.lit(-1)) + 1)
+
+    def single(frames):
+        for pdf in frames:
+            if len(pdf):
+                yield pd.DataFrame({"place": pdf["place"], "state": list(aggregate.each(pdf))})
+
+    if isinstance(folds, LeaveOneOut) and aggregate.each:  # a fold is a row: nothing to group
+        by_fold = placed.select("place", *(c for c in columns if c != "place")).mapInPandas(single, "place long, state array<double>")
+    else:
+        by_fold = states(placed, aggregate, ["place"])
     models = others(by_fold, aggregate).select((F.col("place") - 1).alias("fold"), F.col("state").alias("_state"))
 
     def judged(frames):

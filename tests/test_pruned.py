@@ -289,3 +289,22 @@ def test_blocks_of_distances_stay_small(monkeypatch):
     pairs = sorted((int(a), int(b)) for i, j, _ in metric_join.block_range(q, refs, 2.0, True, None) for a, b in zip(i, j, strict=True))
     assert pairs == sorted((int(a), int(b)) for a, b in zip(*np.nonzero(d <= 2.0), strict=True))
     assert shapes and max(a for a, _ in shapes) <= 512 and max(b for _, b in shapes) <= 4096
+
+
+def test_rows_left_out_one_by_one_are_not_grouped(spark, monkeypatch):
+    rows = [(k, float(k % 7), None if k == 5 else 2.0 * (k % 7) + k % 3) for k in range(30)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    slow = [validation.Aggregate(a.columns, a.map, a.merge, a.inverse) for a in (mergeable.centred_moments("y"), mergeable.normal_equations(["x"], "y"))]
+    loss = validation.squared_error_of_mean("y")
+    want = {r["id"]: r["loss"] for r in validation.cross_validate(df, "id", validation.LeaveOneOut(), slow[0], loss).collect()}
+    for aggregate, old in zip((mergeable.centred_moments("y"), mergeable.normal_equations(["x"], "y")), slow, strict=True):
+        pdf = df.toPandas()
+        for k, state in enumerate(aggregate.each(pdf)):
+            assert np.allclose(state, old.map(pdf.iloc[k : k + 1]))
+
+    def refuse(*args):
+        raise AssertionError("grouped")
+
+    monkeypatch.setattr(validation, "states", refuse)
+    got = {r["id"]: r["loss"] for r in validation.cross_validate(df, "id", validation.LeaveOneOut(), mergeable.centred_moments("y"), loss).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
