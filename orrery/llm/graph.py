@@ -54,7 +54,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e, state = _cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(f"{a} <> {b}"))
     while state[0]:
         before = state
-        e, state = _cut(_small(_large(e, state[0]), state[0]))
+        e, state = _cut(_small(C.cut(_large(e, state[0])), state[0]))  # the small half reads the links three times
         if state == before:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).distinct()

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm import common as C
@@ -228,6 +228,16 @@ def _compare(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return asked.join(sides[1], "b").join(heads, ["a", "slice"]).mapInPandas(C.lean(_common), "a binary, b binary, common long, all long")
 
 
+def _one_head(links: DataFrame) -> DataFrame:
+    """Links (head a, member b) -> as few that connect the same: each member with its least head, and this head with the others.
+
+    A member has at most a head for each band, and equal links of two heads become one; so what a large group of copies hands
+    on is a link for each member and those between heads, not a link for each member and head.
+    """
+    least = F.min("a").over(Window.partitionBy("b"))
+    return links.withColumn("m", least).select(F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, row_key, n_shingles, component_id, first (it stays)."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), C.row_key(id_col, text_col).alias("row_key"))
@@ -259,7 +269,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     linked = f"100 * common >= {percent} * all"
     star = C.cut(_compare(bands.filter("a <> b"), full))
     links = star.filter(linked).select("a", "b")
-    label = graph.components(links)
+    label = graph.components(_one_head(links))
     # What was held against the same head and is not connected yet. Jaccard distance is a metric: two whose
     # distances to the head differ by more than the limit cannot be linked.
     placed = star.select(F.col("a").alias("head"), F.col("b").alias("cls"), (1 - F.col("common") / F.col("all")).alias("far"))

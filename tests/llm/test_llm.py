@@ -664,3 +664,21 @@ def test_cluster_has_to_name_a_checkpoint_folder():
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x:7077", getCheckpointDir=lambda: None))
     with pytest.raises(ValueError):
         common.prepare(cluster)
+
+
+def test_near_copies_hand_on_links_in_proportion_to_their_number(spark, monkeypatch):
+    """A crowd of near copies meets many heads: a link for each member goes on, not one for each member and head."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for k in range(160):
+        words = list(base)
+        for at in rng.choice(300, 6, replace=False):
+            words[at] = f"x{k}_{at}"
+        texts.append((k, " ".join(words)))
+    handed = []
+    whole = graph.components
+    monkeypatch.setattr(graph, "components", lambda links, *names: handed.append(links.count()) or whole(links, *names))
+    groups = near_dedup.near_groups(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), width=2).collect()
+    assert {r["component_id"] for r in groups} == {0} and len(groups) == 160
+    assert handed[0] < 4 * 160  # 1678 when every member was linked with each of its heads
