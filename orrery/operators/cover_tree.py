@@ -8,6 +8,7 @@ than its radius, and within the radius of their parent. What is left in a ball i
 
 All balls of a level are split by the same jobs: the nodes of a ball are chosen among its first BATCH uncovered points by
 hash order, in rounds until all are covered, and meet its points in blocks of bounded size (``grids.grid_join``).
+A ball that has become small (``_small``) is finished by one task: its whole subtree, by the same rules.
 Nothing but the root's vector and counts reach the driver.
 
 ``nodes``: (node, level, parent, parent_level, dist, weight); dist is that to the parent. A node that is its own parent's
@@ -36,6 +37,8 @@ from orrery.operators.metric_join import Metric, _exact, _matrix, _prepared, _to
 
 #: Uncovered points of a ball among which new nodes are chosen in a round.
 BATCH = 4096
+#: Points of a ball whose subtree one task builds or reads, and numbers in their vectors.
+LOCAL, LOCAL_ITEMS = 16384, 1 << 18
 
 #: rule(distances, turns, reach) -> keys: a point goes to the node of the smallest key; a key is infinite where it may not.
 Rule = Callable[[np.ndarray, np.ndarray, float], np.ndarray]
@@ -53,6 +56,7 @@ def first(d: np.ndarray, turns: np.ndarray, reach: float) -> np.ndarray:
 
 RULES: dict[str, Rule] = {"nearest": nearest, "first": first}
 _NODES = "node long, level int, parent long, parent_level int, dist double, weight int"
+_PART = ["id", "v", "node", "level", "parent", "parent_level", "dist", "weight"]
 
 
 @dataclass
@@ -139,6 +143,54 @@ def _split(rows: DataFrame, level: int, ratio: float, rule: Rule, metric: Metric
     return nodes, placed
 
 
+def _small(dim: int) -> int:
+    """The points of a ball that one task finishes."""
+    return max(2, min(LOCAL, LOCAL_ITEMS // max(1, dim)))
+
+
+def _subtree(ratio: float, leaf: int, rule: Rule, metric: Metric | None):
+    """A small ball -> its nodes (weight 0 or 1) and members (weight null), split as by ``_split``."""
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["turn", "id"], kind="stable")
+        ids, turns, v = pdf["id"].to_numpy(np.int64), pdf["turn"].to_numpy(np.int64), _matrix(pdf["v"])
+        nodes, ends = [], []
+        balls = [(int(pdf["node"].iloc[0]), int(pdf["level"].iloc[0]), np.arange(len(ids)), pdf["dist"].to_numpy(float))]
+        while balls:
+            node, level, at, dist = balls.pop()
+            far = dist.max()
+            if len(at) - 1 <= leaf or far <= 0:
+                ends.append((node, level, at, dist))
+                continue
+            below = level_below(far, ratio)
+            reach, own = ratio**below, v[at]
+            least, picked = np.where(dist <= reach, dist, np.inf), []
+            for k in range(len(at)):
+                if least[k] > reach:
+                    picked.append(k)
+                    least = np.minimum(least, _distances(own[k : k + 1], own, metric)[0])
+            key, to, d = rule(dist[:, None], np.array([-1e300]), reach)[:, 0], np.full(len(at), -1), dist.copy()
+            order = turns[at][picked].astype(float)
+            for lo in range(0, len(at) if picked else 0, 512):
+                apart = _distances(own[lo : lo + 512], own[picked], metric)
+                keys = rule(apart, order, reach)
+                best, rows = keys.argmin(axis=1), np.arange(len(apart))
+                new = keys[rows, best] < key[lo : lo + 512]
+                to[lo : lo + 512][new], d[lo : lo + 512][new] = best[new], apart[rows, best][new]
+            nodes.append((node, below, node, level, 0.0, 0))
+            nodes += [(int(ids[at[k]]), below, node, level, float(dist[k]), 1) for k in picked]
+            by = np.argsort(to, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(to[by])) + 1):
+                k = int(to[part[0]])
+                balls.append((node if k < 0 else int(ids[at[picked[k]]]), below, at[part], d[part]))
+        sizes, at = [len(end[2]) for end in ends], np.concatenate([end[2] for end in ends])
+        held = {c: np.repeat([end[k] for end in ends], sizes) for k, c in enumerate(("node", "level"))}
+        out = pd.DataFrame({"id": ids[at], "v": list(v[at]), **held, "dist": np.concatenate([end[3] for end in ends])})
+        return pd.concat([pd.DataFrame(nodes, columns=["node", "level", "parent", "parent_level", "dist", "weight"]).assign(v=None), out]).reindex(columns=_PART).astype({c: "Int64" for c in _PART if c not in ("v", "dist")})
+
+    return f
+
+
 def build(df: DataFrame, ratio: float = 1.3, leaf: int = 0, rule: str | Rule = "nearest", id_col: str = "vec_id", vec_col: str = "embedding", metric: Metric | None = None) -> Tree:
     """The tree of all points; balls with at most ``leaf`` points beside their own are not split."""
     spark, choose = df.sparkSession, RULES[rule] if isinstance(rule, str) else rule
@@ -157,12 +209,25 @@ def build(df: DataFrame, ratio: float = 1.3, leaf: int = 0, rule: str | Rule = "
     height = level_below(far, ratio) + 1 if far > 0 else 0
     members = members.withColumn("level", F.lit(height))
     nodes = spark.createDataFrame([(root["id"], height, None, None, 0.0, 1)], _NODES)
+    little, done = _small(top.shape[1]), []
     while True:
         groups = grids.cut(members.groupBy("node", "level").agg(F.count("*").alias("n"), F.max("dist").alias("far")))
         wide = groups.filter((F.col("n") - 1 > leaf) & (F.col("far") > 0))
-        most = wide.agg(F.max("far")).first()[0]
+        most, here = wide.agg(F.max("far"), F.count_if(F.col("n") <= little)).first()
+        if here:  # what is small is finished where it lies
+            finished = wide.filter(F.col("n") <= little).select("node", "level", F.lit(True).alias("ends"))
+            marked = grids.cut(grids.by_key(members, finished, ["node", "level"], "left"))
+            parts = marked.filter("ends").select("id", "v", "node", "level", "dist", F.xxhash64("id").alias("turn"))
+            parts = grids.cut(parts.groupBy("node", "level").applyInPandas(_subtree(ratio, leaf, choose, metric), f"id long, v array<double>, {_NODES}"))
+            nodes = grids.cut(nodes.unionByName(parts.filter("weight IS NOT NULL").drop("id", "v")))
+            done.append(parts.filter("weight IS NULL").select("id", "v", "node", "level", "dist"))
+            members = marked.filter("ends IS NULL").drop("ends")
+            wide = wide.filter(F.col("n") > little)
+            most = wide.agg(F.max("far")).first()[0]
         if most is None:
-            return Tree(nodes, members, ratio, metric)
+            for part in done:
+                members = members.unionByName(part)
+            return Tree(nodes, grids.cut(members), ratio, metric)
         level = level_below(most, ratio)
         split = wide.filter(F.col("far") > ratio**level).select("node", "level", F.lit(True).alias("open"))
         marked = grids.cut(grids.by_key(members, split, ["node", "level"], "left"))
@@ -174,17 +239,19 @@ def build(df: DataFrame, ratio: float = 1.3, leaf: int = 0, rule: str | Rule = "
 
 
 def descendants(tree: Tree) -> DataFrame:
-    """(node, level, id, depth): every point below each node at any depth, the node's own point left out.
+    """(node, level, id, depth): every point below each node at any depth, the node's own point left out."""
+    return _under(tree).filter("id <> node")
 
-    One join for each level of the tree, from the leaf arrays up.
-    """
+
+def _under(tree: Tree) -> DataFrame:
+    """(node, level, id, depth): every point below each node and its own: one join for each level of the tree, from the leaf arrays up."""
     parents = tree.nodes.filter("parent IS NOT NULL").select("node", "level", "parent", "parent_level")
     here = tree.members.select("node", "level", "id")
     out, depth = here.withColumn("depth", F.lit(1)), 1
     while True:
         here = grids.cut(here.join(parents, ["node", "level"]).select(F.col("parent").alias("node"), F.col("parent_level").alias("level"), "id"))
         if here.isEmpty():
-            return out.filter("id <> node")
+            return out
         depth += 1
         out = out.unionByName(here.withColumn("depth", F.lit(depth)))
 
@@ -366,17 +433,31 @@ def adopted(tree: Tree) -> tuple[Tree, int]:
 def knn(tree: Tree, queries: DataFrame, k: int = 1, id_col: str = "vec_id", vec_col: str = "embedding", exclude_zero: bool = True, epsilon: float = 1.0) -> DataFrame:
     """(q, rank, r, dist): the k nearest points of the tree, or ones at most ``epsilon`` times as far.
 
-    Queries go down to one leaf array, which bounds their answers, and then again from the top into all balls that may hold a
-    nearer point: those whose centre is not farther than the bound over epsilon and their radius together. Leaf arrays
-    are read as blocks.
+    Queries go down to the nearest balls, whose nearest children bound their answers, and then again from the top into all balls that
+    may hold a nearer point: those whose centre is not farther than the bound over epsilon and their radius together. Only balls
+    of more than ``_small`` points are gone into by joins; what is below their other children meets the queries in blocks,
+    where children that are too far are left out.
     """
     if k < 1 or epsilon < 1:
         raise ValueError("k and epsilon must be at least 1")
     metric = tree.metric
     q = _prepared(queries, id_col, vec_col).withColumnsRenamed({"id": "q", "v": "x"})
-    kids = grids.cut(_with_vectors(tree, tree.nodes.join(radii(tree).drop("n"), ["node", "level"]), "node", "w"))
-    children = kids.filter("parent IS NOT NULL").select(F.col("node").alias("child"), F.col("level").alias("child_level"), F.col("parent").alias("node"), F.col("parent_level").alias("level"), "w", "radius")
+    dim = tree.members.agg(F.max(F.size("v"))).first()[0] or 1
     start = tree.nodes.filter("parent IS NULL").select("node", "level")
+    kids = tree.nodes.filter("parent IS NOT NULL").select("node", "level", "parent", "parent_level")
+    under = grids.cut(_under(tree))
+    big = under.groupBy("node", "level").agg(F.count("*").alias("n")).filter(F.col("n") > _small(dim)).select("node", "level")
+    big = grids.cut(big.union(start).distinct())
+    below = _with_vectors(tree, _with_vectors(tree, under.join(big, ["node", "level"]), "id", "v"), "node", "w")
+    radius = below.withColumn("d", _apart(tree, "v", "w")).groupBy("node", "level").agg(F.max("d").alias("radius"))
+    children = _with_vectors(tree, kids.join(radius, ["node", "level"]), "node", "w")
+    children = grids.cut(children.select(F.col("node").alias("child"), F.col("level").alias("child_level"), F.col("parent").alias("node"), F.col("parent_level").alias("level"), "w", "radius"))
+    # every point once: with the lowest big node above it, and that node's child; own leaf arrays of big nodes are dealt by point
+    parents = big.select(F.col("node").alias("parent"), F.col("level").alias("parent_level"))
+    fringe = kids.join(parents, ["parent", "parent_level"]).join(big, ["node", "level"], "left_anti")
+    held = under.join(fringe, ["node", "level"]).select("id", F.col("node").alias("child"), F.col("node").alias("deal"), F.col("parent").alias("node"), F.col("parent_level").alias("level"))
+    own = tree.members.join(big, ["node", "level"]).select("id", F.col("node").alias("child"), F.col("id").alias("deal"), "node", "level")
+    blocks = grids.cut(_with_vectors(tree, held.unionByName(own), "id", "v").withColumnRenamed("id", "r"))
     schema = "q long, x array<double>, bound double, node long, level int, d double"
 
     def work(only_nearest: bool):
@@ -413,20 +494,47 @@ def knn(tree: Tree, queries: DataFrame, k: int = 1, id_col: str = "vec_id", vec_
             out = out.unionByName(more)
         return out
 
-    blocks = tree.members.select(F.col("id").alias("r"), "v", "node", "level")
+    def read(only_nearest: bool):
+        def f(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"q": [], "r": [], "dist": []})
+            b = b.sort_values(["child", "r"])
+            x, v, ids, child = _matrix(a["x"]), _matrix(b["v"]), b["r"].to_numpy(np.int64), b["child"].to_numpy(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], child[1:] != child[:-1]]))
+            sizes, ends = np.diff(np.append(starts, len(b))), np.append(starts[1:], len(b))
+            of, centre = np.repeat(np.arange(len(starts)), sizes), starts.copy()
+            centre[of[ids == child]] = np.flatnonzero(ids == child)
+            away = np.concatenate([metric(v[c : c + 1], v[lo:hi])[0] for c, lo, hi in zip(centre, starts, ends, strict=True)]) if metric else _exact(v, v[centre[of]])
+            wide, bound, out = np.maximum.reduceat(away, starts), a["bound"].to_numpy(float), []
+            for lo in range(0, len(x), 512):
+                part = x[lo : lo + 512]
+                d = _distances(part, v[centre], metric)
+                if only_nearest:
+                    order = np.argsort(d, axis=1, kind="stable")
+                    ask = np.zeros(d.shape, bool)
+                    np.put_along_axis(ask, order, np.cumsum(sizes[order], axis=1) - sizes[order] <= 2 * k, 1)
+                else:
+                    ask = d - wide[None, :] <= bound[lo : lo + 512, None] / epsilon * (1 + 1e-12)
+                if (ask @ sizes).sum() > 0.1 * len(part) * len(v):  # little is left out: all at once
+                    jobs = [(np.arange(len(part)), 0, len(v))]
+                else:
+                    jobs = [(np.flatnonzero(ask[:, g]), starts[g], ends[g]) for g in np.flatnonzero(ask.any(axis=0))]
+                for rows, first, last in jobs:
+                    row, r, dist = block_knn(part[rows], v[first:last], ids[first:last], k, exclude_zero, metric)
+                    out.append((a["q"].to_numpy()[lo + rows[row]], r, dist))
+            if not out:
+                return pd.DataFrame({"q": [], "r": [], "dist": []})
+            near = pd.DataFrame(dict(zip(("q", "r", "dist"), map(np.concatenate, zip(*out, strict=True)), strict=True))).sort_values(["q", "dist", "r"])
+            return near[near.groupby("q").cumcount() < k]
 
-    def read(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"q": [], "r": [], "dist": []})
-        row, r, d = block_knn(_matrix(a["x"]), _matrix(b["v"]), b["r"].to_numpy(np.int64), k, exclude_zero, metric)
-        return pd.DataFrame({"q": a["q"].to_numpy()[row], "r": r, "dist": d})
+        return f
 
-    def found(routed: DataFrame) -> DataFrame:
-        return grids.grid_join(routed, blocks, ["node", "level"], "q", "r", read, "q long, r long, dist double")
+    def found(routed: DataFrame, only_nearest: bool) -> DataFrame:
+        return grids.grid_join(routed, blocks, ["node", "level"], "q", "deal", read(only_nearest), "q long, r long, dist double")
 
     asked = q.withColumn("bound", F.lit(float("inf")))
-    first = grids.cut(_top(found(descend(asked, True)), k))
+    first = grids.cut(_top(found(descend(asked, True), True), k))
     bound = first.filter(F.col("rank") == k).select("q", F.col("dist").alias("bound"))
     bounded = grids.cut(q.join(bound, "q", "left").fillna(float("inf"), ["bound"]))
     # the leaf arrays on the first way may be left out on the second one
-    return _top(first.drop("rank").unionByName(found(descend(bounded, False))).groupBy("q", "r").agg(F.min("dist").alias("dist")), k)
+    return _top(first.drop("rank").unionByName(found(descend(bounded, False), False)).groupBy("q", "r").agg(F.min("dist").alias("dist")), k)

@@ -308,3 +308,19 @@ def test_rows_left_out_one_by_one_are_not_grouped(spark, monkeypatch):
     monkeypatch.setattr(validation, "states", refuse)
     got = {r["id"]: r["loss"] for r in validation.cross_validate(df, "id", validation.LeaveOneOut(), mergeable.centred_moments("y"), loss).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_small_balls_end_in_one_task_as_they_would_level_by_level(spark, monkeypatch):
+    df = frame(spark)
+    want = sorted((r["q"], r["rank"], r["r"]) for r in metric_join.knn(df, k=2).collect())
+    trees = []
+    for points in (8, 1000):
+        monkeypatch.setattr(cover_tree, "_small", lambda dim, points=points: points)
+        splits = []
+        whole = cover_tree._split
+        with monkeypatch.context() as m:
+            m.setattr(cover_tree, "_split", lambda *a: splits.append(1) or whole(*a))
+            built = cover_tree.build(df, ratio=3.0, leaf=2)
+        trees.append((sorted(map(str, built.nodes.collect())), sorted((r["id"], r["node"], r["level"], r["dist"]) for r in built.members.collect())))
+        assert sorted((r["q"], r["rank"], r["r"]) for r in cover_tree.knn(built, df, 2).collect()) == want
+    assert trees[0] == trees[1] and not splits
