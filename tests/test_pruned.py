@@ -324,3 +324,18 @@ def test_small_balls_end_in_one_task_as_they_would_level_by_level(spark, monkeyp
         trees.append((sorted(map(str, built.nodes.collect())), sorted((r["id"], r["node"], r["level"], r["dist"]) for r in built.members.collect())))
         assert sorted((r["q"], r["rank"], r["r"]) for r in cover_tree.knn(built, df, 2).collect()) == want
     assert trees[0] == trees[1] and not splits
+
+
+def test_blocks_meet_when_their_partitions_are_many(spark):
+    """The grid numbers of both sides have one type, so equal ones have one hash."""
+    rows = spark.range(60).selectExpr("id", "id AS other", "0 AS g")
+
+    def pairs(a, b):
+        return a[["id"]].merge(b[["other"]], how="cross")
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        met = grids.grid_join(rows.select("id", "g"), rows.select("other", "g"), ["g"], "id", "other", pairs, "id long, other long", chunk=16)
+        assert met.distinct().count() == 3600
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
