@@ -308,3 +308,14 @@ def test_vector_densities_and_projection(spark):
     values, axes = np.linalg.eigh(np.array(m[0]))
     assert np.allclose(out[0], (axes * np.maximum(values, 0)) @ axes.T) and np.linalg.eigvalsh(np.array(out[0])).min() > -1e-9
     assert out[1:] == [[[4.0]], None, None]
+
+
+def test_blocks_of_a_range_search_do_not_repeat_references_for_few_queries(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(metric_join, "CHUNK", 64)
+    sent, blocks = [], metric_join._Blocks.blocks
+    monkeypatch.setattr(metric_join._Blocks, "blocks", lambda self, routed: sent.append(blocks(self, routed)) or sent[0])
+    points = np.random.default_rng(2).normal(size=(256, 2)).tolist()
+    got = sorted((r["q"], r["r"]) for r in metric_join.within(frame(spark, points), None, 9.0, closed=True).collect())
+    assert got == sorted((i, j) for i, p in enumerate(points) for j, q in enumerate(points) if math.dist(p, q) <= 9.0)
+    assert sent[0].filter("not asks").count() <= 4 * 256  # once for each 64 queries
