@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,13 @@ def huber(width: float = 1.0) -> Loss:
 LOSSES: dict[str, Loss] = {"logistic": logistic, "squared": squared, "hinge": hinge}
 
 
+def _vectors(x: pa.Array) -> np.ndarray:
+    """Rows of one length as a matrix, without an object for each row; a null component is no number."""
+    if x.null_count or len(set(pc.unique(pc.list_value_length(x)).to_pylist())) > 1:
+        raise ValueError("vectors must not be null, and of one length")
+    return x.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(x), -1)
+
+
 @dataclass
 class RowObjective:
     """Sum over rows of loss(w.x, sign) + ridge / 2 |w|^2, for several one-vs-rest problems side by side.
@@ -67,15 +75,16 @@ class RowObjective:
         """The sum over all rows of arrays of shape (classes, width), added up in the JVM by cell."""
         self.jobs += 1
 
-        def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = 0
-            for pdf in frames:
-                if len(pdf):
-                    total = total + work(np.array(pdf["x"].tolist(), dtype=np.float64), pdf["y"].to_numpy())
+            for batch in batches:
+                if len(batch):
+                    total = total + work(_vectors(batch.column("x")), batch.column("y").to_pandas().to_numpy())
             if not np.isscalar(total):
-                yield pd.DataFrame({"cell": np.arange(total.size), "value": total.ravel()})
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["cell", "value"])
 
-        found = self.rows.mapInPandas(f, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
+        rows = self.rows.select(F.col("x").cast("array<double>").alias("x"), "y")
+        found = rows.mapInArrow(f, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
         out = np.zeros(len(self.classes) * width)
         for r in found:
             out[r["cell"]] = r["value"]

@@ -319,3 +319,13 @@ def test_blocks_of_a_range_search_do_not_repeat_references_for_few_queries(spark
     got = sorted((r["q"], r["r"]) for r in metric_join.within(frame(spark, points), None, 9.0, closed=True).collect())
     assert got == sorted((i, j) for i, p in enumerate(points) for j, q in enumerate(points) if math.dist(p, q) <= 9.0)
     assert sent[0].filter("not asks").count() <= 4 * 256  # once for each 64 queries
+
+
+def test_vectors_of_an_objective_come_as_one_matrix():
+    import pyarrow as pa
+
+    whole = pa.array([[9.0, 9.0], [1.0, 2.0], [3.0, None]]).slice(1)
+    assert np.array_equal(objective._vectors(whole), [[1.0, 2.0], [3.0, np.nan]], equal_nan=True)
+    for wrong in ([[1.0], [1.0, 2.0, 3.0]], [[1.0], None]):
+        with pytest.raises(ValueError):
+            objective._vectors(pa.array(wrong))
