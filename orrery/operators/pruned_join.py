@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators import grids
-from orrery.operators.metric_join import PAIRS, PIVOTS, TALL, WIDE, Metric, _Blocks, _exact, _matrix, _prepared, _rough, _spread, _top, block_knn
+from orrery.operators.metric_join import PAIRS, PIVOTS, TALL, WIDE, Metric, _Blocks, _exact, _matrix, _prepared, _rough, _routed, _spread, _tiles, _top, block_knn
 
 #: Share of a tile's pairs above which components are read for all of them at once.
 DENSE = 1 / 4
@@ -101,8 +101,8 @@ def knn(queries: DataFrame, refs: DataFrame | None = None, k: int = 1, epsilon:
 
         def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = block.value
-            for pdf in frames:
-                if not len(pdf) or not len(held.ids):
+            for pdf in _tiles(frames):
+                if not len(held.ids):
                     continue
                 v, rows = _matrix(pdf["v"]), []
                 least = block_distances(v, held.pivots, metric) - held.radius[None, :]
@@ -136,7 +136,7 @@ def knn(queries: DataFrame, refs: DataFrame | None = None, k: int = 1, epsilon:
 
     found_schema = "q long, r long, dist double, computed long"
     asked = q.select(F.col("id").alias("q"), "v", F.lit(float("inf")).alias("bound"))
-    first = b.meet(b.route(asked, own=True), work, found_schema)
+    first = b.meet(b.route(asked, own=True), work, found_schema, own=True)
     bound = _top(first.filter("computed < 0"), k).filter(F.col("rank") == k).select("q", (F.col("dist") / epsilon).alias("bound"))
     bounded = asked.drop("bound").join(bound, "q", "left").fillna(float("inf"), ["bound"])
     every = first.unionByName(b.meet(b.route(bounded, own=False, again=False), work, found_schema))
@@ -188,16 +188,13 @@ def _sums(q: DataFrame, b: _Blocks, width: int, decide: Decide, amounts: Callabl
         return decide(np.maximum(d - radius[None, :], 0), d + radius[None, :], n)
 
     def given(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if len(pdf):
-                decided, amount = bounds(pdf)
-                yield pd.DataFrame({"q": pdf["q"], "total": list(np.where(decided[:, :, None], amount, 0).sum(axis=1)), "computed": len(pivots)})
+        for pdf in _tiles(frames):
+            decided, amount = bounds(pdf)
+            yield pd.DataFrame({"q": pdf["q"], "total": list(np.where(decided[:, :, None], amount, 0).sum(axis=1)), "computed": len(pivots)})
 
     def open_(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if len(pdf):
-                i, bucket = np.nonzero(~bounds(pdf)[0] & (n > 0)[None, :])
-                yield pdf.iloc[i].assign(bucket=bucket, bound=0.0)
+        for pdf in _tiles(frames):
+            yield from _routed(pdf, ~bounds(pdf)[0] & (n > 0)[None, :], bound=0.0)
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -382,7 +379,7 @@ def bounded_knn(queries: DataFrame, refs: DataFrame | None = None, k: int = 1, s
 
     found_schema = "q long, r long, dist double, components long"
     asked = q.select(F.col("id").alias("q"), "v", F.lit(float("inf")).alias("bound"))
-    first = grids.cut(b.meet(b.route(asked, own=True), meet, found_schema))
+    first = grids.cut(b.meet(b.route(asked, own=True), meet, found_schema, own=True))
     bound = _top(first.filter("components < 0"), k).filter(F.col("rank") == k).select("q", F.col("dist").alias("bound"))
     bounded = asked.drop("bound").join(bound, "q", "left").fillna(float("inf"), ["bound"])
     every = first.unionByName(b.meet(b.route(bounded, own=False, again=False), meet, found_schema))

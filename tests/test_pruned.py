@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,3 +340,41 @@ def test_blocks_meet_when_their_partitions_are_many(spark):
         assert met.distinct().count() == 3600
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+class Tasks:
+    """In place of a DataFrame: gives the function that tasks would run."""
+
+    def mapInPandas(self, f, schema):
+        return f
+
+
+def test_queries_that_go_to_every_bucket_do_so_in_frames_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(metric_join, "CHUNK", 4)
+    monkeypatch.setattr(metric_join, "ROUTED", 32, raising=False)
+    refs = metric_join._prepared(frame(spark), "vec_id", "embedding")
+    b = metric_join._Blocks(refs, refs, None)
+    b.pivoted()
+    buckets = int((b.chunks > 0).sum())
+    asked = pd.DataFrame({"q": range(len(CLOUD)), "v": list(CLOUD), "bound": np.inf})
+    routed = list(b.route(Tasks(), own=False)(iter([asked])))
+    assert buckets > 10 and max(map(len, routed)) <= 32
+    whole = pd.concat(routed)
+    assert len(whole) == len(whole[["q", "bucket"]].drop_duplicates()) == buckets * len(CLOUD)
+    assert all((CLOUD[q] == v).all() for q, v in zip(whole["q"], whole["v"], strict=True))
+
+
+def test_references_travel_once_to_queries_of_their_own_bucket(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(metric_join, "CHUNK", 16)
+    taken, dealt = [], metric_join._Blocks._dealt
+
+    def counted(self, *args):
+        left, held = dealt(self, *args)
+        taken.append((left.select("q").distinct().count(), held.count()))
+        return left, held
+
+    monkeypatch.setattr(metric_join._Blocks, "_dealt", counted)
+    assert metric_join.knn(frame(spark), k=2).count() == 2 * len(CLOUD)
+    assert taken[0][0] == len(CLOUD) and taken[0][1] <= 3 * len(CLOUD)
