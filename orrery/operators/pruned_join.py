@@ -115,7 +115,9 @@ def knn(queries: DataFrame, refs: DataFrame | None = None, k: int = 1, epsilon:
                         at = held.held(bucket)
                         d = metric(v[i : i + 1], held.vectors[at])[0] if metric else _exact(v[i], held.vectors[at])
                         computed += len(d)
-                        keep = d > 0 if exclude_zero else np.ones(len(d), bool)
+                        keep = ~(d > bound) & (d > 0) if exclude_zero else ~(d > bound)
+                        if not keep.any():
+                            continue
                         ids, dists = np.concatenate([ids, held.ids[at][keep]]), np.concatenate([dists, d[keep]])
                         best = np.lexsort((ids, dists))[:k]
                         ids, dists = ids[best], dists[best]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
-from orrery.operators import cover_tree, metric_join, pruned_join
+from orrery.operators import cover_tree, grids, metric_join, pruned_join
 from orrery.plans.registry import query
 
 PAIRS = """
@@ -179,9 +179,9 @@ def three(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours at most 1.5 times as far as the nearest, which stands beside, with less than half of all distances computed."""
     v = three(spark, sf_dir)
-    found = pruned_join.knn(v, epsilon=1.5).select("q", "dist", "computed")
+    found = grids.cut(pruned_join.knn(v, epsilon=1.5).select("q", "dist", "computed"))
     mean = found.agg(F.avg("computed").alias("mean"))  # one row
-    exact = metric_join.knn(v).select("q", F.col("dist").alias("exact"))
+    exact = pruned_join.knn(v).select("q", F.col("dist").alias("exact"))
     within = F.col("dist") <= 1.5 * F.col("exact") * (1 + 1e-12)
     both = found.join(exact, "q").join(F.broadcast(mean), how="cross")
     return both.select("q", F.round("exact", 6).alias("nearest"), within.alias("within"), (F.col("mean") < v.count() / 2).alias("saved"))

@@ -378,3 +378,16 @@ def test_references_travel_once_to_queries_of_their_own_bucket(spark, monkeypatc
     monkeypatch.setattr(metric_join._Blocks, "_dealt", counted)
     assert metric_join.knn(frame(spark), k=2).count() == 2 * len(CLOUD)
     assert taken[0][0] == len(CLOUD) and taken[0][1] <= 3 * len(CLOUD)
+
+
+def test_approximate_neighbours_hold_distances_to_pivots_of_few_queries_at_once(spark, monkeypatch):
+    tall, distances = [], pruned_join.block_distances
+    near = None
+    with monkeypatch.context() as m:
+        m.setattr(pruned_join, "_spread", lambda q, n: Tasks())
+        near = pruned_join.knn(frame(spark), k=2)
+    monkeypatch.setattr(pruned_join, "block_distances", lambda a, *rest: tall.append(len(a)) or distances(a, *rest))
+    asked = pd.DataFrame({"id": range(5000), "v": [CLOUD[i % len(CLOUD)] for i in range(5000)]})
+    found = pd.concat(near(iter([asked])))
+    assert len(found) == 2 * 5000 and max(tall) <= metric_join.WIDE
+    assert all(r in [j for j, _ in nearest(q % len(CLOUD), 2)] for q, r in zip(found["q"], found["r"], strict=True))
