@@ -391,3 +391,27 @@ def test_approximate_neighbours_hold_distances_to_pivots_of_few_queries_at_once(
     found = pd.concat(near(iter([asked])))
     assert len(found) == 2 * 5000 and max(tall) <= metric_join.WIDE
     assert all(r in [j for j, _ in nearest(q % len(CLOUD), 2)] for q, r in zip(found["q"], found["r"], strict=True))
+
+
+def test_blocks_of_a_range_search_meet_without_a_shuffle(spark, monkeypatch):
+    """Each point is packed once; the pairs of blocks are read from files, so what is moved does not grow with their number."""
+    monkeypatch.setattr(metric_join, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(metric_join, "CHUNK", 8)
+    odd = np.concatenate([CLOUD, [[np.nan, 0.0]]])  # what is no number takes no other point's pairs away
+    found = metric_join.within(frame(spark, odd), None, 1.0, closed=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert sorted((r["q"], r["r"]) for r in found.collect()) == sorted(map(tuple, np.argwhere(DIST <= 1.0).tolist()))
+    monkeypatch.setattr(metric_join, "BROADCAST_BYTES", 64 << 20)
+    assert sorted((r["q"], r["r"]) for r in metric_join.within(frame(spark, odd), None, 1.0, closed=True).collect()) == sorted(map(tuple, np.argwhere(DIST <= 1.0).tolist()))
+
+
+def test_pairs_screened_in_single_precision_are_all_there():
+    rng = np.random.default_rng(8)
+    for shift, size in ((0.0, 1.0), (300.0, 1.0), (0.0, 1e-9), (0.0, 1e22)):
+        v = (rng.normal(size=(500, 6)) + shift) * size
+        v[3], v[4] = v[5], v[5] + size * 1e-6
+        d = np.sqrt(((v[:, None, :] - v[None, :, :]) ** 2).sum(axis=2))
+        for radius in (0.0, float(d[7, 9]), 1.5 * size, np.inf):
+            found = [(i, j, x) for i, j, x in metric_join.block_range(v, v, radius, True, None)]
+            assert sorted((int(a), int(b)) for i, j, _ in found for a, b in zip(i, j, strict=True)) == sorted(map(tuple, np.argwhere(d <= radius).tolist()))
