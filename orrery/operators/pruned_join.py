@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators import grids
-from orrery.operators.metric_join import PAIRS, PIVOTS, TALL, WIDE, Metric, _Blocks, _exact, _matrix, _prepared, _rough, _routed, _spread, _tiles, _top, block_knn
+from orrery.operators.metric_join import PAIRS, PIVOTS, TALL, WIDE, Block, Metric, Tile, _Blocks, _exact, _matrix, _prepared, _rough, _routed, _spread, _tiles, _top, block_knn
 
-#: Share of a tile's pairs above which components are read for all of them at once.
-DENSE = 1 / 4
+#: Share of a tile's pairs above which more components are read for all of them at once; and that of a tile that is not full.
+SPARSE, DENSE = 1 / 64, 1 / 4
 
 
 def block_distances(a: np.ndarray, b: np.ndarray, metric: Metric | None, edge: float | None = None) -> np.ndarray:
@@ -281,72 +281,89 @@ def density(queries: DataFrame, refs: DataFrame | None = None, bandwidth: float
     return _sums(q, b, 1, decide, amounts).select("q", F.col("total")[0].alias("density"), "computed")
 
 
-def aborting_knn(q: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int, exclude_zero: bool, order: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, reference id, distance) of the k nearest, and the components that each query read.
+class _Aborting:
+    """The k nearest of queries among references that come block after block, most distances broken off.
 
-    Some references are measured whole, which bounds the answer; the k best so far bound it closer from tile to tile. All
-    others are measured ``step`` components at a time in the given order, and a pair ends once its partial sum passes the
-    bound and few others of its tile are left.
+    Where no bounds are given, some references of the first block are measured whole, which bounds the answer; the k best so far bound
+    it closer from tile to tile. Of all others the first components, in the given order, are read for a whole tile at once, as
+    many as rule out most of it; then ``step`` at a time for what is left, and a pair ends once its sum passes the bound. ``work``
+    counts the components that each query read.
     """
-    width = q.shape[1]
-    q, r = q[:, order], r[:, order]
-    sample = np.unique(np.linspace(0, len(r) - 1, min(len(r), max(k + 1, min(len(r) // 4, 4 * k + 28)))).astype(int))
-    rows, ids, dists, work = [], [], [], np.full(len(q), len(sample) * width, np.int64)
-    for lo in range(0, len(q), TALL):
-        part = q[lo : lo + TALL]
-        n = len(part)
-        first = np.sort(np.stack([_exact(x, r[sample]) for x in part]), axis=1)
-        bounds = np.full(n, np.inf)
-        for i in range(n):
-            some = first[i][first[i] > 0] if exclude_zero else first[i]
-            if len(some) >= k:
-                bounds[i] = some[k - 1]
-        # the k best so far of each query: (row, id, distance), by distance and id
-        held_row, held_id, held_d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def __init__(self, q: np.ndarray, k: int, exclude_zero: bool, order: np.ndarray, step: int, bounds: np.ndarray | None = None):
+        self.q, self.k, self.exclude_zero, self.order, self.step, self.depth = q[:, order], k, exclude_zero, order, step, step
+        self.bounds = np.full(len(q), np.inf) if bounds is None else bounds.copy()
+        self.work = np.zeros(len(q), np.int64)
+        # the k best so far of each part's queries: (row, id, distance), by distance and id
+        self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for _ in range(0, len(q), TALL)]
+
+    def meet(self, r: np.ndarray, r_ids: np.ndarray) -> None:
+        k, width, r = self.k, self.q.shape[1], r[:, self.order]
+        some = np.unique(np.linspace(0, len(r) - 1, min(len(r), max(k + 1, min(len(r) // 4, max(4 * k + 28, min(len(r) // 16, WIDE)))))).astype(int))
+        sample = r[some]
+        for lo in range(0, len(self.q), TALL):
+            bounds = self.bounds[lo : lo + TALL]
+            asks = np.flatnonzero(np.isinf(bounds))
+            if len(asks) and len(some):
+                row, _, d = block_knn(self.q[lo + asks], sample, some, k, self.exclude_zero, None)
+                last = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
+                bounds[asks[row[last]]] = d[last]
+                self.work[lo + asks] += len(some) * width
         for start in range(0, len(r), WIDE):
-            tile = r[start : start + WIDE]
-            most = (bounds * (1 + 1e-9)) ** 2
-            i, j = _alive(part, tile, most, step, work[lo : lo + TALL])
-            d = np.concatenate([_exact(part[i[at : at + PAIRS]], tile[j[at : at + PAIRS]]) for at in range(0, len(i), PAIRS)]) if len(i) else np.zeros(0)
-            use = (d > 0 if exclude_zero else np.ones(len(d), bool)) & (d <= bounds[i] * (1 + 1e-9))
-            if not use.any():
-                continue
-            held_row, held_id, held_d = np.concatenate([held_row, i[use]]), np.concatenate([held_id, r_ids[start + j[use]]]), np.concatenate([held_d, d[use]])
-            by = np.lexsort((held_id, held_d, held_row))
-            rank = np.arange(len(by)) - np.searchsorted(held_row[by], held_row[by])
-            last = by[rank == k - 1]
-            bounds[held_row[last]] = np.minimum(bounds[held_row[last]], held_d[last])
-            held_row, held_id, held_d = (x[by[rank < k]] for x in (held_row, held_id, held_d))
-        rows.append(lo + held_row)
-        ids.append(held_id)
-        dists.append(held_d)
-    return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(dists) if dists else np.zeros(0), work
-
-
-def _alive(part: np.ndarray, tile: np.ndarray, most: np.ndarray, step: int, work: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, place) of the pairs whose sums of squares do not pass ``most``, with what was read added to ``work``.
-
-    While many pairs are left, ``step`` components are read for all of them in one product; then only for those that are left.
-    """
-    width, error, lo = part.shape[1], 0.0, 0
-    partial = np.zeros((len(part), len(tile)))
-    while lo < width:
-        some, e = _rough(part[:, lo : lo + step], tile[:, lo : lo + step])
-        partial += some
-        error += e
-        work += len(tile) * min(step, width - lo)
-        lo += step
-        left = partial <= most[:, None] + 2 * error
-        if np.count_nonzero(left) <= DENSE * left.size:
-            break
-    i, j = np.nonzero(left) if width else (np.repeat(np.arange(len(part)), len(tile)), np.tile(np.arange(len(tile)), len(part)))
-    sums = partial[i, j]
-    for at in range(lo, width, step):
-        work += np.bincount(i, minlength=len(part)) * min(step, width - at)
-        sums = sums + np.concatenate([((part[i[c : c + PAIRS], at : at + step] - tile[j[c : c + PAIRS], at : at + step]) ** 2).sum(axis=1) for c in range(0, max(1, len(i)), PAIRS)])
-        keep = sums <= most[i] + 2 * error
-        i, j, sums = i[keep], j[keep], sums[keep]
-    return i, j
+            tile = Tile(r[start : start + WIDE])
+            for p, lo in enumerate(range(0, len(self.q), TALL)):
+                part, bounds = self.q[lo : lo + TALL], self.bounds[lo : lo + TALL]
+                i, j = self._alive(part, tile, (bounds * (1 + 1e-9)) ** 2, self.work[lo : lo + TALL])
+                d = np.concatenate([_exact(part[i[at : at + PAIRS]], tile.v[j[at : at + PAIRS]]) for at in range(0, len(i), PAIRS)]) if len(i) else np.zeros(0)
+                use = (d > 0 if self.exclude_zero else np.ones(len(d), bool)) & (d <= bounds[i] * (1 + 1e-9))
+                if not use.any():
+                    continue
+                row, ids, dists = (np.concatenate(x) for x in zip(self.held[p], (i[use], r_ids[start + j[use]], d[use]), strict=True))
+                by = np.lexsort((ids, dists, row))
+                rank = np.arange(len(by)) - np.searchsorted(row[by], row[by])
+                last = by[rank == k - 1]
+                bounds[row[last]] = np.minimum(bounds[row[last]], dists[last])
+                self.held[p] = tuple(x[by[rank < k]] for x in (row, ids, dists))
+
+    def _alive(self, part: np.ndarray, tile: Tile, most: np.ndarray, work: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of the pairs whose sums of squares do not pass ``most``, with what was read added to ``work``."""
+        width, step = part.shape[1], self.step
+        few, lo = Tile(tile.v[:: max(1, len(tile.v) // 128)]), min(width, max(step, self.depth - 2 * step))
+        while lo < width:  # a sixteenth of the tile tells how many components are worth a product
+            share = len(few.near(part, most, lo)[0]) / max(1, len(part) * len(few.v))
+            if share <= (DENSE if len(tile.v) < WIDE else SPARSE):
+                break
+            lo = min(lo + step, width)
+        self.depth = lo
+        work += len(tile.v) * lo
+        i, j, over, error = tile.near(part, most, lo)
+        for at in range(lo, width, step):
+            work += np.bincount(i, minlength=len(part)) * min(step, width - at)
+            over = over + _squares(part, tile.v, i, j, at, at + step)
+            keep = over <= error + 1e-12 * most[i]
+            i, j, over = i[keep], j[keep], over[keep]
+        return i, j
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, reference id, distance), by row, distance and id."""
+        parts = [(lo + row, ids, d) for lo, (row, ids, d) in zip(range(0, len(self.q), TALL), self.held, strict=True)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _squares(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Sums of squared differences of paired rows in some components."""
+    a, b, out = a[:, lo:hi], b[:, lo:hi], np.zeros(len(i))
+    for at in range(0, len(i), WIDE):
+        d = a[i[at : at + WIDE]] - b[j[at : at + WIDE]]
+        out[at : at + WIDE] = (d * d).sum(axis=1)
+    return out
+
+
+def aborting_knn(q: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int, exclude_zero: bool, order: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, reference id, distance) of the k nearest, and the components that each query read."""
+    search = _Aborting(q, k, exclude_zero, order, step)
+    search.meet(r, r_ids)
+    return *search.found(), search.work
 
 
 def bounded_knn(queries: DataFrame, refs: DataFrame | None = None, k: int = 1, step: int = 8, id_col: str = "vec_id", vec_col: str = "embedding", exclude_zero: bool = True) -> DataFrame:
@@ -384,6 +401,24 @@ def bounded_knn(queries: DataFrame, refs: DataFrame | None = None, k: int = 1, s
     first = grids.cut(b.meet(b.route(asked, own=True), meet, found_schema, own=True))
     bound = _top(first.filter("components < 0"), k).filter(F.col("rank") == k).select("q", F.col("dist").alias("bound"))
     bounded = asked.drop("bound").join(bound, "q", "left").fillna(float("inf"), ["bound"])
-    every = first.unionByName(b.meet(b.route(bounded, own=False, again=False), meet, found_schema))
+
+    def told(x: Block, search: _Aborting) -> Iterator[pd.DataFrame]:
+        row, r, d = search.found()
+        yield pd.DataFrame({"q": x.ids, "r": -1, "dist": np.nan, "components": search.work})
+        yield pd.DataFrame({"q": x.ids[row], "r": r, "dist": d, "components": -1})
+
+    def rest(blocks: Iterator[tuple[Block, Block]]) -> Iterator[pd.DataFrame]:
+        """Bounds are carried from block to block of a query block's references; its rows are handed on once."""
+        at = search = None
+        for x, y in blocks:
+            if at is None or x.key != at.key:
+                if at is not None:
+                    yield from told(at, search)
+                at, search = x, _Aborting(x.v, k, exclude_zero, order, step, x.bounds)
+            search.meet(y.v, y.ids)
+        if at is not None:
+            yield from told(at, search)
+
+    every = first.unionByName(b.paired(bounded, rest, found_schema, again=False))
     counts = every.filter("components >= 0").groupBy("q").agg(F.sum("components").alias("components"))
     return _top(every.filter("components < 0"), k).join(counts, "q").select("q", "rank", "r", "dist", "components")

@@ -415,3 +415,17 @@ def test_pairs_screened_in_single_precision_are_all_there():
         for radius in (0.0, float(d[7, 9]), 1.5 * size, np.inf):
             found = [(i, j, x) for i, j, x in metric_join.block_range(v, v, radius, True, None)]
             assert sorted((int(a), int(b)) for i, j, _ in found for a, b in zip(i, j, strict=True)) == sorted(map(tuple, np.argwhere(d <= radius).tolist()))
+
+
+def test_bounds_go_on_from_block_to_block(monkeypatch):
+    """Bounds that are known spare the sample, and what was found in one block breaks off the next one's distances."""
+    points = np.random.default_rng(6).normal(size=(3000, 32))
+    ids, order = np.arange(3000), np.arange(32)
+    q = points[:64]
+    row, r, d = metric_join.block_knn(q, points, ids, 2, True, None)
+    search = pruned_join._Aborting(q, 2, True, order, 4, d[1::2])
+    search.meet(points[:1000], ids[:1000])
+    first = search.work.copy()
+    search.meet(points[1000:], ids[1000:])
+    assert all(np.array_equal(a, b) for a, b in zip(search.found(), (row, r, d), strict=True))
+    assert first.max() < 1000 * 32 and search.work.max() < 3000 * 32
