@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orrery.functions import vectors as V
 from orrery.operators import grids
 from orrery.operators.metric_join import Metric, _exact, _matrix, _prepared, _top, block_knn
 
@@ -56,6 +57,7 @@ def first(d: np.ndarray, turns: np.ndarray, reach: float) -> np.ndarray:
 
 RULES: dict[str, Rule] = {"nearest": nearest, "first": first}
 _NODES = "node long, level int, parent long, parent_level int, dist double, weight int"
+_PACKED = ["n", "centre", "far", "most", "ids", "child", "bounds", "v"]
 _PART = ["id", "v", "node", "level", "parent", "parent_level", "dist", "weight"]
 
 
@@ -433,10 +435,10 @@ def adopted(tree: Tree) -> tuple[Tree, int]:
 def knn(tree: Tree, queries: DataFrame, k: int = 1, id_col: str = "vec_id", vec_col: str = "embedding", exclude_zero: bool = True, epsilon: float = 1.0) -> DataFrame:
     """(q, rank, r, dist): the k nearest points of the tree, or ones at most ``epsilon`` times as far.
 
-    Queries go down to the nearest balls, whose nearest children bound their answers, and then again from the top into all balls that
-    may hold a nearer point: those whose centre is not farther than the bound over epsilon and their radius together. Only balls
-    of more than ``_small`` points are gone into by joins; what is below their other children meets the queries in blocks,
-    where children that are too far are left out.
+    Queries go down to the nearest balls, whose nearest children bound their answers. Then those that came to one ball are packed into
+    rows, as are the points below each ball of more than ``_small`` points, and each row of queries meets the points of all balls that may
+    hold a nearer one: those whose centre is not farther than the largest bound over epsilon and both radii together. Rows meet
+    without a shuffle; in them a ball's children that are too far from a query are left out.
     """
     if k < 1 or epsilon < 1:
         raise ValueError("k and epsilon must be at least 1")
@@ -448,68 +450,57 @@ def knn(tree: Tree, queries: DataFrame, k: int = 1, id_col: str = "vec_id", vec_
     under = grids.cut(_under(tree))
     big = under.groupBy("node", "level").agg(F.count("*").alias("n")).filter(F.col("n") > _small(dim)).select("node", "level")
     big = grids.cut(big.union(start).distinct())
-    below = _with_vectors(tree, _with_vectors(tree, under.join(big, ["node", "level"]), "id", "v"), "node", "w")
-    radius = below.withColumn("d", _apart(tree, "v", "w")).groupBy("node", "level").agg(F.max("d").alias("radius"))
-    children = _with_vectors(tree, kids.join(radius, ["node", "level"]), "node", "w")
-    children = grids.cut(children.select(F.col("node").alias("child"), F.col("level").alias("child_level"), F.col("parent").alias("node"), F.col("parent_level").alias("level"), "w", "radius"))
+    children = _with_vectors(tree, kids.join(big, ["node", "level"]), "node", "w")
+    children = grids.cut(children.select(F.col("node").alias("child"), F.col("level").alias("child_level"), F.col("parent").alias("node"), F.col("parent_level").alias("level"), "w"))
     # every point once: with the lowest big node above it, and that node's child; own leaf arrays of big nodes are dealt by point
     parents = big.select(F.col("node").alias("parent"), F.col("level").alias("parent_level"))
     fringe = kids.join(parents, ["parent", "parent_level"]).join(big, ["node", "level"], "left_anti")
     held = under.join(fringe, ["node", "level"]).select("id", F.col("node").alias("child"), F.col("node").alias("deal"), F.col("parent").alias("node"), F.col("parent_level").alias("level"))
     own = tree.members.join(big, ["node", "level"]).select("id", F.col("node").alias("child"), F.col("id").alias("deal"), "node", "level")
     blocks = grids.cut(_with_vectors(tree, held.unionByName(own), "id", "v").withColumnRenamed("id", "r"))
-    schema = "q long, x array<double>, bound double, node long, level int, d double"
-
-    def work(only_nearest: bool):
-        def f(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"q": [], "x": [], "bound": [], "node": [], "level": [], "d": []})
-            b = b.sort_values("child")
-            d = _distances(_matrix(a["x"]), _matrix(b["w"]), metric)
-            if only_nearest:
-                i, j = np.arange(len(a)), d.argmin(axis=1)
-            else:
-                most = a["bound"].to_numpy(float)[:, None] / epsilon * (1 + 1e-12)
-                i, j = np.nonzero(d - b["radius"].to_numpy(float)[None, :] <= most)
-            picked = a.iloc[i]
-            return pd.DataFrame({"q": picked["q"].to_numpy(), "x": picked["x"].to_numpy(), "bound": picked["bound"].to_numpy(), "node": b["child"].to_numpy()[j], "level": b["child_level"].to_numpy()[j], "d": d[i, j]})
-
-        return f
+    schema = "q long, x array<double>, node long, level int, d double"
 
-    def descend(asked: DataFrame, only_nearest: bool) -> DataFrame:
-        """(q, x, bound, node, level) of all nodes on the way whose leaf arrays have to be read."""
-        here = asked.join(F.broadcast(start), how="cross").select("q", "x", "bound", "node", "level")  # one row: the root
+    def nearest_child(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"q": [], "x": [], "node": [], "level": [], "d": []})
+        b = b.sort_values("child")
+        d = _distances(_matrix(a["x"]), _matrix(b["w"]), metric)
+        i, j = np.arange(len(a)), d.argmin(axis=1)
+        return pd.DataFrame({"q": a["q"].to_numpy(), "x": a["x"].to_numpy(), "node": b["child"].to_numpy()[j], "level": b["child_level"].to_numpy()[j], "d": d[i, j]})
+
+    def descend(asked: DataFrame) -> DataFrame:
+        """(q, x, node, level) of all nodes on the way, whose leaf arrays have to be read."""
+        here = asked.join(F.broadcast(start), how="cross").select("q", "x", "node", "level")  # one row: the root
         ends = []
         while True:
             here = grids.cut(here)
             ends.append(here)
             if here.isEmpty():
                 break
-            found = grids.grid_join(here, children, ["node", "level"], "q", "child", work(only_nearest), schema)
-            if only_nearest:
-                found = found.groupBy("q").agg(F.min_by(F.struct("x", "bound", "node", "level"), F.struct("d", "node")).alias("s")).select("q", "s.*")
-            here = found.select("q", "x", "bound", "node", "level")
+            found = grids.grid_join(here, children, ["node", "level"], "q", "child", nearest_child, schema)
+            here = found.groupBy("q").agg(F.min_by(F.struct("x", "node", "level"), F.struct("d", "node")).alias("s")).select("q", "s.*")
         out = ends[0]
         for more in ends[1:]:
             out = out.unionByName(more)
         return out
 
-    def read(only_nearest: bool):
-        def f(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"q": [], "r": [], "dist": []})
-            b = b.sort_values(["child", "r"])
-            x, v, ids, child = _matrix(a["x"]), _matrix(b["v"]), b["r"].to_numpy(np.int64), b["child"].to_numpy(np.int64)
-            starts = np.flatnonzero(np.concatenate([[True], child[1:] != child[:-1]]))
-            sizes, ends = np.diff(np.append(starts, len(b))), np.append(starts[1:], len(b))
+    def read(q_ids: np.ndarray, x: np.ndarray, bound: np.ndarray | None, ids: np.ndarray, child: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        """(q, r, dist): the k nearest in the children's balls that the bound allows; without one in the nearest balls."""
+        starts = np.flatnonzero(np.concatenate([[True], child[1:] != child[:-1]]))
+        sizes, ends = np.diff(np.append(starts, len(v))), np.append(starts[1:], len(v))
+        out, many = [], bound is not None and 4 * len(starts) > len(v)  # their centres would cost as much as all points
+        if not many:
             of, centre = np.repeat(np.arange(len(starts)), sizes), starts.copy()
             centre[of[ids == child]] = np.flatnonzero(ids == child)
             away = np.concatenate([metric(v[c : c + 1], v[lo:hi])[0] for c, lo, hi in zip(centre, starts, ends, strict=True)]) if metric else _exact(v, v[centre[of]])
-            wide, bound, out = np.maximum.reduceat(away, starts), a["bound"].to_numpy(float), []
-            for lo in range(0, len(x), 512):
-                part = x[lo : lo + 512]
+            wide = np.maximum.reduceat(away, starts)
+        for lo in range(0, len(x), 512):
+            part = x[lo : lo + 512]
+            if many:
+                jobs = [(np.arange(len(part)), 0, len(v))]
+            else:
                 d = _distances(part, v[centre], metric)
-                if only_nearest:
+                if bound is None:
                     order = np.argsort(d, axis=1, kind="stable")
                     ask = np.zeros(d.shape, bool)
                     np.put_along_axis(ask, order, np.cumsum(sizes[order], axis=1) - sizes[order] <= 2 * k, 1)
@@ -519,22 +510,52 @@ def knn(tree: Tree, queries: DataFrame, k: int = 1, id_col: str = "vec_id", vec_
                     jobs = [(np.arange(len(part)), 0, len(v))]
                 else:
                     jobs = [(np.flatnonzero(ask[:, g]), starts[g], ends[g]) for g in np.flatnonzero(ask.any(axis=0))]
-                for rows, first, last in jobs:
-                    row, r, dist = block_knn(part[rows], v[first:last], ids[first:last], k, exclude_zero, metric)
-                    out.append((a["q"].to_numpy()[lo + rows[row]], r, dist))
-            if not out:
-                return pd.DataFrame({"q": [], "r": [], "dist": []})
-            near = pd.DataFrame(dict(zip(("q", "r", "dist"), map(np.concatenate, zip(*out, strict=True)), strict=True))).sort_values(["q", "dist", "r"])
-            return near[near.groupby("q").cumcount() < k]
-
-        return f
-
-    def found(routed: DataFrame, only_nearest: bool) -> DataFrame:
-        return grids.grid_join(routed, blocks, ["node", "level"], "q", "deal", read(only_nearest), "q long, r long, dist double")
-
-    asked = q.withColumn("bound", F.lit(float("inf")))
-    first = grids.cut(_top(found(descend(asked, True), True), k))
+            for rows, first, last in jobs:
+                row, r, dist = block_knn(part[rows], v[first:last], ids[first:last], k, exclude_zero, metric)
+                keep = slice(None) if bound is None else ~(dist > bound[lo + rows[row]])
+                out.append((q_ids[lo + rows[row]][keep], r[keep], dist[keep]))
+        if not out:
+            return pd.DataFrame({"q": [], "r": [], "dist": []})
+        near = pd.DataFrame(dict(zip(("q", "r", "dist"), map(np.concatenate, zip(*out, strict=True)), strict=True))).sort_values(["q", "dist", "r"])
+        return near[near.groupby("q").cumcount() < k]
+
+    def first_read(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"q": [], "r": [], "dist": []})
+        b = b.sort_values(["child", "r"])
+        return read(a["q"].to_numpy(), _matrix(a["x"]), None, b["r"].to_numpy(np.int64), b["child"].to_numpy(np.int64), _matrix(b["v"]))
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Points (id, child, bound, v) of a chunk in a row, with a ball around them and the largest bound."""
+        pdf = pdf.sort_values(["child", "id"])
+        v, bounds = _matrix(pdf["v"]), pdf["bound"].to_numpy(float)
+        far = _distances(v[:1], v, metric)[0].max()
+        return pd.DataFrame([(len(v), v[0], float(far), float(bounds.max()), *(pdf[c].to_numpy(np.int64).tobytes() for c in ("id", "child")), bounds.tobytes(), v.tobytes())], columns=_PACKED)
+
+    def rows_of(points: DataFrame) -> DataFrame:
+        sizes = points.groupBy("node", "level").agg(F.ceil(F.count("*") / _small(dim)).cast("int").alias("chunks"))
+        chunk = F.pmod(F.xxhash64("deal"), F.col("chunks")).cast("int")
+        dealt = grids.by_key(points, grids.cut(sizes), ["node", "level"]).withColumn("chunk", chunk)
+        return grids.cut(dealt.groupBy("node", "level", "chunk").applyInPandas(packed, "n int, centre array<double>, far double, most double, ids binary, child binary, bounds binary, v binary"))
+
+    def second_read(frames):
+        for pdf in frames:
+            for row in pdf.to_dict("records"):
+                x, v = (np.frombuffer(row[c]).reshape(row[n], -1) for c, n in (("q_v", "q_n"), ("v", "n")))
+                yield read(np.frombuffer(row["q_ids"], np.int64), x, np.frombuffer(row["q_bounds"]), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["child"], np.int64), v)
+
+    way = descend(q)
+    first = grids.cut(_top(grids.grid_join(way, blocks, ["node", "level"], "q", "deal", first_read, "q long, r long, dist double"), k))
     bound = first.filter(F.col("rank") == k).select("q", F.col("dist").alias("bound"))
-    bounded = grids.cut(q.join(bound, "q", "left").fillna(float("inf"), ["bound"]))
-    # the leaf arrays on the first way may be left out on the second one
-    return _top(first.drop("rank").unionByName(found(descend(bounded, False), False)).groupBy("q", "r").agg(F.min("dist").alias("dist")), k)
+    ends = way.groupBy("q").agg(F.min_by("node", "level").alias("node"), F.min("level").alias("level"))
+    bounded = q.join(ends, "q").join(bound, "q", "left").fillna(float("inf"), ["bound"])
+    left = rows_of(bounded.select(F.col("q").alias("id"), F.lit(0).cast("long").alias("child"), F.col("q").alias("deal"), "bound", F.col("x").alias("v"), "node", "level"))
+    right = rows_of(blocks.select(F.col("r").alias("id"), "child", "deal", F.lit(0.0).alias("bound"), "v", "node", "level"))
+    left = left.select(*(F.col(c).alias(f"q_{c}") for c in _PACKED))
+    # of numbers only: a metric of one's own is not known to Spark, so its balls all meet
+    apart = V.distance("q_centre", "centre") - F.col("q_far") - F.col("far")
+    may = F.lit(True) if metric else ~(apart > F.col("q_most") / epsilon * (1 + 1e-9) + 1e-9)
+    met = left.join(right.select(*_PACKED).hint("shuffle_replicate_nl"), may)
+    second = met.select("q_n", "q_ids", "q_bounds", "q_v", "n", "ids", "child", "v").mapInPandas(second_read, "q long, r long, dist double")
+    # what was found on the first way may be left out on the second one
+    return _top(first.drop("rank").unionByName(second).groupBy("q", "r").agg(F.min("dist").alias("dist")), k)

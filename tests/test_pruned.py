@@ -429,3 +429,18 @@ def test_bounds_go_on_from_block_to_block(monkeypatch):
     search.meet(points[1000:], ids[1000:])
     assert all(np.array_equal(a, b) for a, b in zip(search.found(), (row, r, d), strict=True))
     assert first.max() < 1000 * 32 and search.work.max() < 3000 * 32
+
+
+def test_a_tree_is_searched_again_without_a_shuffle_of_vectors(spark, tree, monkeypatch):
+    """Queries are packed once and meet the points of many balls; they are not sent to each of them."""
+    monkeypatch.setattr(cover_tree, "_small", lambda dim: 8)
+    sent, joined = [], grids.grid_join
+
+    def seen(left, *rest, **more):
+        sent.append(left.count())
+        return joined(left, *rest, **more)
+
+    monkeypatch.setattr(grids, "grid_join", seen)
+    found = cover_tree.knn(tree, frame(spark), 2)
+    assert sum(sent) < 10 * len(CLOUD) and "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["q"], r["rank"], r["r"]) for r in found.collect()) == sorted((r["q"], r["rank"], r["r"]) for r in metric_join.knn(frame(spark), k=2).collect())
