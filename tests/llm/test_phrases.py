@@ -207,3 +207,11 @@ def test_word_counts_get_more_tasks_with_more_text(spark, tmp_path, monkeypatch)
         for w in (text or "").split():
             want[doc, w] = want.get((doc, w), 0) + 1
     assert {(r["doc_id"], r["word"]): r["n"] for r in bag.collect()} == want
+
+
+def test_a_scan_leaves_no_licence_text_out_unless_told_to(spark):
+    mit = next(t for t in license_scan.TEMPLATES if t.label == "mit" and t.keys)
+    df = spark.createDataFrame([(k, f"file {k} {mit.text} end") for k in range(60)], "doc_id long, text string")
+    for options, want in (({}, [2]), ({"exact": False}, [])):
+        found = license_scan.scan(df, **options).collect()
+        assert all([m["start"] for m in r["matches"] if m["label"] == "mit"] == want for r in found)
