@@ -23,7 +23,7 @@ from orrery.operators import grids
 from orrery.operators.metric_join import PAIRS, PIVOTS, TALL, WIDE, Block, Metric, Tile, _Blocks, _exact, _matrix, _prepared, _rough, _routed, _spread, _tiles, _top, block_knn
 
 #: Share of a tile's pairs above which more components are read for all of them at once; and that of a tile that is not full.
-SPARSE, DENSE = 1 / 64, 1 / 4
+SPARSE, DENSE = 1 / 32, 1 / 4
 
 
 def block_distances(a: np.ndarray, b: np.ndarray, metric: Metric | None, edge: float | None = None) -> np.ndarray:
@@ -300,15 +300,19 @@ class _Aborting:
     def meet(self, r: np.ndarray, r_ids: np.ndarray) -> None:
         k, width, r = self.k, self.q.shape[1], r[:, self.order]
         some = np.unique(np.linspace(0, len(r) - 1, min(len(r), max(k + 1, min(len(r) // 4, max(4 * k + 28, min(len(r) // 16, WIDE)))))).astype(int))
-        sample = r[some]
-        for lo in range(0, len(self.q), TALL):
+        sample, sample_ids, fresh = r[some], r_ids[some], np.isinf(self.bounds).all() and not any(len(x[0]) for x in self.held)
+        for p, lo in enumerate(range(0, len(self.q), TALL)):
             bounds = self.bounds[lo : lo + TALL]
             asks = np.flatnonzero(np.isinf(bounds))
             if len(asks) and len(some):
-                row, _, d = block_knn(self.q[lo + asks], sample, some, k, self.exclude_zero, None)
+                row, found, d = block_knn(self.q[lo + asks], sample, sample_ids, k, self.exclude_zero, None)
                 last = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
                 bounds[asks[row[last]]] = d[last]
                 self.work[lo + asks] += len(some) * width
+                if fresh:
+                    self.held[p] = (row, found, d)
+        if fresh:  # what was measured whole for all is not read again
+            r, r_ids = np.delete(r, some, axis=0), np.delete(r_ids, some)
         for start in range(0, len(r), WIDE):
             tile = Tile(r[start : start + WIDE])
             for p, lo in enumerate(range(0, len(self.q), TALL)):

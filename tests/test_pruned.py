@@ -444,3 +444,11 @@ def test_a_tree_is_searched_again_without_a_shuffle_of_vectors(spark, tree, monk
     found = cover_tree.knn(tree, frame(spark), 2)
     assert sum(sent) < 10 * len(CLOUD) and "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["q"], r["rank"], r["r"]) for r in found.collect()) == sorted((r["q"], r["rank"], r["r"]) for r in metric_join.knn(frame(spark), k=2).collect())
+
+
+def test_a_sample_is_not_read_twice():
+    points = np.random.default_rng(9).normal(size=(5000, 64))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    row, r, d, work = pruned_join.aborting_knn(points[:256], points, np.arange(5000), 2, True, np.arange(64), 8)
+    assert all(np.array_equal(a, b) for a, b in zip((row, r, d), metric_join.block_knn(points[:256], points, np.arange(5000), 2, True, None), strict=True))
+    assert work.mean() < 62 * 5000
